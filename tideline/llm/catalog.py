@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tideline.llm import op05_mixing, op06_sharding, op10_packing
+from tideline.llm import op02_secrets, op05_mixing, op06_sharding, op07_quality, op10_packing
 
 
 def queries():
     return {
+        "op2_secrets": op02_secrets.query,
         "op5_mixing": op05_mixing.query,
         "op6_sharding": op06_sharding.query,
+        "op7_quality": op07_quality.query,
         "op10_packing": op10_packing.query,
     }
 
 
 def oracle_sql():
-    return {"op5_mixing": op05_mixing.ORACLE}
+    return {"op2_secrets": op02_secrets.ORACLE, "op5_mixing": op05_mixing.ORACLE}
