@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tideline.llm import op02_secrets, op05_mixing, op06_sharding, op07_quality, op10_packing
+from tideline.llm import op02_secrets, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii, op10_packing
 
 
 def queries():
     return {
         "op2_secrets": op02_secrets.query,
+        "op4_html": op04_html.query,
         "op5_mixing": op05_mixing.query,
         "op6_sharding": op06_sharding.query,
         "op7_quality": op07_quality.query,
+        "op8_pii": op08_pii.query,
         "op10_packing": op10_packing.query,
     }
 
