@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.llm import op02_secrets, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii, op10_packing
+from tideline.llm import op02_secrets, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii, op09_jaccard, op10_packing
 
 
 def queries():
@@ -13,9 +13,10 @@ def queries():
         "op6_sharding": op06_sharding.query,
         "op7_quality": op07_quality.query,
         "op8_pii": op08_pii.query,
+        "op9_jaccard": op09_jaccard.query,
         "op10_packing": op10_packing.query,
     }
 
 
 def oracle_sql():
-    return {"op2_secrets": op02_secrets.ORACLE, "op5_mixing": op05_mixing.ORACLE}
+    return {"op2_secrets": op02_secrets.ORACLE, "op5_mixing": op05_mixing.ORACLE, "op9_jaccard": op09_jaccard.ORACLE}
