@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tideline.llm import op02_secrets, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii, op09_jaccard, op10_packing
+from tideline.llm import op01_ann, op02_secrets, op03_fingerprints, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii, op09_jaccard, op10_packing
 
 
 def queries():
     return {
+        "op1_ann": op01_ann.query,
         "op2_secrets": op02_secrets.query,
+        "op3_fingerprints": op03_fingerprints.query,
         "op4_html": op04_html.query,
         "op5_mixing": op05_mixing.query,
         "op6_sharding": op06_sharding.query,
