@@ -8,9 +8,14 @@ with partial aggregation gives the state: no window, no sort, one shuffle on key
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions.scalars import uri_component
+
 SYSTEM_PREFIXES = ("_sys|", "_insight|", "_insight/", "_infer|", "_infer/")
+TOMBSTONE = "_sys|tombstone|"
+TIERS = ("hot", "warm", "cold")
 
 
 def is_system(key: F.Column) -> F.Column:
@@ -32,6 +37,35 @@ def current(log: DataFrame, include_system: bool = False) -> DataFrame:
     return live if include_system else live.filter(~is_system(F.col("key")))
 
 
+def get(log: DataFrame, key: str, include_system: bool = False) -> DataFrame:
+    """The visible row of one key: the filter reaches the log before the aggregation."""
+    return current(log.filter(F.col("key") == key), include_system)
+
+
+def scan(state: DataFrame, prefix: str = "", tiers: tuple[str, ...] | None = None, cursor: str | None = None, limit: int = 0) -> DataFrame:
+    """A page of keys in Unicode order strictly after the cursor. limit 0 is no limit; a
+    cursor past the last key gives an empty page. The sort is a top-k if limited."""
+    page = state.filter(F.col("key").startswith(prefix))
+    if tiers is not None:
+        page = page.filter(F.col("tier").isin(*tiers))
+    order = F.collate(F.col("key"), "UNICODE")
+    if cursor is not None:
+        page = page.filter(order > F.collate(F.lit(cursor), "UNICODE"))
+    page = page.orderBy(order)
+    return page.limit(limit) if limit else page
+
+
+def count_prefix(state: DataFrame, prefix: str) -> DataFrame:
+    return state.filter(F.col("key").startswith(prefix)).agg(F.count("*").alias("n"))
+
+
+def latest_by_prefix(state: DataFrame, prefix: str) -> DataFrame:
+    """The newest row under a prefix; of equal times the larger key in Unicode order."""
+    row = F.struct("key", "ts", "tier")
+    order = F.struct(F.col("ts"), F.collate(F.col("key"), "UNICODE"))
+    return state.filter(F.col("key").startswith(prefix)).agg(F.max_by(row, order).alias("r")).filter("r IS NOT NULL").select("r.*")
+
+
 def scan_summary(state: DataFrame, *by: str | F.Column) -> DataFrame:
     """Count, oldest and newest write, newest key and tier counts (NULLs when empty)."""
     key = F.struct(F.col("ts"), F.collate(F.col("key"), "UNICODE"))
@@ -40,7 +74,84 @@ def scan_summary(state: DataFrame, *by: str | F.Column) -> DataFrame:
         F.min("ts").alias("oldest"),
         F.max("ts").alias("newest"),
         F.max_by("key", key).alias("latest_key"),
-        F.count_if(F.col("tier") == "hot").alias("hot"),
-        F.count_if(F.col("tier") == "warm").alias("warm"),
-        F.count_if(F.col("tier") == "cold").alias("cold"),
+        *[F.count_if(F.col("tier") == t).alias(t) for t in TIERS],
     )
+
+
+def tombstones(log: DataFrame) -> DataFrame:
+    """The hidden marker row that a delete leaves for each deleted key."""
+    gone = latest(log).filter(F.col("op") == "DELETE")
+    return gone.select(F.concat(F.lit(TOMBSTONE), uri_component(F.col("key"))).alias("key"), "ts", "lsn")
+
+
+def batches(log: DataFrame, size: int = 10) -> DataFrame:
+    """Writes gathered to batches of ``size`` log numbers, with the hash of their canonical content."""
+    line = F.concat_ws("|", F.col("lsn").cast("string"), "op", "key")
+    ordered = F.array_sort(F.collect_list(F.struct("lsn", line.alias("line"))))
+    return (log.groupBy(F.floor(F.col("lsn") / size).cast("bigint").alias("batch")).agg(ordered.alias("rows"), F.count("*").alias("n"))
+            .select("batch", "n", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("request_hash")))
+
+
+def admit(requests: DataFrame) -> DataFrame:
+    """Requests (idempotency_key, seq, request_hash) with what becomes of each: the first of
+    a key is applied; a later one of equal hash is deduplicated, of another a conflict."""
+    first = F.min_by("request_hash", "seq").over(W.partitionBy("idempotency_key"))
+    at = F.min("seq").over(W.partitionBy("idempotency_key"))
+    return requests.select("*", F.when(F.col("seq") == at, "applied").when(F.col("request_hash") == first, "deduplicated").otherwise("conflict").alias("outcome"))
+
+
+def replay(log: DataFrame, checkpoint_lsn: int) -> DataFrame:
+    """State from the checkpoint at an lsn and the tail after it; equals the state of the whole log."""
+    base = latest(log.filter(F.col("lsn") <= checkpoint_lsn))
+    tail = log.filter(F.col("lsn") > checkpoint_lsn)
+    return current(base.unionByName(tail.select(base.columns)))
+
+
+def compact(segments: DataFrame) -> DataFrame:
+    """Segments (segment, log columns) merged to one: the surviving row of each key, whether it
+    is live, and how many rows it replaces."""
+    row = F.struct("ts", "lsn", "op", "num", "str", "tier")
+    return segments.groupBy("key").agg(F.max_by(row, F.struct("ts", "lsn")).alias("r"), F.count("*").alias("versions"), F.countDistinct("segment").alias("segments")).select("key", "r.*", "versions", "segments")
+
+
+def rotate(segments: DataFrame, now: int | F.Column, cold_after_ms: int, expire_after_ms: int) -> DataFrame:
+    """Segments (segment, newest) with the tier that their age gives and what to do."""
+    age = F.lit(now) - F.col("newest") if isinstance(now, int) else now - F.col("newest")
+    action = F.when(age > expire_after_ms, "expire").when(age > cold_after_ms, "to_cold").otherwise("keep")
+    return segments.withColumn("action", action)
+
+
+def flush_points(log: DataFrame, max_bytes: int, max_rows: int, by: str) -> DataFrame:
+    """Where a write buffer is flushed when replayed in log order: after the row with which its
+    bytes exceed max_bytes or its rows reach max_rows. A greedy fold per log (column ``by``)."""
+    size = F.octet_length("key") + F.octet_length(F.to_json("num")) + F.lit(32)
+    items = F.array_sort(F.collect_list(F.struct(F.col("lsn"), size.cast("bigint").alias("bytes"))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("rows"), F.expr("CAST(array() AS array<bigint>)").alias("points"))
+
+    def step(a, x):
+        b, n = a["bytes"] + x["bytes"], a["rows"] + 1
+        full = (b > max_bytes) | (n >= max_rows)
+        return F.struct(F.when(full, F.lit(0)).otherwise(b).cast("bigint").alias("bytes"), F.when(full, F.lit(0)).otherwise(n).cast("bigint").alias("rows"),
+                        F.when(full, F.array_append(a["points"], x["lsn"])).otherwise(a["points"]).alias("points"))
+
+    return (log.groupBy(by).agg(items.alias("items")).select(by, F.aggregate("items", zero, step).alias("s"))
+            .select(by, F.col("s.points").alias("flush_lsns"), F.size("s.points").cast("bigint").alias("flushes")))
+
+
+def resolve_buffer(buffer: DataFrame, log: DataFrame) -> DataFrame:
+    """Writes buffered while degraded: a key that the log has meanwhile is discarded, others apply."""
+    known = log.select(F.col("key").alias("_known")).distinct()
+    return (buffer.join(known, F.col("key") == F.col("_known"), "left")
+            .select("key", "lsn", "ts", F.when(F.col("_known").isNull(), "applied").otherwise("discarded").alias("outcome")))
+
+
+def remap(state: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Tiers renamed by a small (tier, new_tier) table; others stay."""
+    return state.join(F.broadcast(mapping), "tier", "left").withColumn("tier", F.coalesce("new_tier", "tier")).drop("new_tier")
+
+
+def infer_schema(state: DataFrame) -> DataFrame:
+    """(field, kind, keys): numeric or categorical fields seen in live rows, as a segment's schema would list them."""
+    num = state.select("key", F.explode(F.map_keys("num")).alias("field"), F.lit("numeric").alias("kind"))
+    text = state.select("key", F.explode(F.map_keys("str")).alias("field"), F.lit("categorical").alias("kind"))
+    return num.union(text).groupBy("field", "kind").agg(F.count("*").alias("keys"))
