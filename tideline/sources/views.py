@@ -122,6 +122,8 @@ def with_views(sql: str) -> str:
     used = [n for n in SQL if n in sql]
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in used)
     body = sql.strip()
+    if not used:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
