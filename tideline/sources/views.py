@@ -91,8 +91,8 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("domain"),
         F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("candidate_id"),
         F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "partial").otherwise("error").alias("result"),
-        F.round(F.col("o_totalprice") / 100, 3).alias("latency_ms"),
-        F.round(F.col("o_totalprice") / 500000, 6).alias("cost_score"),
+        (F.col("o_totalprice") / 100).alias("latency_ms"),
+        (F.col("o_totalprice") / 500000).alias("cost_score"),
         millis("o_orderdate").alias("ts"),
     )
 
@@ -107,7 +107,7 @@ SQL = {
         len(list_filter(string_split_regex(text, '[ \\t\\r\\n\\f]+'), lambda w: w <> ''))::BIGINT AS token_count, role AS task FROM conversations""",
     "outcomes": """SELECT o_orderkey AS seq, o_orderpriority AS domain, 'c' || (o_custkey % 7) AS candidate_id,
         CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'partial' ELSE 'error' END AS result,
-        round(o_totalprice / 100, 3) AS latency_ms, round(o_totalprice / 500000, 6) AS cost_score, epoch_us(o_orderdate) // 1000 AS ts FROM orders""",
+        o_totalprice / 100 AS latency_ms, o_totalprice / 500000 AS cost_score, epoch_us(o_orderdate) // 1000 AS ts FROM orders""",
 }
 SQL["mutations"] = f"""SELECT seq AS lsn, ts, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op,
         'u|' || substr(key, 6) || '|' || (k % 4) AS key, value, k::DOUBLE AS k, event_type,
