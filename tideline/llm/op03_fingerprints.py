@@ -9,7 +9,7 @@ sizes, so those whose k differ by one are compatible. The score is 100 less the
 insertions and deletions (a change is both) that turn one signature into the other.
 
 Search: two signatures are compared if at least ``share`` of the larger one's distinct
-chunk hashes are common. By the prefix principle then their rarest chunks have one in
+chunk hashes are common. By the prefix principle then a few of their rarest chunks are
 common; rarity comes from counts of all chunks in a table of fixed size, so passages
 that many documents share aren't paired. Candidates meet in packed buckets (see
 ``postings``). Equal fingerprints are one candidate and are tied to their least doc_id.
@@ -30,6 +30,10 @@ SHARE, SCORE = 1 / 3, 60
 LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
 #: Signatures of fewer letters are compared with equal ones only.
 LETTERS = 7
+#: So many of their rarest chunks two signatures must have in common, if they need that many.
+RARE = 4
+#: Chunks of the fingerprints that one comparing task holds.
+HELD = 1_000_000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
@@ -131,8 +135,7 @@ def common(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.n
 
 def score(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """100 - floor(100 * insertions and deletions / letters of both)."""
-    both = np.maximum(la + lb, 1)
-    return 100 - (100 * (both - 2 * common(a, b, la, lb))) // both
+    return 100 - (100 * (la + lb - 2 * common(a, b, la, lb))) // np.maximum(la + lb, 1)
 
 
 def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +159,7 @@ def _distinct(batch: pa.RecordBatch):
         column = batch.column(name)
         n = np.asarray(column.value_lengths()).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        key = np.unique((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64))
+        key = tk.distinct((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64))
         row = (key >> np.uint64(32)).astype(np.int64)
         kept = n[row] >= LETTERS
         row = row[kept]
@@ -186,10 +189,10 @@ def search(docs: DataFrame, least: int = SCORE, share: float = SHARE) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.binary())], ["block", "cells"])
 
     rank = spark.sparkContext.broadcast(po.ranks(sets.select("k", "first", "second").mapInArrow(count, "block int, cells binary")))
-    bits = po.bucket_bits(sets.count(), 1 << 16)
+    buckets = np.uint64(po.bucket_count(50 * sets.count()))
 
     def emit(batches):
-        packer, table = po.Packer(bits), rank.value
+        packer, table = po.Packer(), rank.value
         for batch in batches:
             ids = np.asarray(batch.column("fp"))
             for tokens, row, size, level in _distinct(batch):
@@ -197,37 +200,43 @@ def search(docs: DataFrame, least: int = SCORE, share: float = SHARE) -> DataFra
                 order = np.lexsort((tokens, cost, row))
                 tokens_, row_ = tokens[order], row[order]
                 start = np.concatenate([[0], np.cumsum(size)])[row_]
-                prefix = np.arange(len(row_)) - start <= size[row_] - np.ceil(share * size[row_] - 1e-9)
+                least_ = np.maximum(1, np.ceil(share * size - 1e-9)).astype(np.int64)
+                need = np.minimum(RARE, least_)
+                prefix = np.arange(len(row_)) - start < (size - least_ + need)[row_]
                 # The cost must order tokens alike everywhere, so equal costs go by token.
                 keys, at = tokens_[prefix], row_[prefix]
-                yield from packer.add(keys, at, np.full(len(at), po.INDEX | po.PROBE, np.uint8), ids, size, np.ones(len(ids), np.int64))
+                yield from packer.add(keys, (keys & np.uint64(0xFFFF)) % buckets, at, np.full(len(at), po.INDEX | po.PROBE, np.uint8), ids, size, need)
         yield from packer.flush()
 
     packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.PACKED)
-    found = po.pairs(packed, share)
-
-    def compare(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 20_000):
-                part = batch.slice(low, 20_000)
-                ka, kb = np.asarray(part.column("ka")), np.asarray(part.column("kb"))
-                best = np.zeros(part.num_rows, np.int64)
-                sides = {c: _padded(part.column(c), LONG) for c in ("fa", "sa", "fb", "sb")}
-                for x, y, gap in (("fa", "fb", 0), ("sa", "sb", 0), ("fa", "sb", 1), ("sa", "fb", -1)):
-                    at = np.flatnonzero(ka - kb == gap)
-                    if len(at):
-                        (a, la), (b, lb) = sides[x], sides[y]
-                        a, b, la, lb = a[at], b[at], la[at], lb[at]
-                        hashes = [part.column(c).take(pa.array(at)) for c in (x, y)]
-                        ok = (la >= LETTERS) & (lb >= LETTERS) & shared(*hashes, share)
-                        best[at] = np.maximum(best[at], np.where(ok, score(a, b, la, lb), 0))
-                keep = pa.array(best >= max(least, 1))
-                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), pa.array(best, pa.int32())], ["x", "y", "score"]).filter(keep)
-
-    side = lambda p: sets.select(F.col("fp").alias(p), F.col("doc_id").alias("x" if p == "a" else "y"), F.col("k").alias("k" + p),
-                                 F.col("first").alias("f" + p), F.col("second").alias("s" + p))
-    matched = (found.join(side("a"), "a").join(side("b"), "b").select("x", "y", "ka", "kb", "fa", "sa", "fb", "sb")
-               .mapInArrow(compare, "x bigint, y bigint, score int"))
+    found = po.enough(po.meetings(packed, share, either=True)).checkpoint()
+
+    def compare(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        ids = np.asarray(held.column("fp"))
+        order = np.argsort(ids)
+        ia, ib = (order[np.searchsorted(ids[order], np.asarray(pairs.column(c)))] for c in ("a", "b"))
+        k = np.asarray(held.column("k"))
+        lists = {c: held.column(c).combine_chunks() for c in ("first", "second")}
+        codes = {c: _padded(x, LONG) for c, x in lists.items()}
+        best = np.zeros(len(ia), np.int64)
+        for low in range(0, len(ia), 20_000):
+            xa, xb = ia[low:low + 20_000], ib[low:low + 20_000]
+            for x, y, gap in (("first", "first", 0), ("second", "second", 0), ("first", "second", 1), ("second", "first", -1)):
+                at = np.flatnonzero(k[xa] - k[xb] == gap)
+                if len(at):
+                    pa_, pb = xa[at], xb[at]
+                    (a, la), (b, lb) = codes[x], codes[y]
+                    ok = (la[pa_] >= LETTERS) & (lb[pb] >= LETTERS) & shared(lists[x].take(pa.array(pa_)), lists[y].take(pa.array(pb)), share)
+                    at, pa_, pb = at[ok], pa_[ok], pb[ok]
+                    best[low + at] = np.maximum(best[low + at], score(a[pa_], b[pb], la[pa_], lb[pb]))
+        ids = np.asarray(held.column("doc_id"))
+        keep = best >= max(least, 1)
+        return pa.table({"x": pa.array(ids[ia[keep]], pa.int64()), "y": pa.array(ids[ib[keep]], pa.int64()), "score": pa.array(best[keep], pa.int32())})
+
+    sized = sets.select("fp", (F.size("first") + F.size("second")).alias("size"))
+    placed, _ = po.place(found, sized, HELD)
+    matched = po.gather(placed, sets, compare, "x bigint, y bigint, score int")
     copies = (made.join(sets.select("fp", F.col("doc_id").alias("least")), "fp").filter("doc_id <> least")
               .select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(100).alias("score")).distinct())
     return matched.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "score").union(copies)
@@ -239,7 +248,7 @@ def shared(a: pa.Array, b: pa.Array, share: float) -> np.ndarray:
     for column in (a, b):
         n = np.asarray(column.value_lengths()).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        keys.append(np.unique((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64)))
+        keys.append(tk.distinct((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64)))
     both = np.intersect1d(*keys, assume_unique=True)
     count = [np.bincount((k >> np.uint64(32)).astype(np.int64), minlength=len(a)) for k in (*keys, both)]
     return count[2] >= np.maximum(1, np.ceil(share * np.maximum(count[0], count[1]) - 1e-9))

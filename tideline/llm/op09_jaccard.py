@@ -35,7 +35,7 @@ SINGLE, LOAD = 64, 0.75
 #: Every so many-th segment has a one-deletion neighbourhood.
 EVERY = 8
 #: Tokens of the sets that one verifying task holds.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def token_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -54,7 +54,7 @@ def token_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
             gram[more] = tk.mix64(gram[more] * np.uint64(3) + hashes[more + k])
     keep = place + size <= words[row] if len(row) else np.zeros(0, bool)
     gram, row = gram[keep], row[keep]
-    key = np.unique((row.astype(np.uint64) << np.uint64(48)) | (gram >> np.uint64(16)))
+    key = tk.distinct((row.astype(np.uint64) << np.uint64(48)) | (gram >> np.uint64(16)))
     return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64), len(offsets) - 1
 
 
@@ -81,9 +81,9 @@ def differ(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndar
 
 
 def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int = SPARE):
-    """Per band that a set belongs to or looks into: (keys, rows, roles), (need per row), residual rows.
-
-    Yields those three; a residual row couldn't fill its units and must be compared otherwise."""
+    """For the bands that sets belong to, then for those that they look into: (keys, rows,
+    roles, bands, segments) of signatures, need per row, and the residual rows, which
+    couldn't fill their units and must be compared otherwise."""
     tops = bands(threshold)
     own = np.searchsorted(tops, np.maximum(size, 1))
     cost = rank[(tokens & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.int64) + 1
@@ -101,7 +101,7 @@ def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int
         with np.errstate(over="ignore"):
             salt = tk.mix64(band[r].astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
             segment = (tk.mix64(t ^ salt) % parts.astype(np.uint64)).astype(np.int64)
-        order = np.argsort((r.astype(np.uint64) << np.uint64(40)) | segment.astype(np.uint64), kind="stable")
+        order = np.argsort((r.astype(np.uint64) << np.uint64(40)) | segment.astype(np.uint64))
         r, t, c, segment, salt = r[order], t[order], c[order], segment[order], salt[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (segment[1:] != segment[:-1])
@@ -127,8 +127,9 @@ def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int
         unit_group = np.concatenate([np.arange(len(lead)), np.flatnonzero(two)])
         unit_cost = np.concatenate([low, np.maximum(double, low)[two]])
         is_second = np.arange(len(unit_group)) >= len(lead)
-        order = np.lexsort((is_second, unit_cost, grow[unit_group]))
-        urow = grow[unit_group][order]
+        urow = grow[unit_group]
+        order = np.argsort((urow.astype(np.uint64) << np.uint64(40)) | (np.minimum(unit_cost, (1 << 38) - 1).astype(np.uint64) << np.uint64(1)) | is_second.astype(np.uint64))
+        urow = urow[order]
         lead_unit = np.ones(len(urow), bool)
         lead_unit[1:] = urow[1:] != urow[:-1]
         rank_in = np.arange(len(urow)) - np.maximum.accumulate(np.where(lead_unit, np.arange(len(urow)), 0))
@@ -145,7 +146,21 @@ def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int
         rows = np.concatenate([grow, r[less]])
         roles = np.concatenate([role, gone_role]).astype(np.uint8)
         some = roles > 0
-        yield (keys[some], rows[some], roles[some]), have - most, here & (have <= most)
+        segments = np.concatenate([segment[lead], segment[less]])[some]
+        yield (keys[some], rows[some], roles[some], band[rows[some]], segments), have - most, here & (have <= most)
+
+
+def layout(sizes: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, buckets) of each band, from how many sets have which size. A band's
+    segments are dealt to its buckets, so a pair meets in the buckets of a band or two only."""
+    tops = bands(threshold)
+    rows = np.zeros(len(tops) + 1)
+    for size, count in sizes.items():
+        own = int(np.searchsorted(tops, size))
+        rows[own] += 0.65 * size * count
+        rows[max(own - 1, 0)] += 0.4 * size * count
+    parts = np.array([po.bucket_count(int(r)) for r in rows])
+    return np.cumsum(parts) - parts, parts
 
 
 def scan(docs: DataFrame, n: int) -> DataFrame:
@@ -170,16 +185,17 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, fp bigint, size bigint, block int, cells binary")
 
 
-def emit(docs: DataFrame, n: int, threshold: float, rank, bits: int) -> DataFrame:
+def emit(docs: DataFrame, n: int, threshold: float, rank, dealt: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Packed signatures of every text's set; rows of bucket -1 name residual sets."""
     def run(batches):
-        packer, table = po.Packer(bits), rank.value
+        packer, table, (first, parts) = po.Packer(), rank.value, dealt
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 tokens, row, rows = token_sets(part.column("text"), n)
                 fp, size = fingerprints(tokens, row, rows)
-                for (keys, at, roles), need, left in signatures(tokens, row, size, table, threshold):
-                    yield from packer.add(keys, at, roles, fp, size, need)
+                for (keys, at, roles, band, segment), need, left in signatures(tokens, row, size, table, threshold):
+                    bucket = first[band] + (tk.mix64(segment.astype(np.uint64)) % parts[band].astype(np.uint64)).astype(np.int64)
+                    yield from packer.add(keys, bucket, at, roles, fp, size, need)
                     if left.any():
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([fp[left].tobytes()], pa.binary()),
@@ -191,44 +207,23 @@ def emit(docs: DataFrame, n: int, threshold: float, rank, bits: int) -> DataFram
 
 
 def _jaccard(mine: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
-    held = dict(zip(sets.column("fp").to_pylist(), sets.column("tokens").to_pylist()))
-    a, b = mine.column("a").to_pylist(), mine.column("b").to_pylist()
-    out, cache = ([], [], []), {}
-
-    def tokens(fp):
-        if fp not in cache:
-            cache[fp] = np.frombuffer(held[fp], np.uint64)
-        return cache[fp]
-
-    for x, y in zip(a, b):
-        if x in held and y in held:
-            p, q = tokens(x), tokens(y)
-            at = np.searchsorted(p, q)
-            both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-            j = both / (len(p) + len(q) - both)
-            if j >= threshold - 1e-12:
-                for o, v in zip(out, (x, y, j)):
-                    o.append(v)
-    return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "jaccard": pa.array(out[2], pa.float64())})
+    at = {fp: i for i, fp in enumerate(sets.column("fp").to_pylist())}
+    held = [np.frombuffer(x, np.uint64) for x in sets.column("tokens").to_pylist()]
+    a, b, j = [], [], []
+    for x, y in zip(mine.column("a").to_pylist(), mine.column("b").to_pylist()):
+        p, q = held[at[x]], held[at[y]]
+        place = np.searchsorted(p, q)
+        both = np.count_nonzero(p[np.minimum(place, len(p) - 1)] == q)
+        similarity = both / (len(p) + len(q) - both)
+        if similarity >= threshold - 1e-12:
+            a.append(x)
+            b.append(y)
+            j.append(similarity)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
 
 def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs at the threshold. known: (fp, doc_id, size), a row a set.
-
-    Pairs are gathered by the least candidate of their sets, so that each cluster's sets
-    are sent once; a cluster of more than HELD tokens is cut into a grid of tasks."""
-    both = found.select(F.col("a").alias("fp"), F.col("b").alias("o")).union(found.select("b", "a"))
-    label = both.groupBy("fp").agg(F.least(F.col("fp"), F.min("o")).alias("label"))
-    label = label.join(known, "fp").select("fp", "label", "doc_id", "size").checkpoint()
-    la, lb = (label.select(F.col("fp").alias(c), F.col("label").alias("l" + c)) for c in "ab")
-    keyed = found.join(la, "a").join(lb, "b").select("a", "b", F.least("la", "lb").alias("key"))
-    parts = (keyed.select("key", F.col("a").alias("fp")).union(keyed.select("key", "b")).distinct()
-             .join(label.select("fp", "size"), "fp"))
-    grid = parts.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(HELD / 2)).cast("int").alias("g"))
-    cell = lambda c: F.pmod(F.hash(F.col(c), F.lit(7)), F.col("g"))
-    placed = keyed.join(grid, "key").select("a", "b", "key", cell("a").alias("i"), cell("b").alias("j")).checkpoint()
-    needed = placed.select("key", "i", "j", F.col("a").alias("fp")).union(placed.select("key", "i", "j", "b")).distinct()
-
+    """(a, b, jaccard) of the candidate pairs at the threshold. known: (fp, doc_id, size), a row a set."""
     def tokens(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -237,12 +232,11 @@ def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshol
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([t[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["fp", "tokens"])
 
+    placed, label = po.place(found, known, HELD)
     wanted = small(label.select(F.col("doc_id").alias("_id"), "fp"))
     sets = (docs.join(wanted, F.col("doc_id") == F.col("_id")).select("fp", "text")
             .mapInArrow(tokens, "fp bigint, tokens binary"))
-    sent = needed.join(sets, "fp").selectExpr("key AS k", "i AS ki", "j AS kj", "fp", "tokens")
-    return placed.groupBy("key", "i", "j").cogroup(sent.groupBy("k", "ki", "kj")).applyInArrow(
-        lambda x, y: _jaccard(x, y, threshold), "a bigint, b bigint, jaccard double")
+    return po.gather(placed, sets, lambda x, y: _jaccard(x, y, threshold), "a bigint, b bigint, jaccard double")
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -262,10 +256,10 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "size")
     rank = spark.sparkContext.broadcast(po.ranks(seen.filter("block IS NOT NULL").select("block", "cells")))
     known = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
-    bits = po.bucket_bits(own.count())
-    packed = emit(texts, n, threshold, rank, bits).checkpoint()
-    found = po.pairs(packed.filter("bucket >= 0"), threshold)
-    residual = packed.filter("bucket < 0").mapInArrow(_residual, "fp bigint, size bigint").distinct()
+    dealt = layout({r["size"]: r["count"] for r in own.groupBy("size").count().collect()}, threshold)
+    met = po.meetings(emit(texts, n, threshold, rank, dealt), threshold).checkpoint()
+    found = po.enough(met)
+    residual = met.filter("b IS NULL").select(F.col("a").alias("fp"), F.col("need").cast("bigint").alias("size")).distinct()
     # Sets that couldn't fill their units meet every set of fitting size. Practically none do.
     extra = residual.select(F.col("fp").alias("a"), F.col("size").alias("sa")).crossJoin(known.select(F.col("fp").alias("b"), F.col("size").alias("sb")))
     extra = extra.filter((F.col("a") != F.col("b")) & (F.col("sb") <= F.col("sa")) & (F.col("sb") >= threshold * F.col("sa") - 1e-9)).select("a", "b")
@@ -281,12 +275,6 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     return pairs.union(copies)
 
 
-def _residual(batches):
-    for batch in batches:
-        for i, s in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, np.int64)), pa.array(np.frombuffer(s, np.int32).astype(np.int64))], ["fp", "size"])
-
-
 def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(doc_id, least): each document of (doc_a, doc_b) edges with the least doc_id that
     edges join it to. Each round takes the least label among neighbours and then that
@@ -304,6 +292,11 @@ def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("groups didn't settle")
 
 
+def dropped(groups_: DataFrame) -> DataFrame:
+    """(_drop): every document of a group but the least, marked for broadcast if few."""
+    return small(groups_.filter("doc_id <> least").select(F.col("doc_id").alias("_drop")), 500_000)
+
+
 def query(spark, sf_dir):
     from tideline.llm.common import read
 

@@ -1,7 +1,7 @@
 """A packed self-join on signatures, and counts of tokens in a table of fixed size.
 
 ``Packer`` turns (signature, document) rows into a few binary blobs per bucket of
-signatures, eight bytes a row; ``pairs`` sorts a bucket's rows and yields the documents
+signatures, eight bytes a row; ``meet`` sorts a bucket's rows and yields the documents
 that met. Rows of a database table would take three times the space and a JVM object
 each. A bucket's size follows documents / buckets, so choose buckets by the corpus.
 
@@ -19,35 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm import textkernel as tk
+
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
 PACKED = "bucket int, rows binary, ids binary, sizes binary, needs binary"
 PAIRS = "a bigint, b bigint, w int, need int"
 
 
-def bucket_bits(documents: int, each: int = 8192) -> int:
-    """Bits so that a bucket gets the signatures of ``each`` documents or so."""
-    return max(2, min(16, int(np.ceil(np.log2(max(documents, 1) / each))))) if documents > each else 2
+def bucket_count(rows: int, each: int = 3_000_000) -> int:
+    """Buckets so that each has about that many rows."""
+    return max(1, -(-rows // each))
 
 
 class Packer:
     """Gathers signature rows and gives them out packed by bucket."""
 
-    def __init__(self, bits: int, rows: int = 2_000_000):
-        self.bits, self.limit = bits, rows
+    def __init__(self, rows: int = 500_000):
+        self.limit = rows
         self._clear()
 
     def _clear(self):
-        self.keys, self.docs, self.roles, self.ids, self.sizes, self.needs = [], [], [], [], [], []
+        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs = [], [], [], [], [], [], []
         self.rows = self.count = 0
 
-    def add(self, keys, docs, roles, ids, sizes, needs) -> Iterator[pa.RecordBatch]:
-        """keys, docs, roles of rows, docs counting in ids, sizes, needs (needs: matches wanted)."""
+    def add(self, keys, buckets, docs, roles, ids, sizes, needs) -> Iterator[pa.RecordBatch]:
+        """keys, buckets, docs, roles of rows, docs counting in ids, sizes, needs (needs: matches wanted)."""
         if self.count + len(ids) >= 1 << DOC_BITS or self.rows >= self.limit:
             yield from self.flush()
         if len(ids) >= 1 << DOC_BITS:
             raise ValueError("too many documents at once")
         self.keys.append(keys)
+        self.buckets.append(buckets)
         self.docs.append(docs.astype(np.int64) + self.count)
         self.roles.append(roles)
         self.ids.append(ids)
@@ -58,49 +61,80 @@ class Packer:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            keys, docs, roles = (np.concatenate(x) for x in (self.keys, self.docs, self.roles))
+            keys, bucket, docs, roles = (np.concatenate(x) for x in (self.keys, self.buckets, self.docs, self.roles))
             ids, sizes, needs = (np.concatenate(x) for x in (self.ids, self.sizes, self.needs))
-            bucket = (keys >> np.uint64(64 - self.bits)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            short = (keys >> np.uint64(64 - self.bits - KEY_BITS)) & np.uint64((1 << KEY_BITS) - 1)
-            ends = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
+            order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+            short = keys >> np.uint64(64 - KEY_BITS)
+            present, starts = np.unique(bucket[order], return_index=True)
+            ends = np.append(starts, len(order))
             out = ([], [], [], [], [])
-            for b in range(1 << self.bits):
-                at = order[ends[b]:ends[b + 1]]
-                if not len(at):
-                    continue
+            for n, b in enumerate(present.tolist()):
+                at = order[ends[n]:ends[n + 1]]
                 here = np.zeros(len(ids), bool)
                 here[docs[at]] = True
                 local = np.cumsum(here) - 1
                 packed = (short[at] << np.uint64(DOC_BITS + ROLE_BITS)) | (local[docs[at]].astype(np.uint64) << np.uint64(ROLE_BITS)) | roles[at].astype(np.uint64)
-                for x, y in zip(out, (b, packed.tobytes(), ids[here].astype(np.int64).tobytes(), sizes[here].astype(np.int32).tobytes(), needs[here].astype(np.int32).tobytes())):
+                for x, y in zip(out, (b, packed.tobytes(), ids[here].astype(np.int64).tobytes(), sizes[here].astype(np.int32).tobytes(), np.clip(needs[here], 0, 255).astype(np.uint8).tobytes())):
                     x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]],
                                              ["bucket", "rows", "ids", "sizes", "needs"])
         self._clear()
 
 
-def meet(table: pa.Table, ratio: float, at_once: int = 2_000_000) -> pa.Table:
+def meet(table: pa.Table, ratio: float, either: bool = False, at_once: int = 500_000) -> pa.Table:
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
-    ratio times a's size; w the look-ups of a that found b, need what a wants."""
-    keys, docs, roles, base, ids, sizes, needs = [], [], [], 0, [], [], []
-    for r, i, s, n in zip(*(table.column(c).to_pylist() for c in ("rows", "ids", "sizes", "needs"))):
-        packed = np.frombuffer(r, np.uint64)
-        keys.append(packed >> np.uint64(DOC_BITS + ROLE_BITS))
-        docs.append(((packed >> np.uint64(ROLE_BITS)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int32) + base)
-        roles.append((packed & np.uint64((1 << ROLE_BITS) - 1)).astype(np.uint8))
-        ids.append(np.frombuffer(i, np.int64))
-        sizes.append(np.frombuffer(s, np.int32))
-        needs.append(np.frombuffer(n, np.int32))
-        base += len(ids[-1])
-    keys, docs, roles, ids, sizes, needs = (np.concatenate(x) for x in (keys, docs, roles, ids, sizes, needs))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    ratio times a's size; w the look-ups of a that found b, need what a wants (with
+    ``either``, the less of what a and b want). A quarter of the signatures at a time."""
+    if table.column("bucket")[0].as_py() < 0:  # named sets, passed on as (a, null, null, size)
+        a = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        size = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("sizes").to_pylist()])
+        return pa.table({"a": pa.array(a), "b": pa.nulls(len(a), pa.int64()), "w": pa.nulls(len(a), pa.int32()), "need": pa.array(size, pa.int32())})
+    blobs, base, ids, sizes, needs = [], [0], [], [], []
+    for row in zip(*(table.column(c) for c in ("rows", "ids", "sizes", "needs"))):
+        r, i, s, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int64, np.int32, np.uint8)))
+        blobs.append(r)
+        ids.append(i)
+        sizes.append(s)
+        needs.append(n)
+        base.append(base[-1] + len(ids[-1]))
+    ids, sizes, needs = (np.concatenate(x) for x in (ids, sizes, needs))
+    found, waiting = [], 0
+    for part in range(4):
+        for x in _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
+            found.append(x)
+            waiting += len(x[0])
+            if waiting > at_once and len(found) > 1:  # the same pairs meet again and again
+                found = [_summed(*(np.concatenate(y) for y in zip(*found)))]
+                waiting = len(found[0][0]) // 2
+    if not found:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int32()), "need": pa.array([], pa.int32())})
+    a, b, w, need = _summed(*(np.concatenate(x) for x in zip(*found)))
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "w": pa.array(w, pa.int32()), "need": pa.array(need, pa.int32())})
+
+
+def _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
+    """The summed pairs of the signatures whose upper two bits are part, chunk by chunk."""
+    mine = [x[x >> np.uint64(62) == part] for x in blobs]
+    keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in mine])
+    lone = np.sort(keys)
+    twice = lone[1:][lone[1:] == lone[:-1]]
+    if not len(twice):
+        return
+    del lone, keys
+    # Few signatures are there twice; a bit table of them lets most rows go before sorting rows.
+    bits = np.zeros(1 << 22, bool)
+    bits[(twice & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+    kept = [x[bits[((x >> np.uint64(DOC_BITS + ROLE_BITS)) & np.uint64((1 << 22) - 1)).astype(np.int64)]] for x in mine]
+    docs = np.concatenate([((x >> np.uint64(ROLE_BITS)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64) + b for x, b in zip(kept, base)])
+    rows = np.concatenate(kept)
+    del mine, kept
+    keys, roles = rows >> np.uint64(DOC_BITS + ROLE_BITS), (rows & np.uint64((1 << ROLE_BITS) - 1)).astype(np.uint8)
+    order = np.argsort(keys)
+    keys, docs, roles = keys[order], docs[order], roles[order]
     met = np.zeros(len(keys), bool)
     met[1:] = keys[1:] == keys[:-1]
     met[:-1] |= met[1:]
-    order, keys = order[met], keys[met]
-    docs, roles = docs[order], roles[order]
+    keys, docs, roles = keys[met], docs[met], roles[met]
     # Copies (one id) that share a signature count once: the id's first row of a role.
     again = np.lexsort((roles, ids[docs], keys))
     keys, docs, roles = keys[again], docs[again], roles[again]
@@ -111,7 +145,7 @@ def meet(table: pa.Table, ratio: float, at_once: int = 2_000_000) -> pa.Table:
     start[1:] = keys[1:] != keys[:-1]
     first = np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
     place = np.arange(len(keys)) - first  # with each row, its pairs with the rows before it
-    total, found, low = np.concatenate([[0], np.cumsum(place)]), [], 0
+    total, low = np.concatenate([[0], np.cumsum(place)]), 0
     while low < len(keys):
         high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, side="right")) - 1)
         n = place[low:high]
@@ -126,28 +160,56 @@ def meet(table: pa.Table, ratio: float, at_once: int = 2_000_000) -> pa.Table:
         w = w + np.where((rb & INDEX_DEL) > 0, (ra & PROBE2) // PROBE2, 0)
         good = (w > 0) & (ids[da] != ids[db]) & (sizes[db] >= ratio * sizes[da] - 1e-9)
         if good.any():
-            found.append(_summed(ids[da[good]], ids[db[good]], w[good].astype(np.int64), needs[da[good]]))
-    if not found:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int32()), "need": pa.array([], pa.int32())})
-    a, b, w, need = _summed(*(np.concatenate(x) for x in zip(*found)))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "w": pa.array(w, pa.int32()), "need": pa.array(need, pa.int32())})
+            da, db = da[good], db[good]
+            want = np.minimum(needs[da], needs[db]) if either else needs[da]
+            yield _summed(ids[da], ids[db], w[good].astype(np.int64), want.astype(np.int32))
 
 
 def _summed(a, b, w, need):
-    order = np.lexsort((b, a))
-    a, b, w, need = a[order], b[order], w[order], need[order]
+    key = tk.mix64(a.astype(np.uint64)) + b.astype(np.uint64)
+    order = np.argsort(key)
+    key, a, b, w, need = key[order], a[order], b[order], w[order], need[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
     return a[at], b[at], np.add.reduceat(w, at), np.minimum.reduceat(need, at)
 
 
-def pairs(packed: DataFrame, ratio: float) -> DataFrame:
+def meetings(packed: DataFrame, ratio: float, either: bool = False) -> DataFrame:
+    """(a, b, w, need) of each bucket; bucket -1 holds sets that need another way, passed on without b."""
+    return packed.groupBy("bucket").applyInArrow(lambda t: meet(t, ratio, either), PAIRS)
+
+
+def enough(met: DataFrame) -> DataFrame:
     """(a, b): the pairs whose look-ups over all buckets reach what a wants."""
-    met = packed.groupBy("bucket").applyInArrow(lambda t: meet(t, ratio), PAIRS)
+    met = met.filter("b IS NOT NULL")
     return met.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("need").alias("need")).filter("w >= need").select("a", "b")
 
 
+def place(found: DataFrame, known: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
+    """Tasks for candidate pairs. found: (a, b); known: (fp, size, ...), a row each.
+
+    Pairs are gathered by the least candidate of their sets, so that what a cluster needs
+    is sent once; a cluster whose sizes add up to more than ``held`` is cut into a grid of
+    tasks. Returns (a, b, key, i, j), and known for those in a pair with a label."""
+    both = found.select(F.col("a").alias("fp"), F.col("b").alias("o")).union(found.select("b", "a"))
+    label = both.groupBy("fp").agg(F.least(F.col("fp"), F.min("o")).alias("label")).join(known, "fp").checkpoint()
+    la, lb = (label.select(F.col("fp").alias(c), F.col("label").alias("l" + c)) for c in "ab")
+    keyed = found.join(la, "a").join(lb, "b").select("a", "b", F.least("la", "lb").alias("key"))
+    parts = (keyed.select("key", F.col("a").alias("fp")).union(keyed.select("key", "b")).distinct()
+             .join(label.select("fp", "size"), "fp"))
+    grid = parts.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
+    cell = lambda c: F.pmod(F.hash(F.col(c), F.lit(7)), F.col("g"))
+    return keyed.join(grid, "key").select("a", "b", "key", cell("a").alias("i"), cell("b").alias("j")).checkpoint(), label
+
+
+def gather(placed: DataFrame, payload: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(pairs, payload rows of their sets) of each task. payload: (fp, ...), a row each."""
+    needed = placed.select("key", "i", "j", F.col("a").alias("fp")).union(placed.select("key", "i", "j", "b")).distinct()
+    sent = needed.select(F.col("key").alias("_key"), F.col("i").alias("_i"), F.col("j").alias("_j"), "fp").join(payload, "fp")
+    return placed.groupBy("key", "i", "j").cogroup(sent.groupBy("_key", "_i", "_j")).applyInArrow(compare, schema)
+
+
 CELL_BITS, BLOCK_BITS = 22, 16
 
 
@@ -155,16 +217,21 @@ class Counter:
     """Counts tokens by their low bits; given out as blocks of one byte a cell."""
 
     def __init__(self, bits: int = CELL_BITS):
-        self.bits, self.cells = bits, np.zeros(1 << bits, np.uint32)
+        self.bits, self.cells, self.waiting, self.count = bits, np.zeros(1 << bits, np.uint32), [], 0
 
     def add(self, tokens: np.ndarray) -> None:
-        cell = (tokens & np.uint64((1 << self.bits) - 1)).astype(np.int64)
-        if len(cell) * 8 > len(self.cells):
-            self.cells += np.bincount(cell, minlength=len(self.cells)).astype(np.uint32)
-        else:
-            np.add.at(self.cells, cell, 1)
+        self.waiting.append((tokens & np.uint64((1 << self.bits) - 1)).astype(np.uint32))
+        self.count += len(tokens)
+        if self.count > len(self.cells):
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.count:
+            self.cells += np.bincount(np.concatenate(self.waiting), minlength=len(self.cells)).astype(np.uint32)
+        self.waiting, self.count = [], 0
 
     def blocks(self) -> tuple[list[int], list[bytes]]:
+        self._settle()
         size = min(1 << BLOCK_BITS, len(self.cells))
         small = np.minimum(self.cells, 255).astype(np.uint8).reshape(-1, size)
         return list(range(len(small))), [x.tobytes() for x in small]
