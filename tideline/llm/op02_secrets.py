@@ -114,16 +114,24 @@ def redact(docs: DataFrame, window: int = WINDOW, mask: str = MASK) -> DataFrame
     span = F.struct("start", "stop")
     # Forms can overlap only by being one match, so spans of a document are disjoint.
     found = link(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_set(span), asc=False).alias("spans"))
-    found = small(found.checkpoint().select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")))
-    cut = F.aggregate(F.col("_spans"), F.col("text"), lambda t, s: F.concat(
+    found = small(found.checkpoint().select(F.struct(F.col("doc_id").alias("id"), "spans").alias("_f")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
+    text, spans = F.col("_r.text"), F.col("_f.spans")
+    cut = F.aggregate(spans, text, lambda t, s: F.concat(
         F.substring(t, F.lit(1), s["start"].cast("int")), F.lit(mask),
         F.substring(t, s["stop"].cast("int") + 1, F.length(t))))
-    text = F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut)
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_text", text)
-    out = [F.col("_text").alias(c) if c == "text" else
-           F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars"
-           else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out)
+    made = row.join(found, F.col("_r.doc_id").eqNullSafe(F.col("_f.id")), "left").withColumn(
+        "_t", F.when(spans.isNull() | text.isNull(), text).otherwise(cut))
+
+    def out(c):
+        own = F.col(f"_r.`{c}`")
+        if c == "text":
+            return F.col("_t").alias(c)
+        if c == "n_chars":
+            return F.when(spans.isNull(), own).otherwise(F.length("_t").cast(docs.schema[c].dataType)).alias(c)
+        return own.alias(c)
+
+    return made.select(*[out(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):
