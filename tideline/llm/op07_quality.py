@@ -67,10 +67,8 @@ def features(texts: pa.Array) -> np.ndarray:
     for lag in (1, 2):
         same = (hashes[lag:] == hashes[:-lag]) & (row[lag:] == row[:-lag])
         out[:, column[f"repeat{lag}"]] = np.bincount(row[lag:][same], minlength=rows) / many
-    ordered = np.lexsort((hashes, row))
-    fresh = np.ones(len(ordered), bool)
-    fresh[1:] = (hashes[ordered][1:] != hashes[ordered][:-1]) | (row[ordered][1:] != row[ordered][:-1])
-    out[:, column["distinct"]] = np.bincount(row[ordered][fresh], minlength=rows) / many ** 0.9
+    once = tk.distinct((row.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+    out[:, column["distinct"]] = np.bincount((once >> np.uint64(44)).astype(np.int64), minlength=rows) / many ** 0.9
     out[:, column["odd_end"]] = np.bincount(row, ODD[data[stops - 1]], rows) / many
     out[:, column["capital_words"]] = np.bincount(row, CLASSES["upper"][data[starts]], rows) / many
     out[:, column["line_words"]] = np.log1p(many / (1 + out[:, column["newline"]] * size))
