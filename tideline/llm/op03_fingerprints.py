@@ -32,6 +32,8 @@ LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
 LETTERS = 7
 #: So many of their rarest chunks two signatures must have in common, if they need that many.
 RARE = 4
+#: Signature rows of a level that one task holds.
+WHOLE = 12_000_000
 #: Chunks of the fingerprints that one comparing task holds.
 HELD = 1_000_000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -167,7 +169,7 @@ def _distinct(batch: pa.RecordBatch):
         yield tokens, row, np.bincount(row, minlength=len(n)), k + shift
 
 
-def search(docs: DataFrame, least: int = SCORE, share: float = SHARE) -> DataFrame:
+def search(docs: DataFrame, least: int = SCORE, share: float = SHARE, rare: int = RARE) -> DataFrame:
     """(doc_a, doc_b, score) with doc_a < doc_b and score >= least.
 
     Documents of equal fingerprints are tied to the least doc_id of them, with score 100;
@@ -189,10 +191,12 @@ def search(docs: DataFrame, least: int = SCORE, share: float = SHARE) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.binary())], ["block", "cells"])
 
     rank = spark.sparkContext.broadcast(po.ranks(sets.select("k", "first", "second").mapInArrow(count, "block int, cells binary")))
-    buckets = np.uint64(po.bucket_count(50 * sets.count()))
+    # A bucket a level, as long as the commonest level fits a task; beyond, levels are cut into parts.
+    most = sets.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    cut = np.uint64(po.bucket_count(64 * most, WHOLE))
 
     def emit(batches):
-        packer, table = po.Packer(), rank.value
+        packer, table = po.Packer(mapped=True), rank.value
         for batch in batches:
             ids = np.asarray(batch.column("fp"))
             for tokens, row, size, level in _distinct(batch):
@@ -201,15 +205,19 @@ def search(docs: DataFrame, least: int = SCORE, share: float = SHARE) -> DataFra
                 tokens_, row_ = tokens[order], row[order]
                 start = np.concatenate([[0], np.cumsum(size)])[row_]
                 least_ = np.maximum(1, np.ceil(share * size - 1e-9)).astype(np.int64)
-                need = np.minimum(RARE, least_)
+                need = np.minimum(rare, least_)
                 prefix = np.arange(len(row_)) - start < (size - least_ + need)[row_]
                 # The cost must order tokens alike everywhere, so equal costs go by token.
                 keys, at = tokens_[prefix], row_[prefix]
-                yield from packer.add(keys, (keys & np.uint64(0xFFFF)) % buckets, at, np.full(len(at), po.INDEX | po.PROBE, np.uint8), ids, size, need)
+                bucket = np.asarray(level)[at] * int(cut) + ((keys & np.uint64(0xFFFF)) % cut).astype(np.int64)
+                yield from packer.add(keys, bucket, at, np.full(len(at), po.INDEX | po.PROBE, np.uint8), ids, size, need,
+                                      po.bit_map(tokens, row, len(ids)))
         yield from packer.flush()
 
-    packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.PACKED)
-    found = po.enough(po.meetings(packed, share, either=True)).checkpoint()
+    packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.MAPPED)
+    met = po.meetings(packed, share, either=True, whole=bool(cut == 1))
+    # Which of two is larger can differ between their block sizes; a pair is one all the same.
+    found = po.enough(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "need")).checkpoint()
 
     def compare(pairs: pa.Table, held: pa.Table) -> pa.Table:
         held = held.combine_chunks()

@@ -10,8 +10,6 @@ less one token; PROBE a look-up worth 1; PROBE2 one worth 2; PROBE_DEL a look-up
 part less one token.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +22,9 @@ from tideline.llm import textkernel as tk
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
 PACKED = "bucket int, rows binary, ids binary, sizes binary, needs binary"
+MAPPED = PACKED + ", maps binary"
+#: Words of 64 bits in the bit map of a set that ``meet_whole`` may use.
+MAP_WORDS = 16
 PAIRS = "a bigint, b bigint, w int, need int"
 
 
@@ -35,15 +36,15 @@ def bucket_count(rows: int, each: int = 3_000_000) -> int:
 class Packer:
     """Gathers signature rows and gives them out packed by bucket."""
 
-    def __init__(self, rows: int = 500_000):
-        self.limit = rows
+    def __init__(self, rows: int = 500_000, mapped: bool = False):
+        self.limit, self.mapped = rows, mapped
         self._clear()
 
     def _clear(self):
-        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs = [], [], [], [], [], [], []
+        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs, self.maps = [], [], [], [], [], [], [], []
         self.rows = self.count = 0
 
-    def add(self, keys, buckets, docs, roles, ids, sizes, needs) -> Iterator[pa.RecordBatch]:
+    def add(self, keys, buckets, docs, roles, ids, sizes, needs, maps=None) -> Iterator[pa.RecordBatch]:
         """keys, buckets, docs, roles of rows, docs counting in ids, sizes, needs (needs: matches wanted)."""
         if self.count + len(ids) >= 1 << DOC_BITS or self.rows >= self.limit:
             yield from self.flush()
@@ -56,6 +57,7 @@ class Packer:
         self.ids.append(ids)
         self.sizes.append(sizes)
         self.needs.append(needs)
+        self.maps.append(maps)
         self.rows += len(keys)
         self.count += len(ids)
 
@@ -67,7 +69,8 @@ class Packer:
             short = keys >> np.uint64(64 - KEY_BITS)
             present, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts, len(order))
-            out = ([], [], [], [], [])
+            maps = np.concatenate(self.maps) if self.mapped else None
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for n, b in enumerate(present.tolist()):
                 at = order[ends[n]:ends[n + 1]]
                 here = np.zeros(len(ids), bool)
@@ -76,40 +79,118 @@ class Packer:
                 packed = (short[at] << np.uint64(DOC_BITS + ROLE_BITS)) | (local[docs[at]].astype(np.uint64) << np.uint64(ROLE_BITS)) | roles[at].astype(np.uint64)
                 for x, y in zip(out, (b, packed.tobytes(), ids[here].astype(np.int64).tobytes(), sizes[here].astype(np.int32).tobytes(), np.clip(needs[here], 0, 255).astype(np.uint8).tobytes())):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]],
-                                             ["bucket", "rows", "ids", "sizes", "needs"])
+                if maps is not None:
+                    out[5].append(maps[here].tobytes())
+            some = 6 if self.mapped else 5
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:some]]],
+                                             ["bucket", "rows", "ids", "sizes", "needs", "maps"][:some])
         self._clear()
 
 
-def meet(table: pa.Table, ratio: float, either: bool = False, at_once: int = 500_000) -> pa.Table:
+def meet(group: list[pa.RecordBatch], ratio: float, either: bool = False, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
     ratio times a's size; w the look-ups of a that found b, need what a wants (with
-    ``either``, the less of what a and b want). A quarter of the signatures at a time."""
-    if table.column("bucket")[0].as_py() < 0:  # named sets, passed on as (a, null, null, size)
-        a = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("sizes").to_pylist()])
-        return pa.table({"a": pa.array(a), "b": pa.nulls(len(a), pa.int64()), "w": pa.nulls(len(a), pa.int32()), "need": pa.array(size, pa.int32())})
-    blobs, base, ids, sizes, needs = [], [0], [], [], []
-    for row in zip(*(table.column(c) for c in ("rows", "ids", "sizes", "needs"))):
-        r, i, s, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int64, np.int32, np.uint8)))
-        blobs.append(r)
-        ids.append(i)
-        sizes.append(s)
-        needs.append(n)
-        base.append(base[-1] + len(ids[-1]))
-    ids, sizes, needs = (np.concatenate(x) for x in (ids, sizes, needs))
-    found, waiting = [], 0
+    ``either``, the less of what a and b want). A quarter of the signatures at a time;
+    sums are given out whenever ``most`` have gathered, so a pair may come more than once."""
+    named = [b.column("ids")[i].as_buffer() for b in group for i in range(b.num_rows) if b.column("bucket")[i].as_py() < 0]
+    if named:  # sets that need another way, passed on as (a, null, null, size)
+        a = np.concatenate([np.frombuffer(x, np.int64) for x in named])
+        size = np.concatenate([np.frombuffer(b.column("sizes")[i].as_buffer(), np.int32) for b in group for i in range(b.num_rows)])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(size, pa.int32())], ["a", "b", "w", "need"])
+        return
+    blobs, base, ids, sizes, needs = _unpacked(group)
+    found, waiting, limit = [], 0, 2 * at_once
+
+    def settled():
+        return [_summed(*(np.concatenate(y) for y in zip(*found)))]
+
     for part in range(4):
         for x in _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
             found.append(x)
             waiting += len(x[0])
-            if waiting > at_once and len(found) > 1:  # the same pairs meet again and again
-                found = [_summed(*(np.concatenate(y) for y in zip(*found)))]
-                waiting = len(found[0][0]) // 2
-    if not found:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int32()), "need": pa.array([], pa.int32())})
-    a, b, w, need = _summed(*(np.concatenate(x) for x in zip(*found)))
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "w": pa.array(w, pa.int32()), "need": pa.array(need, pa.int32())})
+            if waiting > limit:  # the same pairs meet again and again
+                found = settled()
+                waiting = len(found[0][0])
+                limit = 2 * (waiting + at_once)
+                if waiting > most:
+                    yield _given(*found[0])
+                    found, waiting, limit = [], 0, 2 * at_once
+    if found:
+        yield _given(*settled()[0])
+
+
+def _unpacked(group: list[pa.RecordBatch]):
+    blobs, base, ids, sizes, needs = [], [0], [], [], []
+    for batch in group:
+        for row in zip(*(batch.column(c) for c in ("rows", "ids", "sizes", "needs"))):
+            r, i, s, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int64, np.int32, np.uint8)))
+            blobs.append(r)
+            ids.append(i)
+            sizes.append(s)
+            needs.append(n)
+            base.append(base[-1] + len(ids[-1]))
+    return blobs, base, *(np.concatenate(x) for x in (ids, sizes, needs))
+
+
+def bit_map(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, MAP_WORDS): a bit for each token of a row's set, by the token's upper bits."""
+    place = (tokens >> np.uint64(54)).astype(np.int64)
+    bits = np.zeros((rows, MAP_WORDS * 64), np.uint8)
+    bits[row, place] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _given(a, b, w, need) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int32()), pa.array(need, pa.int32())], ["a", "b", "w", "need"])
+
+
+def meet_whole(group: list[pa.RecordBatch], ratio: float, at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """``meet`` with ``either`` for a bucket that has all signatures of its documents, each a plain
+    INDEX and PROBE: document by document, so that pairs which meet too seldom are dropped here.
+    So are pairs that by their bit maps can't have ratio times the larger set in common: common
+    tokens are at most the common bits and the tokens by which a set outnumbers its own bits."""
+    blobs, base, ids, sizes, needs = _unpacked(group)
+    maps = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, MAP_WORDS) for batch in group for x in batch.column("maps")])
+    spare = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in blobs])
+    docs = np.concatenate([((x >> np.uint64(ROLE_BITS)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64) + b for x, b in zip(blobs, base)])
+    del blobs
+    order = np.argsort(keys)
+    keys, docs = keys[order], docs[order]
+    start = np.ones(len(keys), bool)
+    start[1:] = keys[1:] != keys[:-1]
+    lead = np.flatnonzero(start)
+    count = np.diff(np.append(lead, len(keys)))
+    run = np.cumsum(start) - 1
+    first, n = lead[run], count[run]
+    by_doc = np.flatnonzero(n > 1)
+    by_doc = by_doc[np.argsort(docs[by_doc])]
+    total = np.concatenate([[0], np.cumsum(n[by_doc])])
+    edge = np.flatnonzero(np.concatenate([[True], docs[by_doc][1:] != docs[by_doc][:-1], [True]])) if len(by_doc) else np.zeros(1, np.int64)
+    low = 0
+    while low < len(edge) - 1:
+        high = max(low + 1, int(np.searchsorted(total[edge], total[edge[low]] + at_once, side="right")) - 1)
+        rows = by_doc[edge[low]:edge[high]]
+        low = high
+        x = np.repeat(rows, n[rows])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows]) + first[x]
+        a, b = docs[x], docs[y]
+        good = (ids[a] != ids[b]) & ((sizes[b] < sizes[a]) | ((sizes[b] == sizes[a]) & (ids[b] < ids[a]))) & (sizes[b] >= ratio * sizes[a] - 1e-9)
+        pair = np.sort((a[good].astype(np.uint64) << np.uint64(32)) | b[good].astype(np.uint64))
+        new = np.ones(len(pair), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        at = np.flatnonzero(new)
+        w = np.diff(np.append(at, len(pair)))
+        a, b = (pair[at] >> np.uint64(32)).astype(np.int64), (pair[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        need = np.minimum(needs[a], needs[b])
+        some = w >= need
+        a, b, w, need = a[some], b[some], w[some], need[some]
+        for at in range(0, len(a), 1 << 17):
+            p, q = a[at:at + (1 << 17)], b[at:at + (1 << 17)]
+            most = np.bitwise_count(maps[p] & maps[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
+            fit = most >= np.ceil(ratio * sizes[p] - 1e-9)
+            if fit.any():
+                yield _given(ids[p[fit]], ids[q[fit]], w[at:at + (1 << 17)][fit], need[at:at + (1 << 17)][fit])
 
 
 def _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
@@ -175,9 +256,13 @@ def _summed(a, b, w, need):
     return a[at], b[at], np.add.reduceat(w, at), np.minimum.reduceat(need, at)
 
 
-def meetings(packed: DataFrame, ratio: float, either: bool = False) -> DataFrame:
-    """(a, b, w, need) of each bucket; bucket -1 holds sets that need another way, passed on without b."""
-    return packed.groupBy("bucket").applyInArrow(lambda t: meet(t, ratio, either), PAIRS)
+def meetings(packed: DataFrame, ratio: float, either: bool = False, whole: bool = False) -> DataFrame:
+    """(a, b, w, need) of each bucket; bucket -1 holds sets that need another way, passed on without b.
+    whole: each bucket has all signatures by which its documents can meet (see ``meet_whole``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meet_whole(list(batches), ratio) if whole else meet(list(batches), ratio, either)
+
+    return packed.groupBy("bucket").applyInArrow(run, PAIRS)
 
 
 def enough(met: DataFrame) -> DataFrame:
