@@ -281,9 +281,8 @@ def place(found: DataFrame, known: DataFrame, held: int) -> tuple[DataFrame, Dat
     label = both.groupBy("fp").agg(F.least(F.col("fp"), F.min("o")).alias("label")).join(known, "fp").checkpoint()
     la, lb = (label.select(F.col("fp").alias(c), F.col("label").alias("l" + c)) for c in "ab")
     keyed = found.join(la, "a").join(lb, "b").select("a", "b", F.least("la", "lb").alias("key"))
-    parts = (keyed.select("key", F.col("a").alias("fp")).union(keyed.select("key", "b")).distinct()
-             .join(label.select("fp", "size"), "fp"))
-    grid = parts.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
+    # Most sets of a cluster have its key as their label, so labels tell its size without another pass over pairs.
+    grid = label.groupBy(F.col("label").alias("key")).agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
     cell = lambda c: F.pmod(F.hash(F.col(c), F.lit(7)), F.col("g"))
     return keyed.join(grid, "key").select("a", "b", "key", cell("a").alias("i"), cell("b").alias("j")).checkpoint(), label
 
