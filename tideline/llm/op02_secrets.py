@@ -1,7 +1,8 @@
 """Secret scan by multipart credential linking.
 
-One pattern finds the parts of credentials in a text: access identifiers, secrets and
-endpoints, each an interval of characters. The parts are joined as intervals within
+A pattern for each form finds the parts of credentials in a text: access identifiers,
+secrets and endpoints, each an interval of characters; a secret may lie inside an
+endpoint (a URL's password or query parameter). The parts are joined as intervals within
 their scope (a document): a secret is linked with the nearest identifier and the nearest
 endpoint at most ``window`` characters away. Secrets of a strong form (assigned to a
 telling name, or with an issuer's prefix) are reported in any case; weak ones (a bare
@@ -16,62 +17,120 @@ parts near each other, not the square of a document's parts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ready, small
 
 WINDOW = 300
 
-#: What the parts look like. Only constructs on which Java and RE2 agree.
-ASSIGN = r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
-PATTERNS = {
+#: What SQL's check looks for: the parts of one alternation, which can't overlap. Only constructs on which Java and RE2 agree.
+SQL_ASSIGN = r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+SQL_PATTERNS = {
     "aws_id": r"A[KS]IA[0-9A-Z]{16}",
     "issued": r"ghp_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z_-]{20,}|AIza[0-9A-Za-z_-]{35}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assigned": rf"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd){ASSIGN}[0-9A-Za-z+/_.~!@#%^&*-]{{6,}}",
-    "identifier": rf"(?i:key[_-]?id|client[_-]?id|user(?:name)?|login|account|app[_-]?id){ASSIGN}[0-9A-Za-z._@+-]{{2,}}",
+    "assigned": rf"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd){SQL_ASSIGN}[0-9A-Za-z+/_.~!@#%^&*-]{{6,}}",
+    "identifier": rf"(?i:key[_-]?id|client[_-]?id|user(?:name)?|login|account|app[_-]?id){SQL_ASSIGN}[0-9A-Za-z._@+-]{{2,}}",
     "url": r"(?i:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^ \t\r\n\"'<>]{4,}",
     "address": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "email": r"[0-9A-Za-z._+-]+@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+",
     "hex": r"[0-9a-fA-F]{32,}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = "|".join(f"(?:{p})" for p in SQL_PATTERNS.values())
+
+#: What the parts look like; each is sought on its own, so parts may overlap. A quote, in
+#: JSON within a string an escaped one, may close the name before the separator.
+QUOTE = r"(?:\\?[\"'])?"
+ASSIGN = rf"{QUOTE}[ \t]{{0,3}}[=:][ \t]{{0,3}}{QUOTE}"
+SECRET_NAME = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)"
+#: A URL's user and password, and the name and value of a query parameter.
+USER, PASSWORD = r"[^ \t\r\n\"'<>/?#@:]", r"[^ \t\r\n\"'<>/?#]"
+PATTERNS = SQL_PATTERNS | {
+    "assigned": rf"{SECRET_NAME}{ASSIGN}[0-9A-Za-z+/_.~!@#%^&*-]{{6,}}",
+    "identifier": rf"(?i:key[_-]?id|client[_-]?id|user(?:name)?|login|account|app[_-]?id){ASSIGN}[0-9A-Za-z._@+-]{{2,}}",
+    "url": r"(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://[^ \t\r\n\"'<>]{4,}",
+    "userinfo": rf"://{USER}*:{PASSWORD}+@",
+    "user": rf"://{USER}+:{PASSWORD}+@",
+    "query": rf"[?&][0-9A-Za-z_.-]{{0,40}}{SECRET_NAME}=[^ \t\r\n\"'<>&#;]{{6,}}",
+}
+#: What of a match stands before the value, and after it.
+LEAD = {"assigned": rf"^[A-Za-z_-]+{ASSIGN}", "identifier": rf"^[A-Za-z_-]+{ASSIGN}", "userinfo": rf"^://{USER}*:", "user": "^://", "query": "^[^=]+="}
+TAIL = {"userinfo": "@$", "user": rf":{PASSWORD}+@$"}
+#: No part of the form is without this text.
+NEEDS = {"private_key": "-----BEGIN", "url": "://", "email": "@", "userinfo": "://", "user": "://"}
 #: No part is without one of these.
 HINT = r"[=:@0-9]|----|ghp_|xox|sk-|A[KS]IA|AIza|[a-fA-F]{32}"
 #: An assigned value of fewer characters, or of letters alone, is weak.
 STRONG_CHARS = 16
+#: Of equal intervals the first form stays.
+SECRETS = ("private_key", "query", "userinfo", "assigned", "issued", "hex")
+IDENTIFIERS = ("aws_id", "identifier", "email", "user")
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, form, value, name): each part of each text, in characters from 0."""
     hit = docs.select("doc_id", "text").filter(F.col("text").rlike(HINT))
-    found = hit.select("doc_id", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("m"),
-                       F.split("text", ANY, -1).alias("gaps")).filter(F.size("m") > 0)
-    steps = F.transform("m", lambda x, i: F.length(F.element_at("gaps", i + 1)) + F.length(x))
-    stops = F.aggregate(steps, F.array(F.lit(0)), lambda all_, n: F.array_append(all_, F.element_at(all_, -1) + n))
-    placed = (found.select("doc_id", "m", stops.alias("stops"))
-              .select("doc_id", "stops", F.posexplode("m").alias("i", "whole"))
-              .select("doc_id", "whole", F.element_at("stops", F.col("i") + 2).alias("stop")))
-    form = F.when(F.col("whole").rlike("^(?:" + PATTERNS["aws_id"] + ")$"), "aws_id")
-    for name in ("issued", "private_key", "assigned", "identifier", "url", "address", "email"):
-        form = form.when(F.col("whole").rlike("^(?:" + PATTERNS[name] + ")$"), name)
-    named = placed.withColumn("form", form.otherwise("hex"))
+    none, pieces = F.array().cast("array<string>"), []
+    for name, pattern in PATTERNS.items():
+        there = F.col("text").contains(NEEDS[name]) if name in NEEDS else F.lit(True)
+        pieces += [F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"m_{name}"),
+                   F.when(there, F.split("text", pattern, -1)).otherwise(none).alias(f"g_{name}")]
+    cut = hit.select("doc_id", *pieces)
+
+    def placed(name):
+        m, gaps = F.col(f"m_{name}"), F.col(f"g_{name}")
+        steps = F.transform(m, lambda x, i: F.length(F.element_at(gaps, i + 1)) + F.length(x))
+        stops = F.aggregate(steps, F.array(F.lit(0)), lambda all_, n: F.array_append(all_, F.element_at(all_, -1) + n))
+        return F.transform(F.arrays_zip(m.alias("whole"), F.slice(stops, 2, F.greatest(F.size(m), F.lit(1))).alias("stop")),
+                           lambda x: F.struct(F.lit(name).alias("form"), x["whole"].alias("whole"), x["stop"].alias("stop")))
+
+    found = cut.select("doc_id", F.explode(F.concat(*[placed(n) for n in PATTERNS])).alias("p")).select("doc_id", "p.*")
+
+    def by_form(table, missing):
+        out = F.when(F.lit(False), missing)
+        for name, pattern in table.items():
+            out = out.when(F.col("form") == name, F.regexp_extract("whole", pattern, 0))
+        return F.length(out.otherwise(missing))
+
+    lead, tail = by_form(LEAD, F.lit("")), by_form(TAIL, F.lit(""))
     pair = F.col("form").isin("assigned", "identifier")
-    value = F.when(pair, F.regexp_replace("whole", rf"^[A-Za-z_-]+{ASSIGN}", "")).otherwise(F.col("whole"))
-    return (named.withColumn("value", value)
+    return (found.withColumn("_l", lead).withColumn("_t", tail)
+            .withColumn("value", F.expr("substring(whole, _l + 1, length(whole) - _l - _t)"))
             .withColumn("name", F.when(pair, F.lower(F.regexp_extract("whole", "^[A-Za-z_-]+", 0))))
+            .withColumn("stop", F.col("stop") - F.col("_t"))
             .select("doc_id", (F.col("stop") - F.length("value")).cast("bigint").alias("start"),
                     F.col("stop").cast("bigint").alias("stop"), "form", "value", "name").distinct())
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """parts with ``role`` (secret, identifier, endpoint) and ``strong``."""
-    role = (F.when(F.col("form").isin("issued", "private_key", "assigned", "hex"), "secret")
-            .when(F.col("form").isin("aws_id", "identifier", "email"), "identifier").otherwise("endpoint"))
-    strong = F.col("form").isin("issued", "private_key") | (
-        (F.col("form") == "assigned") & (F.length("value") >= STRONG_CHARS) & F.col("value").rlike("[0-9]")
+    """parts with ``scope`` (doc_id as text), ``role`` (secret, identifier, endpoint) and ``strong``,
+    less those that are a piece of another: of secrets one within another goes, if the other
+    is as strong; what only looks like an identifier or address inside a secret goes, and a
+    hexadecimal run that is an identifier."""
+    form = F.col("form")
+    role = (F.when(form.isin(*SECRETS), "secret").when(form.isin(*IDENTIFIERS), "identifier").otherwise("endpoint"))
+    strong = form.isin("issued", "private_key", "userinfo") | (
+        form.isin("assigned", "query") & (F.length("value") >= STRONG_CHARS) & F.col("value").rlike("[0-9]")
         & F.col("value").rlike("[A-Za-z]"))
-    return found.withColumn("role", role).withColumn("strong", strong)
+    order = F.array_position(F.array(*[F.lit(x) for x in SECRETS]), form)
+    made = (found.withColumn("scope", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("role", role)
+            .withColumn("strong", strong).withColumn("_o", order))
+    near = W.partitionBy("scope", "doc_id").orderBy("start")
+    # A query parameter ends at the next one; the same value as an assigned one doesn't.
+    made = made.withColumn("_query", F.max(form == "query").over(W.partitionBy("scope", "doc_id", "start"))).filter(~(F.col("_query") & (form == "assigned")))
+    so_far = near.rangeBetween(W.unboundedPreceding, 0)
+    secret, hard = F.col("role") == "secret", form.isin("query", "userinfo", "assigned", "issued")
+    before = W.partitionBy("scope", "doc_id").orderBy("start", F.desc("stop"), "_o").rowsBetween(W.unboundedPreceding, -1)
+    # A weak and a strong form of one interval: the strong one's strength holds for both.
+    made = made.withColumn("strong", F.max(F.when(secret, F.col("strong")).otherwise(F.lit(False))).over(W.partitionBy("scope", "doc_id", "start", "stop")))
+    within = F.when(F.col("strong"), F.max(F.when(secret & F.col("strong"), F.col("stop"))).over(before)).otherwise(
+        F.max(F.when(secret, F.col("stop"))).over(before)) >= F.col("stop")
+    inside = F.max(F.when(hard, F.col("stop"))).over(so_far) > F.col("start")
+    named = F.max(F.when(F.col("role") == "identifier", F.col("stop"))).over(so_far) >= F.col("stop")
+    gone = (F.when(secret, within | ((form == "hex") & named)).when(form.isin("url", "user"), False).otherwise(inside))
+    return (made.withColumn("_gone", F.coalesce(gone, F.lit(False))).filter("NOT _gone").drop("_gone", "_o", "_query")
+            .withColumn("strong", F.col("strong") & (F.col("role") == "secret")))
 
 
 def link(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -85,7 +144,7 @@ def link(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 1:
         raise ValueError("window must be at least 1")
     ready(docs.sparkSession)
-    known = judged(parts(docs).checkpoint()).withColumn("scope", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    known = judged(parts(docs).checkpoint()).checkpoint()
     secrets = known.filter("role = 'secret'")
     others = known.filter("role <> 'secret'")
     near = others.select("scope", F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), "role", F.col("value").alias("o_value"),
@@ -112,14 +171,19 @@ def redact(docs: DataFrame, window: int = WINDOW, mask: str = MASK) -> DataFrame
 
     All rows and columns stay; rows without a reported secret stay as they are."""
     span = F.struct("start", "stop")
-    # Forms can overlap only by being one match, so spans of a document are disjoint.
-    found = link(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_set(span), asc=False).alias("spans"))
+    found = link(docs, window).groupBy("doc_id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     found = small(found.checkpoint().select(F.struct(F.col("doc_id").alias("id"), "spans").alias("_f")))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
     text, spans = F.col("_r.text"), F.col("_f.spans")
-    cut = F.aggregate(spans, text, lambda t, s: F.concat(
-        F.substring(t, F.lit(1), s["start"].cast("int")), F.lit(mask),
-        F.substring(t, s["stop"].cast("int") + 1, F.length(t))))
+
+    def step(t, s):
+        start, stop = s["start"].cast("int"), s["stop"].cast("int")
+        more = F.when(start < t["at"], t["out"]).otherwise(F.concat(t["out"], F.substring(text, t["at"] + 1, start - t["at"]), F.lit(mask)))
+        return F.when(stop <= t["at"], t).otherwise(F.struct(more.alias("out"), stop.alias("at")))
+
+    # Spans may overlap; those that do share a mask.
+    cut = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+                      lambda t: F.concat(t["out"], F.substring(text, t["at"] + 1, F.length(text))))
     made = row.join(found, F.col("_r.doc_id").eqNullSafe(F.col("_f.id")), "left").withColumn(
         "_t", F.when(spans.isNull() | text.isNull(), text).otherwise(cut))
 
@@ -144,7 +208,7 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_FORM = " ".join(f"WHEN regexp_full_match(whole, {_sql(PATTERNS[n])}) THEN '{n}'" for n in
+_FORM = " ".join(f"WHEN regexp_full_match(whole, {_sql(SQL_PATTERNS[n])}) THEN '{n}'" for n in
                  ("aws_id", "issued", "private_key", "assigned", "identifier", "url", "address", "email"))
 ORACLE = f"""
 WITH m AS (SELECT doc_id, text, regexp_extract_all(text, {_sql(ANY)}) AS m, string_split_regex(text, {_sql(ANY)}) AS gaps FROM documents),
@@ -153,7 +217,7 @@ y AS (SELECT doc_id, m[i] AS whole,
         list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda g: length(g))) AS stop FROM x),
 z AS (SELECT *, CASE {_FORM} ELSE 'hex' END AS form FROM y),
 v AS (SELECT DISTINCT doc_id, stop::BIGINT AS stop, form,
-        CASE WHEN form IN ('assigned', 'identifier') THEN regexp_replace(whole, {_sql("^[A-Za-z_-]+" + ASSIGN)}, '') ELSE whole END AS value FROM z),
+        CASE WHEN form IN ('assigned', 'identifier') THEN regexp_replace(whole, {_sql("^[A-Za-z_-]+" + SQL_ASSIGN)}, '') ELSE whole END AS value FROM z),
 p AS (SELECT doc_id, (stop - length(value))::BIGINT AS start, stop, form, value,
         CASE WHEN form IN ('issued', 'private_key', 'assigned', 'hex') THEN 'secret'
              WHEN form IN ('aws_id', 'identifier', 'email') THEN 'identifier' ELSE 'endpoint' END AS role,
