@@ -1,4 +1,4 @@
-"""What was once left out: secrets inside URLs and JSON."""
+"""What was once left out: secrets inside URLs and JSON, weak ones beside an endpoint."""
 
 from tideline.llm import op02_secrets
 
@@ -20,3 +20,11 @@ def test_overlapping_spans_share_a_mask(spark, monkeypatch):
     spans = spark.createDataFrame([(1, 2, 5), (1, 4, 7), (1, 5, 6), (1, 8, 9)], "doc_id long, start long, stop long")
     monkeypatch.setattr(op02_secrets, "link", lambda docs, window: spans)
     assert op02_secrets.redact(rows).first()["text"] == "01[SECRET]7[SECRET]9"
+
+
+def test_weak_secrets_beside_an_endpoint(spark):
+    run = "0123456789abcdef" * 2
+    rows = spark.createDataFrame([(1, "https://db.example.com password=hunter2"), (2, "10.20.30.40 " + run), (3, "https://x.example.org/commit/" + run),
+                                  (4, "https://db.example.com " + "z " * 400 + "password=hunter2")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["value"], r["strong"], r["endpoint"]) for r in op02_secrets.link(rows).collect()}
+    assert found == {1: ("hunter2", False, "https://db.example.com"), 2: (run, False, "10.20.30.40")}

@@ -6,7 +6,7 @@ endpoint (a URL's password or query parameter). The parts are joined as interval
 their scope (a document): a secret is linked with the nearest identifier and the nearest
 endpoint at most ``window`` characters away. Secrets of a strong form (assigned to a
 telling name, or with an issuer's prefix) are reported in any case; weak ones (a bare
-hexadecimal run, a short password) only when an identifier co-occurs.
+hexadecimal run, a short password) only when an identifier or an endpoint co-occurs.
 
 The texts are scanned by JVM expressions: offsets come from the lengths of the pieces
 between matches, so no Python is needed and SQL can say the same. Only parts are
@@ -155,10 +155,13 @@ def link(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = (wide.join(near.withColumnRenamed("role", "o_role"), ["scope", "b"], "left")
               .withColumn("gap", gap).withColumn("o_role", F.when(F.col("gap") <= window, F.col("o_role"))))
     nearest = F.struct("gap", "o_start", "o_value")
+    # The path of a URL often has a hash; a bare run needs an endpoint other than the one it is in.
+    apart = (F.col("form") != "hex") | (F.col("o_start") >= F.col("stop")) | (F.col("o_stop") <= F.col("start"))
     linked = joined.groupBy("scope", "doc_id", "start", "stop", "form", "value", "strong").agg(
         F.min(F.when(F.col("o_role") == "identifier", nearest)).alias("i"),
-        F.min(F.when(F.col("o_role") == "endpoint", nearest)).alias("e"))
-    return (linked.filter(F.col("strong") | F.col("i").isNotNull())
+        F.min(F.when(F.col("o_role") == "endpoint", nearest)).alias("e"),
+        F.max(F.when(F.col("o_role") == "endpoint", apart)).alias("at"))
+    return (linked.filter(F.col("strong") | F.col("i").isNotNull() | F.col("at"))
             .select("doc_id", "start", "stop", "form", "value", "strong",
                     F.col("i.o_value").alias("identifier"), F.col("e.o_value").alias("endpoint")))
 
