@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of similar ones stays: that of the least doc_id. Rows of
     one doc_id stay or go together; rows without doc_id or without words stay."""
     ready(spark)
-    groups = op09_jaccard.groups(op09_jaccard.similar(docs).select("doc_a", "doc_b"))
+    groups = op09_jaccard.groups(op09_jaccard.similar(docs, threshold=op09_jaccard.NEAR).select("doc_a", "doc_b"))
     # The ids to drop are a few bytes each; the texts aren't shuffled unless there are too many.
     drop = op09_jaccard.dropped(groups)
     return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")

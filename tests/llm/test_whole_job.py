@@ -1,5 +1,9 @@
-"""What was once left out: secrets inside URLs and JSON, weak ones beside an endpoint."""
+"""What was once left out: secrets inside URLs and JSON, weak ones beside an endpoint,
+near copies below the threshold of the exact join."""
 
+import random
+
+import corpus_pipeline
 from tideline.llm import op02_secrets
 
 
@@ -28,3 +32,18 @@ def test_weak_secrets_beside_an_endpoint(spark):
                                   (4, "https://db.example.com " + "z " * 400 + "password=hunter2")], "doc_id long, text string")
     found = {r["doc_id"]: (r["value"], r["strong"], r["endpoint"]) for r in op02_secrets.link(rows).collect()}
     assert found == {1: ("hunter2", False, "https://db.example.com"), 2: (run, False, "10.20.30.40")}
+
+
+def test_edited_copies_of_every_length_go(spark):
+    r = random.Random(3)
+    rows, want = [], set()
+    for n, length in enumerate([8, 9, 12, 20, 30, 57, 100, 300, 1000, 3000]):
+        words = [f"w{r.randrange(10 ** 6)}" for _ in range(length)]
+        edited = list(words)
+        # One word in twelve is replaced, none beside another or at an end.
+        for at in range(4, length - 3, 12):
+            edited[at] = f"x{at}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(edited))]
+        want.add(2 * n)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want

@@ -16,9 +16,10 @@ def queries():
         "op7_quality": op07_quality.query,
         "op8_pii": op08_pii.query,
         "op9_jaccard": op09_jaccard.query,
+        "op9_near_copies": op09_jaccard.near_query,
         "op10_packing": op10_packing.query,
     }
 
 
 def oracle_sql():
-    return {"op2_secrets": op02_secrets.ORACLE, "op5_mixing": op05_mixing.ORACLE, "op9_jaccard": op09_jaccard.ORACLE}
+    return {"op2_secrets": op02_secrets.ORACLE, "op5_mixing": op05_mixing.ORACLE, "op9_jaccard": op09_jaccard.ORACLE, "op9_near_copies": op09_jaccard.NEAR_ORACLE}

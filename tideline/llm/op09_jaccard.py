@@ -30,6 +30,9 @@ from tideline.llm import textkernel as tk
 from tideline.llm.common import ready, small
 
 N, THRESHOLD, SPARE = 2, 0.7, 2
+#: From here on documents are near copies: on sf0.1 pairs are rarest at 0.55 to 0.6, and below
+#: 0.5 most are unrelated. A short text loses much of its similarity with one word.
+NEAR = 0.5
 #: Sets up to this size have a segment for each token; larger ones share segments.
 SINGLE, LOAD = 64, 0.75
 #: Every so many-th segment has a one-deletion neighbourhood.
@@ -303,15 +306,27 @@ def query(spark, sf_dir):
     return similar(read(spark, sf_dir, "documents"))
 
 
-ORACLE = f"""
+def near_query(spark, sf_dir):
+    """The pairs that the pipeline takes for near copies."""
+    from tideline.llm.common import read
+
+    return similar(read(spark, sf_dir, "documents"), N, NEAR)
+
+
+def _oracle(threshold: float) -> str:
+    return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END)) AS g FROM w WHERE len(w) > 0),
 l AS (SELECT min(doc_id) AS doc_id, g FROM g GROUP BY g),
 t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM l),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
-      FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
-SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= {THRESHOLD} - 1e-12
+      FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
+SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= {threshold} - 1e-12
 UNION ALL
 SELECT l.doc_id, g.doc_id, 1.0 FROM g JOIN l ON g.g = l.g AND g.doc_id <> l.doc_id
 """
+
+
+ORACLE = _oracle(THRESHOLD)
+NEAR_ORACLE = _oracle(NEAR)
