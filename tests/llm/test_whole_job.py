@@ -1,10 +1,14 @@
 """What was once left out: secrets inside URLs and JSON, weak ones beside an endpoint,
-near copies below the threshold of the exact join."""
+near copies below the threshold of the exact join,
+neighbours behind repeated rows."""
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from tideline.llm import op02_secrets
+from tideline.llm import op01_ann, op02_secrets
 
 
 def test_secrets_inside_urls_and_json(spark):
@@ -47,3 +51,24 @@ def test_edited_copies_of_every_length_go(spark):
         want.add(2 * n)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("copies", [1, 3, 10])
+def test_repeated_rows_take_one_place(copies):
+    r = np.random.default_rng(4)
+    x = np.repeat(np.ones((40, 8), np.float32) + r.normal(0, 0.01, (40, 8)).astype(np.float32), copies, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.repeat(np.arange(40), copies)
+    q, m = op01_ann.best_of(x, x, ids, ids, 10, block=16)
+    exact = x.astype(np.float64) @ x.T.astype(np.float64)
+    for row in range(len(x)):
+        near = sorted(set(ids) - {ids[row]}, key=lambda i: -exact[row, i * copies])[:10]
+        assert set(near) <= set(ids[m[q == row]])
+
+
+def test_equal_vectors_are_ordered_by_id(spark):
+    rows = [(i, [1.0, 0.5, 0.25, 0.125]) for i in range(30)] + [(99, [1.0, 0.5, 0.25, 0.124]), (99, [-1.0, 0.0, 0.0, 1.0])] + [(50, [1.0, 0.4, 0.3, 0.2])] * 4
+    random.Random(1).shuffle(rows)
+    found = op01_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5).collect()
+    by = {i: [r["neighbour_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["vec_id"] == i] for i in (0, 20, 99)}
+    assert by == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4], 99: [0, 1, 2, 3, 4]}

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, SEED = 10, 5
+#: Similarities that single precision can't tell apart.
+CLOSE = np.float32(1e-5)
 #: Vectors a cell on average, at most; beyond it the depth grows.
 CELL, SHARD = 2048, 65_536
 #: (tables, probes) by depth, set for a recall of 0.9 and more on vectors without structure.
@@ -81,26 +83,53 @@ def unit(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return kept, out
 
 
+def lowest(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Rows, ordered by id, distinct by id and vector; of equal vectors those of the ``most`` lowest ids."""
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).reshape(-1)
+    _, same = np.unique(raw, return_inverse=True)
+    order = np.lexsort((ids, same))
+    i, v = ids[order], same[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (i[1:] != i[:-1]) | (v[1:] != v[:-1])
+    order, v = order[fresh], v[fresh]
+    order = order[np.arange(len(v)) - np.searchsorted(v, v, side="left") < most]
+    return order[np.argsort(ids[order], kind="stable")]
+
+
 def best_of(queries: np.ndarray, members: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray, k: int, block: int = 4096):
-    """(query row, member row) of each query's k best members with another id."""
+    """(query row, member row) of each query's k best other ids, a place for each id, and of
+    all that single precision can't tell from the k-th: ids are compared on exact values."""
+    kept = lowest(members, m_ids, k + 1)  # one of the k + 1 may be the query's own
+    members, m_ids = members[kept], m_ids[kept]
+    leads = np.flatnonzero(np.append(True, m_ids[1:] != m_ids[:-1])) if len(kept) else np.zeros(0, np.int64)
+    size = np.diff(np.append(leads, len(kept)))
+    cuts = [0]
+    while cuts[-1] < len(leads):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(leads, leads[cuts[-1]] + block))))
     found_q, found_m = [], []
     for q0 in range(0, len(queries), 1024):
-        q = queries[q0:q0 + 1024]
-        best = np.zeros((len(q), 0), np.int64)
-        value = np.zeros((len(q), 0), np.float32)
-        for m0 in range(0, len(members), block):
-            m = members[m0:m0 + block]
-            s = q @ m.T
-            s[q_ids[q0:q0 + 1024, None] == m_ids[None, m0:m0 + block]] = -np.inf
-            n = min(k, s.shape[1])
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(q), 1))
-            value = np.concatenate([value, np.take_along_axis(s, at, axis=1)], axis=1)
-            best = np.concatenate([best, at + m0], axis=1)
-        top = np.argsort(-value, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(value, top, axis=1)
-        rows, cols = np.nonzero(np.isfinite(value))
-        found_q.append(rows + q0)
-        found_m.append(np.take_along_axis(best, top, axis=1)[rows, cols])
+        q, own = queries[q0:q0 + 1024], q_ids[q0:q0 + 1024]
+        rows, groups, values = [], [], []
+        for g0, g1 in zip(cuts, cuts[1:]):
+            at = leads[g0]
+            s = np.maximum.reduceat(q @ members[at:leads[g1 - 1] + size[g1 - 1]].T, leads[g0:g1] - at, axis=1)
+            s[own[:, None] == m_ids[None, leads[g0:g1]]] = -np.inf
+            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if k < s.shape[1] else -np.inf
+            r, g = np.nonzero((s >= edge - CLOSE) & np.isfinite(s))
+            rows.append(r)
+            groups.append(g + g0)
+            values.append(s[r, g])
+        r, g, v = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, groups, values))
+        order = np.lexsort((-v, r))
+        r, g, v = r[order], g[order], v[order]
+        first = np.searchsorted(r, r, side="left")
+        last = np.minimum(first + k, np.searchsorted(r, r, side="right")) - 1
+        near = v >= v[last] - CLOSE
+        r, g = r[near], g[near]
+        # All rows of an id, as its vectors may differ.
+        found_q.append(np.repeat(r, size[g]) + q0)
+        ends = np.cumsum(size[g])
+        found_m.append(kept[np.arange(ends[-1] if len(ends) else 0) + np.repeat(leads[g] - (ends - size[g]), size[g])])
     return np.concatenate(found_q or [np.zeros(0, np.int64)]), np.concatenate(found_m or [np.zeros(0, np.int64)])
 
 
@@ -172,18 +201,21 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int | None = None, probes
         q, m = np.concatenate(qs or [np.zeros(0, np.int64)]), np.concatenate(ms or [np.zeros(0, np.int64)])
         s = np.concatenate([np.einsum("ij,ij->i", x[q[i:i + 65536]].astype(np.float64), x[m[i:i + 65536]].astype(np.float64))
                             for i in range(0, len(q), 65536)] or [np.zeros(0)]).round(9)
-        order = np.lexsort((ids[m], -s, ids[q]))
+        # An id's best row with each other id, then its k best here.
+        order = np.lexsort((-s, ids[m], ids[q]))
         q, m, s = q[order], m[order], s[order]
-        # A query's k best here; copies of a row may repeat a neighbour.
         fresh = np.ones(len(q), bool)
         fresh[1:] = (ids[q[1:]] != ids[q[:-1]]) | (ids[m[1:]] != ids[m[:-1]])
         q, m, s = q[fresh], m[fresh], s[fresh]
+        order = np.lexsort((ids[m], -s, ids[q]))
+        q, m, s = q[order], m[order], s[order]
         first = np.searchsorted(ids[q], ids[q], side="left")
         top = np.arange(len(q)) - first < k
         return pa.table({"vec_id": pa.array(ids[q[top]], pa.int64()), "neighbour_id": pa.array(ids[m[top]], pa.int64()), "similarity": pa.array(s[top])})
 
     sent = own.mapInArrow(spread, "t int, shard bigint, vec_id bigint, home bigint, probed array<bigint>, v binary")
     met = sent.groupBy("t", "shard").applyInArrow(look, "vec_id bigint, neighbour_id bigint, similarity double")
+    met = met.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     better = met.groupBy("vec_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour_id").alias("n")))).alias("all"))
     return (better.select("vec_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "b"))
             .select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("b.n").alias("neighbour_id"), (-F.col("b.s")).alias("similarity")))
