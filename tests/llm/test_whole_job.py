@@ -1,6 +1,6 @@
 """What was once left out: secrets inside URLs and JSON, weak ones beside an endpoint,
 near copies below the threshold of the exact join,
-neighbours behind repeated rows."""
+neighbours behind repeated rows, account numbers with letters."""
 
 import random
 
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tideline.llm import op01_ann, op02_secrets
+from tideline.llm import op01_ann, op02_secrets, op08_pii
 
 
 def test_secrets_inside_urls_and_json(spark):
@@ -72,3 +72,12 @@ def test_equal_vectors_are_ordered_by_id(spark):
     found = op01_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5).collect()
     by = {i: [r["neighbour_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["vec_id"] == i] for i in (0, 20, 99)}
     assert by == {0: [1, 2, 3, 4, 5], 20: [0, 1, 2, 3, 4], 99: [0, 1, 2, 3, 4]}
+
+
+@pytest.mark.parametrize("iban", ["GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "GB29NWBK60161331926819", "IE29AIBK93115212345678", "NL91 ABNA 0417 1643 00"])
+def test_account_numbers_with_letters_are_proposed_and_masked_whole(spark, iban):
+    text = f"please pay to account {iban} before then"
+    assert (22, 22 + len(iban), op08_pii.NUMBERS["iban"]) in op08_pii.candidates(text)
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    made = op08_pii.redact(rows).collect()
+    assert made and iban[-4:] not in made[0]["text"] and iban[:8] not in made[0]["text"]

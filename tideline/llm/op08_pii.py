@@ -42,6 +42,9 @@ SHAPES = {
     "date": re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"),
     "number": re.compile(r"\d{7,}"),
 }
+#: Solid and grouped account numbers, in the whole text; the last group may be short.
+IBANS = (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+         re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"))
 NUMBERS = {kind: k for k, kind in enumerate(KINDS)}
 LOCAL = re.compile(r"[\w.%+'\-]*\Z")
 DOMAIN = re.compile(r"[\w\-]*(?:\.[\w\-]+)*")
@@ -81,6 +84,10 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                 if hit.end() + low > run.start():
                     stop = hit.end() - (len(hit.group()) - len(hit.group().rstrip()))
                     found.add((low + hit.start(), low + stop, number))
+    # Bank codes may be letters, so no run of digits need show where an account number is.
+    for pattern in IBANS:
+        for hit in pattern.finditer(text):
+            found.add((hit.start(), hit.end(), NUMBERS["iban"]))
     return sorted(found)
 
 
@@ -140,6 +147,9 @@ def _examples(seed: int = SEED, each: int = 60) -> tuple[list[str], list[tuple[i
     def dotted() -> str:
         return ".".join(str(r.choice([r.randint(1, 9), r.randint(10, 99), r.randint(100, 255)])) for _ in range(4))
 
+    def bank() -> str:
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4))
+
     def hexed(k: int) -> str:
         return "".join(r.choice("0123456789abcdef") for _ in range(k))
 
@@ -158,6 +168,8 @@ def _examples(seed: int = SEED, each: int = 60) -> tuple[list[str], list[tuple[i
         *[("ssn", lambda: f"{n(3)}-{n(2)}-{n(4)}")] * 2,
         ("iban", lambda: r.choice(["DE", "FR", "ES", "GB"]) + n(2) + " " + " ".join(n(4) for _ in range(4)) + " " + n(2)),
         ("iban", lambda: r.choice(["DE", "FR", "ES"]) + n(20)),
+        ("iban", lambda: r.choice(["GB", "IE", "NL"]) + n(2) + " " + bank() + " " + " ".join(n(4) for _ in range(3)) + " " + n(2)),
+        ("iban", lambda: r.choice(["GB", "IE"]) + n(2) + bank() + n(14)), ("iban", lambda: "NL" + n(2) + bank() + n(10)),
         # neighbours: only the first is marked, the second must not change its end
         ("card", lambda: card(False)), ("ip", octets),
     ]
