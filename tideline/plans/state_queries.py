@@ -60,6 +60,7 @@ QUERIES = {
     "rotation_plan": _rotation,
     "flush_points": lambda s, d: st.flush_points(mutations(s, d).withColumn("log", F.substring_index("key", "|", 2)), 2000, 20, "log"),
     "degraded_buffer_resolution": lambda s, d: st.resolve_buffer(mutations(s, d).filter("lsn % 5 = 0"), mutations(s, d).filter("lsn % 5 = 1")),
+    "degraded_buffer_whole_log": lambda s, d: st.resolve_buffer(mutations(s, d).filter("lsn % 2 = 0"), mutations(s, d).filter("lsn % 2 <> 0")),
 }
 _C = f"WITH {_LATEST} "
 ORACLES = {n: with_views(q) for n, q in {
@@ -90,4 +91,6 @@ ORACLES = {n: with_views(q) for n, q in {
         SELECT segment, newest, n, CASE WHEN age > {12 * DAY_MS} THEN 'expire' WHEN age > {5 * DAY_MS} THEN 'to_cold' ELSE 'keep' END AS action FROM h""",
     "degraded_buffer_resolution": """SELECT b.key, b.lsn, b.ts, CASE WHEN k.key IS NULL THEN 'applied' ELSE 'discarded' END AS outcome
         FROM mutations b LEFT JOIN (SELECT DISTINCT key FROM mutations WHERE lsn % 5 = 1) k ON b.key = k.key WHERE b.lsn % 5 = 0""",
+    "degraded_buffer_whole_log": """SELECT b.key, b.lsn, b.ts, CASE WHEN k.key IS NULL THEN 'applied' ELSE 'discarded' END AS outcome
+        FROM mutations b LEFT JOIN (SELECT DISTINCT key FROM mutations WHERE lsn % 2 <> 0) k ON b.key = k.key WHERE b.lsn % 2 = 0""",
 }.items()}
