@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import random
+
 import pytest
 
 from tideline.llm import (op01_ann, op02_secrets, op03_fingerprints, op04_html, op05_mixing, op06_sharding, op07_quality, op08_pii,
@@ -53,8 +55,9 @@ def test_many_parts_in_one_text(spark):
 
 
 def test_fingerprints(messy, none):
-    found = {(r["doc_a"], r["doc_b"]): r["score"] for r in op03_fingerprints.search(messy).collect()}
-    assert found[(1, 2)] == 100 and found[(8, 9)] == 100 and found[(6, 7)] > 90 and (3, 4) not in found and (4, 5) not in found
+    found = {r["doc_id"]: (r["class_id"], r["links"], r["score"]) for r in op03_fingerprints.search(messy).collect()}
+    assert found[1][0] == found[2][0] == 1 and found[1][2] == 100 and found[8] == found[9] == (8, 1, 100)
+    assert found[6] == found[7] and found[6][:2] == (6, 1) and 90 < found[6][2] < 100 and not {None, 3, 4, 5, 10, 11} & set(found)
     assert op03_fingerprints.search(none).count() == 0
 
 
@@ -103,10 +106,19 @@ def test_pii(messy, none):
 
 
 def test_jaccard(messy, none):
-    found = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in op09_jaccard.similar(messy).collect()}
-    assert found[(1, 2)] == found[(8, 9)] == 1.0 and 0.99 < found[(6, 7)] < 1 and (1, 12) in found and len(found) == 4
+    found = {r["doc_id"]: (r["class_id"], r["links"], r["jaccard"]) for r in op09_jaccard.similar(messy).collect()}
+    assert found.keys() == {1, 2, 6, 7, 8, 9, 12} and found[1] == found[2] == (1, 2, 1.0) and found[8] == found[9] == (8, 1, 1.0)
+    assert found[12][:2] == (1, 2) and 0.7 <= found[12][2] < 1 and found[6] == found[7] and found[6][0] == 6 and 0.99 < found[6][2] < 1
     assert op09_jaccard.similar(none).count() == 0
-    assert op09_jaccard.groups(op09_jaccard.similar(none).select("doc_a", "doc_b")).count() == 0
+
+
+@pytest.mark.parametrize("search", [lambda d: op09_jaccard.similar(d, threshold=0.5), lambda d: op09_jaccard.similar(d), op03_fingerprints.search])
+def test_unlike_texts_of_one_doc_id_are_of_one_class(spark, search):
+    r = random.Random(1)
+    a, b, c = (" ".join(f"{r.randrange(10 ** 6)}" for _ in range(300)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (5, b), (5, a), (5, b), (6, b + " end"), (7, c)]
+    found = {r["doc_id"]: (r["class_id"], r["links"]) for r in search(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, 2), 2: (1, 2), 5: (1, 3), 6: (1, 1)}
 
 
 def test_packing(messy, none):

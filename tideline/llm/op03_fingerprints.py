@@ -3,16 +3,18 @@
 A rolling hash over seven bytes of UTF-8 marks chunk boundaries wherever its low ``k``
 bits are ones, so the block size is 2 ** k and boundaries depend on local content only.
 k is the least with at most 64 chunks expected, lowered while fewer than 32 are found.
-Each chunk's hash gives one of 64 letters; a fingerprint has the letters at block size
-2 ** k (up to 64) and at twice that (up to 32). Fingerprints are compared at equal block
-sizes, so those whose k differ by one are compatible. The score is 100 less the share of
-insertions and deletions (a change is both) that turn one signature into the other.
-
-Search: two signatures are compared if at least ``share`` of the larger one's distinct
-chunk hashes are common. By the prefix principle then a few of their rarest chunks are
-common; rarity comes from counts of all chunks in a table of fixed size, so passages
-that many documents share aren't paired. Candidates meet in packed buckets (see
-``postings``). Equal fingerprints are one candidate and are tied to their least doc_id.
+A signature is the sequence of chunk hashes; a fingerprint has the one at block size
+2 ** k (up to 64 chunks) and that at twice the size (up to 32). Fingerprints are compared
+at equal block sizes, so those whose k differ by one are compatible. The score is 100 less
+the share of insertions and deletions (a change is both) that turn one signature into the
+other; chunks are compared by 30 bits of hash, so chance matches of letters don't count.
+
+Search is exact: a score needs a number of common chunks, so by the prefix principle two
+signatures share one of their rarest chunks, with enough chunks left after it in both;
+rarity comes from counts of all chunks in a table of fixed size, so passages that many
+documents share aren't paired. Candidates meet in packed buckets cut by rows (see
+``postings``), one way for every size. Equal fingerprints are one candidate. Links are
+counted in the tasks that compare, which give out a row a member, not a row a pair.
 """
 
 from __future__ import annotations
@@ -26,17 +28,12 @@ from tideline.llm import postings as po
 from tideline.llm import textkernel as tk
 from tideline.llm.common import ready
 
-SHARE, SCORE = 1 / 3, 60
+SCORE = 60
 LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
-#: Signatures of fewer letters are compared with equal ones only.
-LETTERS = 7
-#: So many of their rarest chunks two signatures must have in common, if they need that many.
-RARE = 4
-#: Signature rows of a level that one task holds.
-WHOLE = 12_000_000
+#: Signatures of fewer chunks are compared with equal ones only.
+FEWEST = 7
 #: Chunks of the fingerprints that one comparing task holds.
 HELD = 1_000_000
-ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -102,7 +99,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, k, first, second): chunk hashes at block sizes 2 ** k and 2 ** (k + 1).
 
-    Null and empty texts have no row. A letter is a hash's low six bits (see ``letters``)."""
+    Null and empty texts have no row."""
     def run(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -117,107 +114,119 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k int, first array<int>, second array<int>")
 
 
-def letters(hashes: list[int]) -> str:
-    return ALPHABET[np.asarray(hashes, np.int64) & 63].tobytes().decode()
-
-
 def common(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Longest common subsequences of rows of letter codes (at most 64, padded), bit-parallel."""
+    """Longest common subsequences of rows of codes (at most 64, padded), bit-parallel."""
     bits = np.full(len(a), ~np.uint64(0))
-    weight = np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64)
-    inside = np.arange(a.shape[1])[None, :] < la[:, None]
+    wide = np.full((len(a), 64), -1, np.int32)
+    wide[:, :a.shape[1]] = np.where(np.arange(a.shape[1])[None, :] < la[:, None], a, -1)
     with np.errstate(over="ignore"):
-        for j in range(b.shape[1]):
-            same = (a == b[:, j, None]) & inside & (j < lb)[:, None]
-            met = bits & (same * weight).sum(axis=1, dtype=np.uint64)
+        for j in range(int(lb.max()) if len(lb) else 0):
+            code = np.where(j < lb, b[:, j], -2)
+            met = bits & np.packbits(wide == code[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
             bits = (bits + met) | (bits - met)
-        mask = (inside * weight).sum(axis=1, dtype=np.uint64)
+    mask = np.where(la >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(la, 63).astype(np.uint64)) - np.uint64(1))
     return np.bitwise_count(~bits & mask).astype(np.int64)
 
 
 def score(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """100 - floor(100 * insertions and deletions / letters of both)."""
+    """100 - floor(100 * insertions and deletions / chunks of both)."""
     return 100 - (100 * (la + lb - 2 * common(a, b, la, lb))) // np.maximum(la + lb, 1)
 
 
+def part_of_sum(least: int) -> float:
+    """A score of at least ``least`` has more common chunks than this times the chunks of both."""
+    return (least - 1) / 200
+
+
+def prefix(size: np.ndarray, least: int) -> np.ndarray:
+    """Of a signature's chunks, rarest first, so many can be the first in common with a partner of any size."""
+    table = np.arange(LONG + 1)
+    need = np.floor(part_of_sum(least) * (table[:, None] + table[None, :]) + 1e-9).astype(np.int64) + 1
+    fits = need <= table[None, :]  # a partner can't have more in common than it has
+    fewest = np.where(fits, need, LONG + 1).min(axis=1)
+    return np.clip(table - fewest + 1, 0, None)[size]
+
+
 def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = np.asarray(column.value_lengths()).astype(np.int64)
-    flat = np.asarray(column.flatten()).astype(np.int64) & 63
-    out = np.full((len(n), width), 255, np.uint8)
-    out[np.arange(width)[None, :] < n[:, None]] = flat
+    out = np.full((len(n), width), -1, np.int32)
+    out[np.arange(width)[None, :] < n[:, None]] = np.asarray(column.flatten())
     return out, n
 
 
-def _tokens(level: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return tk.mix64(hashes.astype(np.uint64) + (level.astype(np.uint64) << np.uint64(32)))
-
-
-def _distinct(batch: pa.RecordBatch):
-    """For first and second: (token, row) distinct and (row's count of distinct tokens)."""
-    k = np.asarray(batch.column("k")).astype(np.int64)
+def _tokens(batch: pa.RecordBatch):
+    """For first and second: (tokens, row, row's count), a token for each chunk that says its block
+    size, its hash and which of equal ones in the signature it is."""
+    k = np.asarray(batch.column("k")).astype(np.uint64)
     for name, shift in (("first", 0), ("second", 1)):
         column = batch.column(name)
         n = np.asarray(column.value_lengths()).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        key = tk.distinct((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64))
+        key = np.sort((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        again = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         row = (key >> np.uint64(32)).astype(np.int64)
-        kept = n[row] >= LETTERS
-        row = row[kept]
-        tokens = _tokens(k[row] + shift, key[kept] & np.uint64(0xFFFFFFFF))
-        yield tokens, row, np.bincount(row, minlength=len(n)), k + shift
+        kept = n[row] >= FEWEST
+        row, key, again = row[kept], key[kept] & np.uint64(0xFFFFFFFF), again[kept].astype(np.uint64)
+        yield tk.mix64(key | ((k[row] + np.uint64(shift)) << np.uint64(32)) | (again << np.uint64(40))), row, np.bincount(row, minlength=len(n))
 
 
-def search(docs: DataFrame, least: int = SCORE, share: float = SHARE, rare: int = RARE) -> DataFrame:
-    """(doc_a, doc_b, score) with doc_a < doc_b and score >= least.
+def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
+    """(doc_id, class_id, links, score), a row for each document that is similar to another.
 
-    Documents of equal fingerprints are tied to the least doc_id of them, with score 100;
-    the other pairs are given for these least doc_ids alone, all that share enough chunks.
-    Null and empty texts and rows without doc_id have no row; signatures of fewer than
-    LETTERS letters match equal ones only; repeated rows of a doc_id count once; very long
+    links counts the other documents of a score of at least ``least``, all of them, and score is
+    the highest; equal fingerprints have 100. class_id is the least doc_id of those that links
+    join the document to, over any number of steps. Documents without a link have no row.
+    Null and empty texts and rows without doc_id are left out; signatures of fewer than
+    FEWEST chunks match equal fingerprints only; repeated rows of a doc_id count once; unlike texts
+    of a doc_id are of one class, and their links add up; very long
     texts are read whole; other columns are ignored; an empty table gives an empty result.
     doc_id must be an integer."""
+    if not 1 < least <= 100:
+        raise ValueError("least must be within (1, 100]")
     spark = ready(docs.sparkSession)
-    made = fingerprints(docs.filter("doc_id IS NOT NULL")).withColumn("fp", F.xxhash64("k", "first", "second")).checkpoint()
-    sets = made.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("k", "first", "second")).alias("s")).select("fp", "doc_id", "s.*").checkpoint()
+    share = part_of_sum(least)
+    made = (fingerprints(docs.filter("doc_id IS NOT NULL")).withColumn("fp", F.xxhash64("k", "first", "second"))
+            .withColumn("fp2", F.xxhash64(F.lit(2), "second", "first", "k")).checkpoint())
+    made = po.settled(made, po.clashes(made))
+    sets = made.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies"),
+                                  F.first(F.struct("k", "first", "second")).alias("s")).select("fp", "doc_id", "copies", "s.*").checkpoint()
 
     def count(batches):
         counter = po.Counter()
         for batch in batches:
-            for tokens, _, _, _ in _distinct(batch):
+            for tokens, _, _ in _tokens(batch):
                 counter.add(tokens)
         block, cells = counter.blocks()
         yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(cells, pa.binary())], ["block", "cells"])
 
     rank = spark.sparkContext.broadcast(po.ranks(sets.select("k", "first", "second").mapInArrow(count, "block int, cells binary")))
-    # A bucket a level, as long as the commonest level fits a task; beyond, levels are cut into parts.
-    most = sets.groupBy("k").count().agg(F.max("count")).first()[0] or 0
-    cut = np.uint64(po.bucket_count(64 * most, WHOLE))
+    chunks = sets.agg(F.sum(F.size("first") + F.size("second"))).first()[0] or 0
+    cut = np.uint64(po.bucket_count(int(0.6 * chunks)))
 
     def emit(batches):
-        packer, table = po.Packer(mapped=True), rank.value
+        packer, table = po.Packer(), rank.value
+        grids = po.grids(table)
         for batch in batches:
             ids = np.asarray(batch.column("fp"))
-            for tokens, row, size, level in _distinct(batch):
+            for tokens, row, size in _tokens(batch):
                 cost = table[(tokens & np.uint64(len(table) - 1)).astype(np.int64)]
-                order = np.lexsort((tokens, cost, row))
-                tokens_, row_ = tokens[order], row[order]
-                start = np.concatenate([[0], np.cumsum(size)])[row_]
-                least_ = np.maximum(1, np.ceil(share * size - 1e-9)).astype(np.int64)
-                need = np.minimum(rare, least_)
-                prefix = np.arange(len(row_)) - start < (size - least_ + need)[row_]
                 # The cost must order tokens alike everywhere, so equal costs go by token.
-                keys, at = tokens_[prefix], row_[prefix]
-                bucket = np.asarray(level)[at] * int(cut) + ((keys & np.uint64(0xFFFF)) % cut).astype(np.int64)
-                yield from packer.add(keys, bucket, at, np.full(len(at), po.INDEX | po.PROBE, np.uint8), ids, size, need,
-                                      po.bit_map(tokens, row, len(ids)))
+                order = np.lexsort((tokens, cost, row))
+                tokens, row, cost = tokens[order], row[order], cost[order]
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                kept = place < prefix(size, least)[row]
+                at, place = row[kept], place[kept]
+                went, keys = po.dealt(tokens[kept], ids[at], grids[cost[kept]])
+                at, place = at[went], place[went]
+                bucket = (tk.mix64(keys) % cut).astype(np.int64)
+                yield from packer.add(keys, bucket, at, (place // 2).astype(np.uint8), ids, size, np.zeros(len(ids), np.uint8))
         yield from packer.flush()
 
-    packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.MAPPED)
-    met = po.meetings(packed, share, either=True, whole=bool(cut == 1))
-    # Which of two is larger can differ between their block sizes; a pair is one all the same.
-    found = po.enough(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "need")).checkpoint()
+    packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.PACKED)
+    found = po.meetings(packed, lambda group: po.meet_first(group, share), "a bigint, b bigint").distinct().checkpoint()
 
     def compare(pairs: pa.Table, held: pa.Table) -> pa.Table:
         held = held.combine_chunks()
@@ -225,41 +234,24 @@ def search(docs: DataFrame, least: int = SCORE, share: float = SHARE, rare: int
         order = np.argsort(ids)
         ia, ib = (order[np.searchsorted(ids[order], np.asarray(pairs.column(c)))] for c in ("a", "b"))
         k = np.asarray(held.column("k"))
-        lists = {c: held.column(c).combine_chunks() for c in ("first", "second")}
-        codes = {c: _padded(x, LONG) for c, x in lists.items()}
+        codes = {c: _padded(held.column(c), LONG) for c in ("first", "second")}
         best = np.zeros(len(ia), np.int64)
         for low in range(0, len(ia), 20_000):
             xa, xb = ia[low:low + 20_000], ib[low:low + 20_000]
             for x, y, gap in (("first", "first", 0), ("second", "second", 0), ("first", "second", 1), ("second", "first", -1)):
-                at = np.flatnonzero(k[xa] - k[xb] == gap)
+                (a, la), (b, lb) = codes[x], codes[y]
+                shorter, both = np.minimum(la[xa], lb[xb]), la[xa] + lb[xb]
+                at = np.flatnonzero((k[xa] - k[xb] == gap) & (shorter >= FEWEST) & (shorter > share * both - 1e-9))
                 if len(at):
                     pa_, pb = xa[at], xb[at]
-                    (a, la), (b, lb) = codes[x], codes[y]
-                    ok = (la[pa_] >= LETTERS) & (lb[pb] >= LETTERS) & shared(lists[x].take(pa.array(pa_)), lists[y].take(pa.array(pb)), share)
-                    at, pa_, pb = at[ok], pa_[ok], pb[ok]
                     best[low + at] = np.maximum(best[low + at], score(a[pa_], b[pb], la[pa_], lb[pb]))
-        ids = np.asarray(held.column("doc_id"))
-        keep = best >= max(least, 1)
-        return pa.table({"x": pa.array(ids[ia[keep]], pa.int64()), "y": pa.array(ids[ib[keep]], pa.int64()), "score": pa.array(best[keep], pa.int32())})
-
-    sized = sets.select("fp", (F.size("first") + F.size("second")).alias("size"))
-    placed, _ = po.place(found, sized, HELD)
-    matched = po.gather(placed, sets, compare, "x bigint, y bigint, score int")
-    copies = (made.join(sets.select("fp", F.col("doc_id").alias("least")), "fp").filter("doc_id <> least")
-              .select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(100).alias("score")).distinct())
-    return matched.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "score").union(copies)
-
-
-def shared(a: pa.Array, b: pa.Array, share: float) -> np.ndarray:
-    """Whether the distinct hashes common to a row's two lists are at least share of the larger's."""
-    keys = []
-    for column in (a, b):
-        n = np.asarray(column.value_lengths()).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        keys.append(tk.distinct((row.astype(np.uint64) << np.uint64(32)) | np.asarray(column.flatten()).astype(np.uint64)))
-    both = np.intersect1d(*keys, assume_unique=True)
-    count = [np.bincount((k >> np.uint64(32)).astype(np.int64), minlength=len(a)) for k in (*keys, both)]
-    return count[2] >= np.maximum(1, np.ceil(share * np.maximum(count[0], count[1]) - 1e-9))
+        good = best >= least
+        return po.tally(ia[good], ib[good], best[good].astype(float), np.asarray(held.column("doc_id")), np.asarray(held.column("copies")))
+
+    placed, _ = po.place(found, sets.select("fp", (F.size("first") + F.size("second")).alias("size")), HELD)
+    linked = po.gather(placed, sets, compare, po.LINKED).checkpoint()
+    made_of = po.classes(made.select("doc_id", "fp"), sets.select("fp", "doc_id", "copies"), linked, 100.0)
+    return made_of.select("doc_id", "class_id", "links", F.col("best").cast("int").alias("score"))
 
 
 def query(spark, sf_dir):

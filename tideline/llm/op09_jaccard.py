@@ -13,15 +13,22 @@ are not looked up, and their long lists are never paired. A few units beyond H +
 (``SPARE``) make the join ask for several meetings. What met often enough is verified on
 the sets themselves.
 
+Where segments of several tokens can't give more than H units (small sets, thresholds below
+about 0.64) the universe is cut to a segment a token. Then only what the larger set has and
+the smaller lacks can spoil a unit, so fewer are looked up, and as both choose in one order
+of cost, the smaller needs to be indexed by its cheapest segments alone.
+
 Passes over the texts: one that counts tokens and gives each set a fingerprint, one that
 emits signatures (packed, see ``postings``), and one over the candidates' texts alone.
-Sets that are equal are one candidate; their documents are tied to the least doc_id.
+Sets that are equal are one candidate. Links are counted in the tasks that verify them,
+which give out a row a member, so a group's pairs are never rows of a table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,9 @@ N, THRESHOLD, SPARE = 2, 0.7, 2
 #: From here on documents are near copies: on sf0.1 pairs are rarest at 0.55 to 0.6, and below
 #: 0.5 most are unrelated. A short text loses much of its similarity with one word.
 NEAR = 0.5
-#: Sets up to this size have a segment for each token; larger ones share segments.
-SINGLE, LOAD = 64, 0.75
+#: Sets up to this size have a segment for each token; larger ones share segments, unless
+#: ROOM times the units that they need are more than the segments that they fill.
+SINGLE, LOAD, ROOM = 64, 0.75, 1.25
 #: Every so many-th segment has a one-deletion neighbourhood.
 EVERY = 8
 #: Tokens of the sets that one verifying task holds.
@@ -61,18 +69,29 @@ def token_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64), len(offsets) - 1
 
 
-def fingerprints(tokens: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, size) of each row's set."""
+def fingerprints(tokens: np.ndarray, row: np.ndarray, rows: int, clash=()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, size, second fingerprint) of each row's set; the second stands for the first
+    where that is one of ``clash``, which unlike sets share."""
+    size = np.bincount(row, minlength=rows)
+    ends = np.cumsum(size)
+    made = []
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix64(tokens), dtype=np.uint64)])
-        size = np.bincount(row, minlength=rows)
-        ends = np.cumsum(size)
-        print_ = tk.mix64(total[ends] - total[ends - size] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return print_.view(np.int64), size
+        for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix64(tokens ^ np.uint64(salt >> 17)), dtype=np.uint64)])
+            made.append(tk.mix64(total[ends] - total[ends - size] + size.astype(np.uint64) * np.uint64(salt)).view(np.int64))
+    return np.where(np.isin(made[0], clash), made[1], made[0]) if len(clash) else made[0], size, made[1]
+
+
+def several(threshold: float) -> bool:
+    """Whether segments of several tokens can give the units needed, of two sets of one size."""
+    return ROOM * 2 * (1 - threshold) / (1 + threshold) <= LOAD * (1 - np.exp(-1 / LOAD))
 
 
 def bands(threshold: float) -> np.ndarray:
-    """The largest size of each band; a set can only be similar to its own and the next lower band."""
+    """The largest size of each band; a set can only be similar to its own and the next lower band.
+    One band is enough where every token has a segment."""
+    if not several(threshold):
+        return np.array([1 << 40])
     tops = [1]
     while tops[-1] < 1 << 40:
         tops.append(max(tops[-1] + 1, int(np.floor((tops[-1] + 1) / threshold + 1e-9))))
@@ -83,121 +102,162 @@ def differ(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndar
     return np.floor((1 - threshold) / (1 + threshold) * (larger + smaller) + 1e-9).astype(np.int64)
 
 
-def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int = SPARE):
+def shared(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndarray:
+    """The tokens that two sets of these sizes have in common at least, to be similar."""
+    return np.ceil(threshold / (1 + threshold) * (larger + smaller) - 1e-9).astype(np.int64)
+
+
+def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int = SPARE, fine: bool = False):
     """For the bands that sets belong to, then for those that they look into: (keys, rows,
-    roles, bands, segments) of signatures, need per row, and the residual rows, which
-    couldn't fill their units and must be compared otherwise."""
-    tops = bands(threshold)
+    roles, bands, counts) of signatures, need per row, and the residual rows, which couldn't
+    fill their units and must be compared otherwise (``fine``: a segment a token in every
+    band, so there are none). counts: codes of the table ``rank``."""
+    tops = np.array([1 << 40]) if fine else bands(threshold)
     own = np.searchsorted(tops, np.maximum(size, 1))
-    cost = rank[(tokens & np.uint64(len(rank) - 1)).astype(np.int64)].astype(np.int64) + 1
+    code = rank[(tokens & np.uint64(len(rank) - 1)).astype(np.int64)]
+    alone = (tops <= SINGLE) | (len(tops) == 1)
     for lower in (False, True):
         band = own - 1 if lower else own
         here = size > 0
         if lower:
             here &= (band >= 0) & (tops[np.maximum(band, 0)] >= threshold * size - 1e-9)
-        top = tops[np.maximum(band, 0)]
         at = np.flatnonzero(here[row])
-        if not len(at):
-            continue
-        r, t, c = row[at], tokens[at], cost[at]
-        parts = np.where(top <= SINGLE, 1 << 30, np.maximum(1, (LOAD * top).astype(np.int64)))[r]
-        with np.errstate(over="ignore"):
-            salt = tk.mix64(band[r].astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
-            segment = (tk.mix64(t ^ salt) % parts.astype(np.uint64)).astype(np.int64)
-        order = np.argsort((r.astype(np.uint64) << np.uint64(40)) | segment.astype(np.uint64))
-        r, t, c, segment, salt = r[order], t[order], c[order], segment[order], salt[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (segment[1:] != segment[:-1])
-        lead = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        count = np.diff(np.append(lead, len(r)))
-        with np.errstate(over="ignore"):
-            mixed = tk.mix64(t)
-            total = np.add.reduceat(mixed, lead)
-            place = tk.mix64(segment[lead].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[lead])
-            exact = tk.mix64(total ^ place)
-        grow, low = r[lead], np.minimum.reduceat(c, lead)
-        # A deletable segment: its neighbours less one token, and what looking them up costs.
-        two = (segment[lead] % EVERY == 0) & (count > 1)
-        less = np.flatnonzero(two[group])
-        with np.errstate(over="ignore"):
-            gone = tk.mix64((total[group[less]] - mixed[less]) ^ place[group[less]])
-        ranked = np.where(c == low[group], 1 << 20, c)
-        second = np.minimum.reduceat(ranked, lead)
-        second = np.where(second == 1 << 20, low, second)
-        double = np.where(two, low * (count - 1) + second, 0)
-        # The cheapest units of each row: first looks at a segment, then second ones.
-        unit_group = np.concatenate([np.arange(len(lead)), np.flatnonzero(two)])
-        unit_cost = np.concatenate([low, np.maximum(double, low)[two]])
-        is_second = np.arange(len(unit_group)) >= len(lead)
-        urow = grow[unit_group]
-        order = np.argsort((urow.astype(np.uint64) << np.uint64(40)) | (np.minimum(unit_cost, (1 << 38) - 1).astype(np.uint64) << np.uint64(1)) | is_second.astype(np.uint64))
-        urow = urow[order]
-        lead_unit = np.ones(len(urow), bool)
-        lead_unit[1:] = urow[1:] != urow[:-1]
-        rank_in = np.arange(len(urow)) - np.maximum.accumulate(np.where(lead_unit, np.arange(len(urow)), 0))
-        most = differ(size, np.minimum(size, top), threshold)
-        wanted = most + 1 + spare
-        taken = order[rank_in < wanted[urow]]
-        have = np.bincount(grow[unit_group[taken]], minlength=len(size))
-        first_look, second_look = np.zeros(len(lead), bool), np.zeros(len(lead), bool)
-        first_look[unit_group[taken[~is_second[taken]]]] = True
-        second_look[unit_group[taken[is_second[taken]]]] = True
-        role = np.where(second_look, po.PROBE2, np.where(first_look, po.PROBE, 0)) | (0 if lower else po.INDEX)
-        gone_role = np.where(second_look[group[less]], po.PROBE_DEL, 0) | (0 if lower else po.INDEX_DEL)
-        keys = np.concatenate([exact, gone])
-        rows = np.concatenate([grow, r[less]])
-        roles = np.concatenate([role, gone_role]).astype(np.uint8)
-        some = roles > 0
-        segments = np.concatenate([segment[lead], segment[less]])[some]
-        yield (keys[some], rows[some], roles[some], band[rows[some]], segments), have - most, here & (have <= most)
-
-
-def layout(sizes: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(first bucket, buckets) of each band, from how many sets have which size. A band's
-    segments are dealt to its buckets, so a pair meets in the buckets of a band or two only."""
-    tops = bands(threshold)
+        lone = alone[np.maximum(band, 0)][row[at]]
+        for make, mine in ((_fine, at[lone]), (_coarse, at[~lone])):
+            if len(mine):
+                yield make(tokens[mine], row[mine], code[mine], size, np.maximum(band, 0), tops, threshold, spare, lower)
+
+
+def _fine(t, r, c, size, band, tops, threshold, spare, lower):
+    """A segment a token. t is in order within a row, so that equal costs go by token everywhere."""
+    order = np.argsort((r.astype(np.uint64) << np.uint64(8)) | c.astype(np.uint64), kind="stable")
+    r, t, c = r[order], t[order], c[order]
+    new = np.ones(len(r), bool)
+    new[1:] = r[1:] != r[:-1]
+    place = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
+    bottom = np.concatenate([[0], tops[:-1]])[band] + 1
+    most = size - shared(size, np.maximum(bottom, np.ceil(threshold * size - 1e-9).astype(np.int64)), threshold)
+    units = np.minimum(size, most + 1 + spare)
+    role = np.where(place < units[r], po.PROBE, 0).astype(np.uint8)
+    if not lower:
+        role |= np.where(place < (size - shared(size, size, threshold) + 1 + spare)[r], po.INDEX, 0).astype(np.uint8)
+    some = role > 0
+    r, t = r[some], t[some]
+    with np.errstate(over="ignore"):
+        keys = tk.mix64(t ^ tk.mix64(band[r].astype(np.uint64) + np.uint64(0xA24BAED4963EE407)))
+    return (keys, r, role[some], band[r], c[some]), units - most, np.zeros(len(size), bool)
+
+
+def _coarse(t, r, c, size, band, tops, threshold, spare, lower):
+    """Segments of several tokens, some with a one-deletion neighbourhood."""
+    here = np.zeros(len(size), bool)
+    here[r] = True
+    top = tops[band]
+    c = c.astype(np.int64) + 1
+    parts = np.maximum(1, (LOAD * top).astype(np.int64))[r]
+    with np.errstate(over="ignore"):
+        salt = tk.mix64(band[r].astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+        segment = (tk.mix64(t ^ salt) % parts.astype(np.uint64)).astype(np.int64)
+    order = np.argsort((r.astype(np.uint64) << np.uint64(40)) | segment.astype(np.uint64))
+    r, t, c, segment, salt = r[order], t[order], c[order], segment[order], salt[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (segment[1:] != segment[:-1])
+    lead = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    count = np.diff(np.append(lead, len(r)))
+    with np.errstate(over="ignore"):
+        mixed = tk.mix64(t)
+        total = np.add.reduceat(mixed, lead)
+        place = tk.mix64(segment[lead].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[lead])
+        exact = tk.mix64(total ^ place)
+    grow, low = r[lead], np.minimum.reduceat(c, lead)
+    # A deletable segment: its neighbours less one token, and what looking them up costs.
+    two = (segment[lead] % EVERY == 0) & (count > 1)
+    less = np.flatnonzero(two[group])
+    with np.errstate(over="ignore"):
+        gone = tk.mix64((total[group[less]] - mixed[less]) ^ place[group[less]])
+    ranked = np.where(c == low[group], 1 << 20, c)
+    second = np.minimum.reduceat(ranked, lead)
+    second = np.where(second == 1 << 20, low, second)
+    double = np.where(two, low * (count - 1) + second, 0)
+    # The cheapest units of each row: first looks at a segment, then second ones.
+    unit_group = np.concatenate([np.arange(len(lead)), np.flatnonzero(two)])
+    unit_cost = np.concatenate([low, np.maximum(double, low)[two]])
+    is_second = np.arange(len(unit_group)) >= len(lead)
+    urow = grow[unit_group]
+    order = np.argsort((urow.astype(np.uint64) << np.uint64(40)) | (np.minimum(unit_cost, (1 << 38) - 1).astype(np.uint64) << np.uint64(1)) | is_second.astype(np.uint64))
+    urow = urow[order]
+    lead_unit = np.ones(len(urow), bool)
+    lead_unit[1:] = urow[1:] != urow[:-1]
+    rank_in = np.arange(len(urow)) - np.maximum.accumulate(np.where(lead_unit, np.arange(len(urow)), 0))
+    most = differ(size, np.minimum(size, top), threshold)
+    wanted = most + 1 + spare
+    taken = order[rank_in < wanted[urow]]
+    have = np.bincount(grow[unit_group[taken]], minlength=len(size))
+    first_look, second_look = np.zeros(len(lead), bool), np.zeros(len(lead), bool)
+    first_look[unit_group[taken[~is_second[taken]]]] = True
+    second_look[unit_group[taken[is_second[taken]]]] = True
+    role = np.where(second_look, po.PROBE2, np.where(first_look, po.PROBE, 0)) | (0 if lower else po.INDEX)
+    gone_role = np.where(second_look[group[less]], po.PROBE_DEL, 0) | (0 if lower else po.INDEX_DEL)
+    keys = np.concatenate([exact, gone])
+    rows = np.concatenate([grow, r[less]])
+    roles = np.concatenate([role, gone_role]).astype(np.uint8)
+    some = roles > 0
+    # What is left of a segment less its one cheapest token is as frequent as the second cheapest.
+    cheap = c == low[group]
+    fewer = np.where(cheap[less] & (np.add.reduceat(cheap.astype(np.int64), lead)[group[less]] == 1), second[group[less]], low[group[less]])
+    codes = np.concatenate([low, fewer])[some] - 1
+    return (keys[some], rows[some], roles[some], band[rows[some]], codes), have - most, here & (have <= most)
+
+
+def layout(sizes: dict[int, int], threshold: float, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, buckets) of each band, from how many sets have which size."""
+    tops = np.array([1 << 40]) if fine else bands(threshold)
     rows = np.zeros(len(tops) + 1)
     for size, count in sizes.items():
         own = int(np.searchsorted(tops, size))
-        rows[own] += 0.65 * size * count
-        rows[max(own - 1, 0)] += 0.4 * size * count
+        lone = len(tops) == 1 or tops[own] <= SINGLE
+        rows[own] += ((1 - threshold) * size + 1 + SPARE if lone else 0.65 * size) * count
+        rows[max(own - 1, 0)] += 0.4 * size * count if len(tops) > 1 else 0
     parts = np.array([po.bucket_count(int(r)) for r in rows])
     return np.cumsum(parts) - parts, parts
 
 
 def scan(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: (doc_id, fp, size) of every text with a token, and (block, cells) of token counts."""
+    """One pass: (doc_id, fp, fp2, size) of every text with a token, and (block, cells) of token counts."""
     def run(batches):
         counter = po.Counter()
-        names = ["doc_id", "fp", "size", "block", "cells"]
+        names = ["doc_id", "fp", "fp2", "size", "block", "cells"]
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 tokens, row, rows = token_sets(part.column("text"), n)
                 counter.add(tokens)
-                fp, size = fingerprints(tokens, row, rows)
-                ids = part.column("doc_id").cast(pa.int64()).filter(pa.array(size > 0))
+                fp, size, second = fingerprints(tokens, row, rows)
+                some = size > 0
+                ids = part.column("doc_id").cast(pa.int64()).filter(pa.array(some))
                 k = len(ids)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fp[size > 0]), pa.array(size[size > 0], pa.int64()),
+                yield pa.RecordBatch.from_arrays([ids, pa.array(fp[some]), pa.array(second[some]), pa.array(size[some], pa.int64()),
                                                   pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         block, cells = counter.blocks()
         k = len(block)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                          pa.array(block, pa.int32()), pa.array(cells, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(block, pa.int32()), pa.array(cells, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, size bigint, block int, cells binary")
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, size bigint, block int, cells binary")
 
 
-def emit(docs: DataFrame, n: int, threshold: float, rank, dealt: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def emit(docs: DataFrame, n: int, threshold: float, rank, buckets: tuple[np.ndarray, np.ndarray], clash: list[int], fine: bool = False) -> DataFrame:
     """Packed signatures of every text's set; rows of bucket -1 name residual sets."""
     def run(batches):
-        packer, table, (first, parts) = po.Packer(), rank.value, dealt
+        packer, table, (first, parts) = po.Packer(), rank.value, buckets
+        grids = po.grids(table)
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 tokens, row, rows = token_sets(part.column("text"), n)
-                fp, size = fingerprints(tokens, row, rows)
-                for (keys, at, roles, band, segment), need, left in signatures(tokens, row, size, table, threshold):
-                    bucket = first[band] + (tk.mix64(segment.astype(np.uint64)) % parts[band].astype(np.uint64)).astype(np.int64)
+                fp, size, _ = fingerprints(tokens, row, rows, clash)
+                for (keys, at, roles, band, codes), need, left in signatures(tokens, row, size, table, threshold, fine=fine):
+                    went, keys = po.dealt(keys, fp[at], grids[codes])
+                    at, roles, band = at[went], roles[went], band[went]
+                    bucket = first[band] + (tk.mix64(keys) % parts[band].astype(np.uint64)).astype(np.int64)
                     yield from packer.add(keys, bucket, at, roles, fp, size, need)
                     if left.any():
                         yield pa.RecordBatch.from_arrays(
@@ -209,95 +269,107 @@ def emit(docs: DataFrame, n: int, threshold: float, rank, dealt: tuple[np.ndarra
     return docs.mapInArrow(run, po.PACKED)
 
 
-def _jaccard(mine: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
-    at = {fp: i for i, fp in enumerate(sets.column("fp").to_pylist())}
-    held = [np.frombuffer(x, np.uint64) for x in sets.column("tokens").to_pylist()]
-    a, b, j = [], [], []
-    for x, y in zip(mine.column("a").to_pylist(), mine.column("b").to_pylist()):
-        p, q = held[at[x]], held[at[y]]
-        place = np.searchsorted(p, q)
-        both = np.count_nonzero(p[np.minimum(place, len(p) - 1)] == q)
-        similarity = both / (len(p) + len(q) - both)
-        if similarity >= threshold - 1e-12:
-            a.append(x)
-            b.append(y)
-            j.append(similarity)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
-
-
-def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs at the threshold. known: (fp, doc_id, size), a row a set."""
+def _jaccard(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
+    """The tally of a task's pairs that reach the threshold. The commoner set of a pair is marked
+    once and the others are looked up in it, all at once."""
+    sets = sets.combine_chunks()
+    fp, lead = np.unique(np.asarray(sets.column("fp")), return_index=True)
+    column = sets.column("tokens").combine_chunks()
+    size = np.asarray(pc.binary_length(column)).astype(np.int64)[lead] // 8
+    flat = np.concatenate([np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in lead]) if len(lead) else np.zeros(0, np.uint64)
+    _, token = np.unique(flat, return_inverse=True)
+    start = np.cumsum(size) - size
+    a, b = (np.searchsorted(fp, np.asarray(pairs.column(c))) for c in "ab")
+    often = np.bincount(a, minlength=len(fp)) + np.bincount(b, minlength=len(fp))
+    swap = (often[b] > often[a]) | ((often[b] == often[a]) & (b > a))
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    both, mark = np.zeros(len(a), np.int64), np.zeros(len(flat), np.int8)
+    edge = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    for low, high in zip(edge, np.append(edge[1:], len(a))):
+        own = token[start[a[low]]:start[a[low]] + size[a[low]]]
+        mark[own] = 1
+        at = low
+        while at < high:
+            n = size[b[at:high]]
+            stop = at + max(1, int(np.searchsorted(np.cumsum(n), 4_000_000, side="right")))
+            n = n[:stop - at]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) + np.repeat(start[b[at:stop]] - (ends - n), n)
+            both[at:stop] = np.add.reduceat(mark[token[place]], ends - n, dtype=np.int64)
+            at = stop
+        mark[own] = 0
+    value = both / np.maximum(size[a] + size[b] - both, 1)
+    good = value >= threshold - 1e-12
+    return po.tally(a[good], b[good], value[good], np.asarray(sets.column("doc_id"))[lead], np.asarray(sets.column("copies"))[lead])
+
+
+def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshold: float, clash: list[int]) -> DataFrame:
+    """The tallies of the candidate pairs at the threshold. known: (fp, doc_id, size, copies), a row a set."""
     def tokens(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 t, row, rows = token_sets(part.column("text"), n)
-                ends = np.cumsum(np.bincount(row, minlength=rows))
-                starts = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.array([t[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["fp", "tokens"])
+                fp, size, _ = fingerprints(t, row, rows, clash)
+                ends = np.cumsum(size)
+                # A doc_id may have several texts; one of them has the set.
+                mine = np.flatnonzero(fp == np.asarray(part.column("fp")))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(pa.array(mine)) for c in ("fp", "doc_id", "copies")),
+                     pa.array([t[ends[i] - size[i]:ends[i]].tobytes() for i in mine], pa.binary())], ["fp", "doc_id", "copies", "tokens"])
 
     placed, label = po.place(found, known, HELD)
-    wanted = small(label.select(F.col("doc_id").alias("_id"), "fp"))
-    sets = (docs.join(wanted, F.col("doc_id") == F.col("_id")).select("fp", "text")
-            .mapInArrow(tokens, "fp bigint, tokens binary"))
-    return po.gather(placed, sets, lambda x, y: _jaccard(x, y, threshold), "a bigint, b bigint, jaccard double")
+    wanted = small(label.select(F.col("doc_id").alias("_id"), "fp", "copies"))
+    sets = (docs.join(wanted, F.col("doc_id") == F.col("_id")).select("fp", "doc_id", "copies", "text")
+            .mapInArrow(tokens, "fp bigint, doc_id bigint, copies bigint, tokens binary"))
+    return po.gather(placed, sets, lambda x, y: _jaccard(x, y, threshold), po.LINKED)
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: texts are lower-cased and cut at white space.
+    """(doc_id, class_id, links, jaccard), a row for each document that is similar to another:
+    texts are lower-cased and cut at white space.
 
-    Documents of equal sets are tied to the least doc_id of them, with jaccard 1; pairs of
-    unequal sets are given for these least doc_ids alone, all of them, exactly. So
-    (x, y) are similar just if their least doc_ids are equal or are a row. Null, empty
+    links counts the other documents with a Jaccard similarity of at least the threshold, all of
+    them, exactly, and jaccard is the highest. class_id is the least doc_id of those that links
+    join the document to, over any number of steps. Documents without a link have no row. Null, empty
     and blank texts have no tokens and no row; rows without doc_id are left out; repeated
-    rows of a doc_id count once; very long texts are read whole; other columns are
-    ignored; an empty table gives an empty result. doc_id must be an integer."""
+    rows of a doc_id count once; unlike texts of a doc_id are of one class, and their links add up; very
+    long texts are read whole; other columns are ignored; an empty table gives an empty result.
+    doc_id must be an integer."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("threshold must be within (0, 1] and n at least 1")
     spark = ready(docs.sparkSession)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
     seen = scan(texts, n).checkpoint()
-    own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "size")
     rank = spark.sparkContext.broadcast(po.ranks(seen.filter("block IS NOT NULL").select("block", "cells")))
-    known = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
-    dealt = layout({r["size"]: r["count"] for r in own.groupBy("size").count().collect()}, threshold)
-    met = po.meetings(emit(texts, n, threshold, rank, dealt), threshold).checkpoint()
-    found = po.enough(met)
-    residual = met.filter("b IS NULL").select(F.col("a").alias("fp"), F.col("need").cast("bigint").alias("size")).distinct()
-    # Sets that couldn't fill their units meet every set of fitting size. Practically none do.
-    extra = residual.select(F.col("fp").alias("a"), F.col("size").alias("sa")).crossJoin(known.select(F.col("fp").alias("b"), F.col("size").alias("sb")))
-    extra = extra.filter((F.col("a") != F.col("b")) & (F.col("sb") <= F.col("sa")) & (F.col("sb") >= threshold * F.col("sa") - 1e-9)).select("a", "b")
-    if not residual.isEmpty():
-        found = found.union(extra).distinct()
-    checked = verify(texts, known, found.checkpoint(), n, threshold)
-    ids = known.select("fp", "doc_id")
-    pairs = (checked.join(ids.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), "a")
-             .join(ids.select(F.col("fp").alias("b"), F.col("doc_id").alias("y")), "b")
-             .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard"))
-    copies = (own.join(ids.select("fp", F.col("doc_id").alias("least")), "fp").filter("doc_id <> least")
-              .select(F.col("least").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct())
-    return pairs.union(copies)
-
-
-def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(doc_id, least): each document of (doc_a, doc_b) edges with the least doc_id that
-    edges join it to. Each round takes the least label among neighbours and then that
-    label's own label, so long chains halve; ends when nothing changes."""
-    both = edges.select(F.col("doc_a").alias("doc_id"), F.col("doc_b").alias("other")).union(edges.select("doc_b", "doc_a")).distinct().checkpoint()
-    label = both.groupBy("doc_id").agg(F.least(F.col("doc_id"), F.min("other")).alias("least")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("doc_id").alias("other"), F.col("least").alias("l")), "other").groupBy("doc_id").agg(F.min("l").alias("l"))
-        step = label.join(near, "doc_id").select("doc_id", F.least("least", "l").alias("least"), F.col("least").alias("old"))
-        jump = step.join(label.select(F.col("doc_id").alias("least"), F.col("least").alias("next")), "least", "left")
-        made = jump.select("doc_id", F.least("least", F.coalesce("next", "least")).alias("least"), "old").checkpoint()
-        label = made.select("doc_id", "least")
-        if made.filter("least <> old").isEmpty():
-            return label
-    raise RuntimeError("groups didn't settle")
-
-
-def dropped(groups_: DataFrame) -> DataFrame:
-    """(_drop): every document of a group but the least, marked for broadcast if few."""
-    return small(groups_.filter("doc_id <> least").select(F.col("doc_id").alias("_drop")), 500_000)
+    own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "fp2", "size")
+    clash = po.clashes(own)
+    own = po.settled(own, clash)
+    known = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count_distinct("doc_id").alias("copies")).checkpoint()
+    sizes = {r["size"]: r["count"] for r in own.groupBy("size").count().collect()}
+
+    def met(fine):
+        return po.meetings(emit(texts, n, threshold, rank, layout(sizes, threshold, fine), clash, fine), lambda group: po.meet(group, threshold))
+
+    if several(threshold):
+        found = met(False).checkpoint()
+        # Sets that couldn't fill their units; practically none. Then all sets meet by single tokens.
+        if not found.filter("b IS NULL").isEmpty():
+            found = met(True)
+    else:
+        found = met(True)
+    linked = verify(texts, known, po.enough(found).checkpoint(), n, threshold, clash).checkpoint()
+    return po.classes(own.select("doc_id", "fp"), known, linked, 1.0).withColumnRenamed("best", "jaccard")
+
+
+#: See ``postings``.
+groups = po.groups
+
+
+def dropped(classes: DataFrame) -> DataFrame:
+    """(_drop): every document of a class but the least, marked for broadcast if few."""
+    return small(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).checkpoint(), 500_000)
 
 
 def query(spark, sf_dir):
@@ -307,7 +379,7 @@ def query(spark, sf_dir):
 
 
 def near_query(spark, sf_dir):
-    """The pairs that the pipeline takes for near copies."""
+    """What the pipeline takes for near copies."""
     from tideline.llm.common import read
 
     return similar(read(spark, sf_dir, "documents"), N, NEAR)
@@ -315,16 +387,21 @@ def near_query(spark, sf_dir):
 
 def _oracle(threshold: float) -> str:
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n\\r\\f]+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END)) AS g FROM w WHERE len(w) > 0),
-l AS (SELECT min(doc_id) AS doc_id, g FROM g GROUP BY g),
+l AS MATERIALIZED (SELECT min(doc_id) AS doc_id, count(DISTINCT doc_id) AS copies, g FROM g GROUP BY g),
 t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM l),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
-      FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL)
-SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= {threshold} - 1e-12
-UNION ALL
-SELECT l.doc_id, g.doc_id, 1.0 FROM g JOIN l ON g.g = l.g AND g.doc_id <> l.doc_id
+      FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) - 1e-9 GROUP BY ALL),
+j AS MATERIALIZED (SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= {threshold} - 1e-12),
+e AS MATERIALIZED (SELECT doc_a AS x, doc_b AS y, jaccard FROM j UNION ALL SELECT doc_b, doc_a, jaccard FROM j),
+r(x, y) AS (SELECT doc_id, doc_id FROM l UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x),
+s AS (SELECT e.x, sum(l.copies) AS links, max(e.jaccard) AS jaccard FROM e JOIN l ON e.y = l.doc_id GROUP BY e.x)
+SELECT g.doc_id, k.class_id, (coalesce(s.links, 0) + l.copies - 1)::BIGINT AS links,
+  CASE WHEN l.copies > 1 THEN 1.0::DOUBLE ELSE s.jaccard END AS jaccard
+FROM g JOIN l ON g.g = l.g JOIN k ON k.x = l.doc_id LEFT JOIN s ON s.x = l.doc_id WHERE coalesce(s.links, 0) + l.copies > 1
 """
 
 

@@ -1,9 +1,11 @@
-"""A packed self-join on signatures, and counts of tokens in a table of fixed size.
+"""A packed self-join on signatures, counts of tokens in a table of fixed size, and classes.
 
 ``Packer`` turns (signature, document) rows into a few binary blobs per bucket of
 signatures, eight bytes a row; ``meet`` sorts a bucket's rows and yields the documents
 that met. Rows of a database table would take three times the space and a JVM object
-each. A bucket's size follows documents / buckets, so choose buckets by the corpus.
+each. Buckets are cut by rows, so a bucket's size is the same whatever the corpus; a
+signature that the counts show to be hot is dealt to a grid of cells (see ``dealt``), so
+no signature is one task.
 
 Roles of a row (bits): INDEX a signature others may find; INDEX_DEL the same for a part
 less one token; PROBE a look-up worth 1; PROBE2 one worth 2; PROBE_DEL a look-up of a
@@ -22,9 +24,8 @@ from tideline.llm import textkernel as tk
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
 PACKED = "bucket int, rows binary, ids binary, sizes binary, needs binary"
-MAPPED = PACKED + ", maps binary"
-#: Words of 64 bits in the bit map of a set that ``meet_whole`` may use.
-MAP_WORDS = 16
+#: Rows of one signature that a cell of the grid for hot ones holds, about.
+HOT = 20_000
 PAIRS = "a bigint, b bigint, w int, need int"
 
 
@@ -36,15 +37,15 @@ def bucket_count(rows: int, each: int = 3_000_000) -> int:
 class Packer:
     """Gathers signature rows and gives them out packed by bucket."""
 
-    def __init__(self, rows: int = 500_000, mapped: bool = False):
-        self.limit, self.mapped = rows, mapped
+    def __init__(self, rows: int = 500_000):
+        self.limit = rows
         self._clear()
 
     def _clear(self):
-        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs, self.maps = [], [], [], [], [], [], [], []
+        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs = [], [], [], [], [], [], []
         self.rows = self.count = 0
 
-    def add(self, keys, buckets, docs, roles, ids, sizes, needs, maps=None) -> Iterator[pa.RecordBatch]:
+    def add(self, keys, buckets, docs, roles, ids, sizes, needs) -> Iterator[pa.RecordBatch]:
         """keys, buckets, docs, roles of rows, docs counting in ids, sizes, needs (needs: matches wanted)."""
         if self.count + len(ids) >= 1 << DOC_BITS or self.rows >= self.limit:
             yield from self.flush()
@@ -57,7 +58,6 @@ class Packer:
         self.ids.append(ids)
         self.sizes.append(sizes)
         self.needs.append(needs)
-        self.maps.append(maps)
         self.rows += len(keys)
         self.count += len(ids)
 
@@ -69,8 +69,7 @@ class Packer:
             short = keys >> np.uint64(64 - KEY_BITS)
             present, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts, len(order))
-            maps = np.concatenate(self.maps) if self.mapped else None
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for n, b in enumerate(present.tolist()):
                 at = order[ends[n]:ends[n + 1]]
                 here = np.zeros(len(ids), bool)
@@ -79,19 +78,16 @@ class Packer:
                 packed = (short[at] << np.uint64(DOC_BITS + ROLE_BITS)) | (local[docs[at]].astype(np.uint64) << np.uint64(ROLE_BITS)) | roles[at].astype(np.uint64)
                 for x, y in zip(out, (b, packed.tobytes(), ids[here].astype(np.int64).tobytes(), sizes[here].astype(np.int32).tobytes(), np.clip(needs[here], 0, 255).astype(np.uint8).tobytes())):
                     x.append(y)
-                if maps is not None:
-                    out[5].append(maps[here].tobytes())
-            some = 6 if self.mapped else 5
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:some]]],
-                                             ["bucket", "rows", "ids", "sizes", "needs", "maps"][:some])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]],
+                                             ["bucket", "rows", "ids", "sizes", "needs"])
         self._clear()
 
 
-def meet(group: list[pa.RecordBatch], ratio: float, either: bool = False, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def meet(group: list[pa.RecordBatch], ratio: float, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
-    ratio times a's size; w the look-ups of a that found b, need what a wants (with
-    ``either``, the less of what a and b want). A quarter of the signatures at a time;
-    sums are given out whenever ``most`` have gathered, so a pair may come more than once."""
+    ratio times a's size; w the look-ups of a that found b, need what a wants. A quarter
+    of the signatures at a time; sums are given out whenever ``most`` have gathered, so a
+    pair may come more than once."""
     named = [b.column("ids")[i].as_buffer() for b in group for i in range(b.num_rows) if b.column("bucket")[i].as_py() < 0]
     if named:  # sets that need another way, passed on as (a, null, null, size)
         a = np.concatenate([np.frombuffer(x, np.int64) for x in named])
@@ -105,7 +101,7 @@ def meet(group: list[pa.RecordBatch], ratio: float, either: bool = False, at_onc
         return [_summed(*(np.concatenate(y) for y in zip(*found)))]
 
     for part in range(4):
-        for x in _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
+        for x in _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
             found.append(x)
             waiting += len(x[0])
             if waiting > limit:  # the same pairs meet again and again
@@ -132,68 +128,60 @@ def _unpacked(group: list[pa.RecordBatch]):
     return blobs, base, *(np.concatenate(x) for x in (ids, sizes, needs))
 
 
-def bit_map(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, MAP_WORDS): a bit for each token of a row's set, by the token's upper bits."""
-    place = (tokens >> np.uint64(54)).astype(np.int64)
-    bits = np.zeros((rows, MAP_WORDS * 64), np.uint8)
-    bits[row, place] = 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
 def _given(a, b, w, need) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int32()), pa.array(need, pa.int32())], ["a", "b", "w", "need"])
 
 
-def meet_whole(group: list[pa.RecordBatch], ratio: float, at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """``meet`` with ``either`` for a bucket that has all signatures of its documents, each a plain
-    INDEX and PROBE: document by document, so that pairs which meet too seldom are dropped here.
-    So are pairs that by their bit maps can't have ratio times the larger set in common: common
-    tokens are at most the common bits and the tokens by which a set outnumbers its own bits."""
-    blobs, base, ids, sizes, needs = _unpacked(group)
-    maps = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, MAP_WORDS) for batch in group for x in batch.column("maps")])
-    spare = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-    keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in blobs])
+def meet_first(group: list[pa.RecordBatch], share: float, at_once: int = 1_000_000, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """(a, b) ids of a bucket, a < b, that may have more than ``share`` of the sum of their sizes in
+    common. Rows are tokens of a set in an order that all sets follow, and a row's role bits hold
+    half its place in it. Two sets meet first at their first common token, from where on they can
+    have no more in common than either has left; so where that is too little they aren't a pair,
+    or met before. A pair may come more than once."""
+    blobs, base, ids, sizes, _ = _unpacked(group)
+    rows = np.concatenate(blobs)
     docs = np.concatenate([((x >> np.uint64(ROLE_BITS)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64) + b for x, b in zip(blobs, base)])
     del blobs
+    keys, left = rows >> np.uint64(DOC_BITS + ROLE_BITS), sizes[docs] - 2 * (rows & np.uint64((1 << ROLE_BITS) - 1)).astype(np.int64)
     order = np.argsort(keys)
-    keys, docs = keys[order], docs[order]
+    keys, docs, left = keys[order], docs[order], left[order]
     start = np.ones(len(keys), bool)
     start[1:] = keys[1:] != keys[:-1]
-    lead = np.flatnonzero(start)
-    count = np.diff(np.append(lead, len(keys)))
-    run = np.cumsum(start) - 1
-    first, n = lead[run], count[run]
-    by_doc = np.flatnonzero(n > 1)
-    by_doc = by_doc[np.argsort(docs[by_doc])]
-    total = np.concatenate([[0], np.cumsum(n[by_doc])])
-    edge = np.flatnonzero(np.concatenate([[True], docs[by_doc][1:] != docs[by_doc][:-1], [True]])) if len(by_doc) else np.zeros(1, np.int64)
-    low = 0
-    while low < len(edge) - 1:
-        high = max(low + 1, int(np.searchsorted(total[edge], total[edge[low]] + at_once, side="right")) - 1)
-        rows = by_doc[edge[low]:edge[high]]
+    first = np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
+    place = np.arange(len(keys)) - first  # with each row, its pairs with the rows before it
+    total, low, found, waiting = np.concatenate([[0], np.cumsum(place)]), 0, [], 0
+    while low < len(keys):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, side="right")) - 1)
+        n = place[low:high]
+        x = np.repeat(np.arange(low, high), n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + first[x]
         low = high
-        x = np.repeat(rows, n[rows])
-        y = np.arange(len(x)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows]) + first[x]
-        a, b = docs[x], docs[y]
-        good = (ids[a] != ids[b]) & ((sizes[b] < sizes[a]) | ((sizes[b] == sizes[a]) & (ids[b] < ids[a]))) & (sizes[b] >= ratio * sizes[a] - 1e-9)
-        pair = np.sort((a[good].astype(np.uint64) << np.uint64(32)) | b[good].astype(np.uint64))
-        new = np.ones(len(pair), bool)
-        new[1:] = pair[1:] != pair[:-1]
-        at = np.flatnonzero(new)
-        w = np.diff(np.append(at, len(pair)))
-        a, b = (pair[at] >> np.uint64(32)).astype(np.int64), (pair[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        need = np.minimum(needs[a], needs[b])
-        some = w >= need
-        a, b, w, need = a[some], b[some], w[some], need[some]
-        for at in range(0, len(a), 1 << 17):
-            p, q = a[at:at + (1 << 17)], b[at:at + (1 << 17)]
-            most = np.bitwise_count(maps[p] & maps[q]).sum(axis=1, dtype=np.int64) + np.minimum(spare[p], spare[q])
-            fit = most >= np.ceil(ratio * sizes[p] - 1e-9)
-            if fit.any():
-                yield _given(ids[p[fit]], ids[q[fit]], w[at:at + (1 << 17)][fit], need[at:at + (1 << 17)][fit])
-
-
-def _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
+        dx, dy = docs[x], docs[y]
+        good = (np.minimum(left[x], left[y]) > share * (sizes[dx] + sizes[dy]) - 1e-9) & (ids[dx] != ids[dy])
+        if good.any():
+            p, q = ids[dx[good]], ids[dy[good]]
+            found.append(_once(np.minimum(p, q), np.maximum(p, q)))
+            waiting += len(found[-1][0])
+            if waiting > most:
+                yield _pairs(*_once(*(np.concatenate(z) for z in zip(*found))))
+                found, waiting = [], 0
+    if found:
+        yield _pairs(*_once(*(np.concatenate(z) for z in zip(*found))))
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
     """The summed pairs of the signatures whose upper two bits are part, chunk by chunk."""
     mine = [x[x >> np.uint64(62) == part] for x in blobs]
     keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in mine])
@@ -242,8 +230,7 @@ def _part(blobs, base, part, ids, sizes, needs, ratio, either, at_once):
         good = (w > 0) & (ids[da] != ids[db]) & (sizes[db] >= ratio * sizes[da] - 1e-9)
         if good.any():
             da, db = da[good], db[good]
-            want = np.minimum(needs[da], needs[db]) if either else needs[da]
-            yield _summed(ids[da], ids[db], w[good].astype(np.int64), want.astype(np.int32))
+            yield _summed(ids[da], ids[db], w[good].astype(np.int64), needs[da].astype(np.int32))
 
 
 def _summed(a, b, w, need):
@@ -256,13 +243,37 @@ def _summed(a, b, w, need):
     return a[at], b[at], np.add.reduceat(w, at), np.minimum.reduceat(need, at)
 
 
-def meetings(packed: DataFrame, ratio: float, either: bool = False, whole: bool = False) -> DataFrame:
-    """(a, b, w, need) of each bucket; bucket -1 holds sets that need another way, passed on without b.
-    whole: each bucket has all signatures by which its documents can meet (see ``meet_whole``)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from meet_whole(list(batches), ratio) if whole else meet(list(batches), ratio, either)
+def meetings(packed: DataFrame, run, schema: str = PAIRS) -> DataFrame:
+    """What ``run`` (see ``meet``, ``meet_first``) makes of each bucket."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(list(batches))
 
-    return packed.groupBy("bucket").applyInArrow(run, PAIRS)
+    return packed.groupBy("bucket").applyInArrow(each, schema)
+
+
+def dealt(keys: np.ndarray, ids: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): where the rows of signatures go. A hot signature's rows are split into g parts
+    by their id, and each goes to the g cells that pair its part with one of all, so that every
+    two rows meet in some cell and a cell holds about 2 * HOT rows (see ``grids``)."""
+    hot = np.flatnonzero(g > 1)
+    if not len(hot):
+        return np.arange(len(keys)), keys
+    n = g[hot]
+    row = np.repeat(hot, n)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        mine = (tk.mix64(ids[row].astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % g[row].astype(np.uint64)).astype(np.int64)
+        cell = np.minimum(mine, other) * g[row] + np.maximum(mine, other)
+        made = tk.mix64(keys[row] + tk.mix64(cell.astype(np.uint64) + np.uint64(1)))
+    cold = np.flatnonzero(g <= 1)
+    return np.concatenate([cold, row]), np.concatenate([keys[cold], made])
+
+
+def grids(rank: np.ndarray) -> np.ndarray:
+    """Parts of a signature by the code of its count in the table of ``ranks``; what a cell holds
+    at the median is of other signatures and not counted."""
+    count = np.exp2(np.arange(256) / SCALE)
+    return np.maximum(1, np.ceil((count - 2 * count[int(np.median(rank))]) / HOT)).astype(np.int64)
 
 
 def enough(met: DataFrame) -> DataFrame:
@@ -295,10 +306,12 @@ def gather(placed: DataFrame, payload: DataFrame, compare, schema: str) -> DataF
 
 
 CELL_BITS, BLOCK_BITS = 22, 16
+#: Steps of a code to a doubling: of a task's count, and of the sum's.
+FINE, SCALE = 16, 8
 
 
 class Counter:
-    """Counts tokens by their low bits; given out as blocks of one byte a cell."""
+    """Counts tokens by their low bits; given out as blocks of one byte a cell, a logarithm."""
 
     def __init__(self, bits: int = CELL_BITS):
         self.bits, self.cells, self.waiting, self.count = bits, np.zeros(1 << bits, np.uint32), [], 0
@@ -317,17 +330,18 @@ class Counter:
     def blocks(self) -> tuple[list[int], list[bytes]]:
         self._settle()
         size = min(1 << BLOCK_BITS, len(self.cells))
-        small = np.minimum(self.cells, 255).astype(np.uint8).reshape(-1, size)
+        small = np.minimum(255, np.rint(FINE * np.log2(1.0 + self.cells))).astype(np.uint8).reshape(-1, size)
         return list(range(len(small))), [x.tobytes() for x in small]
 
 
 def ranks(blocks: DataFrame, bits: int = CELL_BITS) -> np.ndarray:
     """From (block, cells) rows of many Counters, one byte a cell: the sum's logarithm.
 
-    The table has 2 ** bits bytes whatever the corpus; a task gives each cell 255 at most."""
+    The table has 2 ** bits bytes whatever the corpus."""
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint8).astype(np.uint32) for x in table.column("cells").to_pylist())
-        scaled = np.minimum(255, np.round(12 * np.log2(1.0 + total))).astype(np.uint8)
+        count = np.rint(np.exp2(np.arange(256) / FINE) - 1)
+        total = sum(count[np.frombuffer(x, np.uint8)] for x in table.column("cells").to_pylist())
+        scaled = np.minimum(255, np.round(SCALE * np.log2(1.0 + total))).astype(np.uint8)
         return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "cells": pa.array([scaled.tobytes()], pa.binary())})
 
     made = np.zeros(1 << bits, np.uint8)
@@ -335,3 +349,83 @@ def ranks(blocks: DataFrame, bits: int = CELL_BITS) -> np.ndarray:
     for row in blocks.groupBy("block").applyInArrow(add, "block int, cells binary").collect():
         made[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["cells"], np.uint8)
     return made
+
+
+def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(doc_id, least): each document of (doc_a, doc_b) edges with the least doc_id that
+    edges join it to. Each round takes the least label among neighbours and then that
+    label's own label, so long chains halve; ends when nothing changes."""
+    both = edges.select(F.col("doc_a").alias("doc_id"), F.col("doc_b").alias("other")).union(edges.select("doc_b", "doc_a")).distinct().checkpoint()
+    label = both.groupBy("doc_id").agg(F.least(F.col("doc_id"), F.min("other")).alias("least")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(label.select(F.col("doc_id").alias("other"), F.col("least").alias("l")), "other").groupBy("doc_id").agg(F.min("l").alias("l"))
+        step = label.join(near, "doc_id").select("doc_id", F.least("least", "l").alias("least"), F.col("least").alias("old"))
+        jump = step.join(label.select(F.col("doc_id").alias("least"), F.col("least").alias("next")), "least", "left")
+        made = jump.select("doc_id", F.least("least", F.coalesce("next", "least")).alias("least"), "old").checkpoint()
+        label = made.select("doc_id", "least")
+        if made.filter("least <> old").isEmpty():
+            return label
+    raise RuntimeError("groups didn't settle")
+
+
+def clashes(own: DataFrame) -> list[int]:
+    """The values of fp that rows of unlike fp2 share: of 2 ** 32 sets about one pair."""
+    made = own.groupBy("fp").agg(F.min("fp2").alias("m"), F.max("fp2").alias("x")).filter("m <> x")
+    return sorted(r["fp"] for r in made.select("fp").collect())
+
+
+def settled(own: DataFrame, clash: list[int]) -> DataFrame:
+    """own with fp2 in place of fp where fp is one of clash."""
+    return own.withColumn("fp", F.when(F.col("fp").isin(clash), F.col("fp2")).otherwise(F.col("fp"))) if clash else own
+
+
+LINKED = "doc_id bigint, root bigint, links bigint, best double"
+
+
+def tally(a: np.ndarray, b: np.ndarray, value: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> pa.Table:
+    """A task's linked pairs as a row for each of its members: (doc_id, root, links, best). a, b
+    count in ids; root is the least id that pairs of the task join a member to."""
+    n = len(ids)
+    links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+    best = np.zeros(n)
+    np.maximum.at(best, a, value)
+    np.maximum.at(best, b, value)
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    p, q, label = place[a], place[b], np.arange(n)
+    while len(p):
+        before = label.copy()
+        low = np.minimum(label[p], label[q])
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    some = np.flatnonzero(links > 0)
+    root = ids[order][label[place[some]]]
+    return pa.table({"doc_id": pa.array(ids[some], pa.int64()), "root": pa.array(root, pa.int64()),
+                     "links": pa.array(links[some].astype(np.int64)), "best": pa.array(best[some], pa.float64())})
+
+
+def classes(own: DataFrame, known: DataFrame, linked: DataFrame, most: float) -> DataFrame:
+    """(doc_id, class_id, links, best) of the documents with a link.
+
+    own: (doc_id, fp), rows of documents; known: (fp, doc_id, copies), a row a set with its least
+    doc_id; linked: rows of ``tally`` for these. Copies are links of value ``most``. Sets of
+    one doc_id are of one class, and its links add up."""
+    edges = linked.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    # A doc_id with several texts ties their sets.
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m <> x").select("doc_id", "m").checkpoint()
+    if not several.isEmpty():
+        ids = known.select("fp", F.col("doc_id").alias("r"))
+        tied = own.join(several, "doc_id").select("fp", "m").distinct().filter("fp <> m")
+        edges = edges.union(tied.join(ids, "fp").withColumnRenamed("r", "doc_a").join(ids.withColumnRenamed("fp", "m").withColumnRenamed("r", "doc_b"), "m")
+                            .filter("doc_a <> doc_b").select("doc_a", "doc_b"))
+    label = groups(edges.distinct())
+    each = linked.groupBy("doc_id").agg(F.sum("links").alias("l"), F.max("best").alias("b"))
+    sets = (known.join(each, "doc_id", "left").join(label, "doc_id", "left")
+            .select("fp", F.coalesce("least", "doc_id").alias("class_id"), (F.coalesce("l", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                    F.when(F.col("copies") > 1, F.lit(float(most))).otherwise(F.col("b")).alias("best")).filter("links > 0"))
+    return (own.distinct().join(sets, "fp").groupBy("doc_id")
+            .agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"), F.max("best").alias("best")))
