@@ -6,10 +6,12 @@ with rotations of its own: 2 * dimension cells to the power of depth. A query lo
 the cells that its own turned coordinates make likeliest (multiprobe), in every table.
 What it finds there is ranked by the exact cosine.
 
-Every vector is a query. A table's cells are cut into shards of about SHARD vectors, and
-a vector goes once to each shard that has its cell or one that it probes; there, queries
-and members of a cell meet as matrix products. Only the best k per table are sent on.
-The depth follows the number of vectors, so that cells keep their size as tables grow.
+Every vector is indexed; queries are a stated set. A table's cells are cut into shards of
+about SHARD vectors; a vector goes to one shard a table, a query, with the list of its
+cells there, to each shard that it probes. Counts of both tell where a shard is heavier
+than that (a cell that many near copies share); its vectors and queries are dealt to a grid
+of tasks, all of which meet. Of equal vectors only those of the lowest ids can be among a
+query's best, so no more go on. Tables, probes and depth are the same at every size.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.llm.common import ready, small
+
 K, SEED = 10, 5
 #: Similarities that single precision can't tell apart.
 CLOSE = np.float32(1e-5)
-#: Vectors a cell on average, at most; beyond it the depth grows.
-CELL, SHARD = 2048, 65_536
-#: (tables, probes) by depth, set for a recall of 0.9 and more on vectors without structure.
-EFFORT = {1: (14, 8), 2: (30, 64), 3: (64, 512)}
+#: Set for a recall of 0.9 and more on small tables of vectors without structure, the hardest case.
+TABLES, PROBES, DEPTH = 12, 512, 2
+#: Vectors and queries of a task.
+SHARD, QUERIES = 65_536, 16_384
+#: Queries of the registered search: ids divisible by this.
+EVERY = 50
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -83,138 +90,131 @@ def unit(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return kept, out
 
 
-def lowest(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows, ordered by id, distinct by id and vector; of equal vectors those of the ``most`` lowest ids."""
-    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).reshape(-1)
-    _, same = np.unique(raw, return_inverse=True)
-    order = np.lexsort((ids, same))
-    i, v = ids[order], same[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (i[1:] != i[:-1]) | (v[1:] != v[:-1])
-    order, v = order[fresh], v[fresh]
-    order = order[np.arange(len(v)) - np.searchsorted(v, v, side="left") < most]
-    return order[np.argsort(ids[order], kind="stable")]
-
-
-def best_of(queries: np.ndarray, members: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray, k: int, block: int = 4096):
-    """(query row, member row) of each query's k best other ids, a place for each id, and of
-    all that single precision can't tell from the k-th: ids are compared on exact values."""
-    kept = lowest(members, m_ids, k + 1)  # one of the k + 1 may be the query's own
-    members, m_ids = members[kept], m_ids[kept]
-    leads = np.flatnonzero(np.append(True, m_ids[1:] != m_ids[:-1])) if len(kept) else np.zeros(0, np.int64)
-    size = np.diff(np.append(leads, len(kept)))
-    cuts = [0]
-    while cuts[-1] < len(leads):
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(leads, leads[cuts[-1]] + block))))
-    found_q, found_m = [], []
-    for q0 in range(0, len(queries), 1024):
-        q, own = queries[q0:q0 + 1024], q_ids[q0:q0 + 1024]
-        rows, groups, values = [], [], []
-        for g0, g1 in zip(cuts, cuts[1:]):
-            at = leads[g0]
-            s = np.maximum.reduceat(q @ members[at:leads[g1 - 1] + size[g1 - 1]].T, leads[g0:g1] - at, axis=1)
-            s[own[:, None] == m_ids[None, leads[g0:g1]]] = -np.inf
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] if k < s.shape[1] else -np.inf
-            r, g = np.nonzero((s >= edge - CLOSE) & np.isfinite(s))
-            rows.append(r)
-            groups.append(g + g0)
-            values.append(s[r, g])
-        r, g, v = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, groups, values))
-        order = np.lexsort((-v, r))
-        r, g, v = r[order], g[order], v[order]
-        first = np.searchsorted(r, r, side="left")
-        last = np.minimum(first + k, np.searchsorted(r, r, side="right")) - 1
-        near = v >= v[last] - CLOSE
-        r, g = r[near], g[near]
-        # All rows of an id, as its vectors may differ.
-        found_q.append(np.repeat(r, size[g]) + q0)
-        ends = np.cumsum(size[g])
-        found_m.append(kept[np.arange(ends[-1] if len(ends) else 0) + np.repeat(leads[g] - (ends - size[g]), size[g])])
-    return np.concatenate(found_q or [np.zeros(0, np.int64)]), np.concatenate(found_m or [np.zeros(0, np.int64)])
-
-
-def neighbours(vectors: DataFrame, k: int = K, tables: int | None = None, probes: int | None = None, depth: int | None = None) -> DataFrame:
-    """(vec_id, rank, neighbour_id, similarity): up to k others by cosine, rank from 1.
+def nearest(own: int, cells_: np.ndarray, q: np.ndarray, home: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, repeated: bool) -> np.ndarray:
+    """Rows of x (ordered by their cell, home) in a query's cells that may be of its k best other ids: a
+    place for each id, and all that single precision can't tell from the k-th."""
+    low, high = np.searchsorted(home, cells_), np.searchsorted(home, cells_, side="right")
+    n = high - low
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
+    at = at[ids[at] != own]
+    if not len(at):
+        return at
+    s = x[at] @ q
+    each = s
+    if repeated:  # the best of an id's rows counts
+        order = np.argsort(ids[at], kind="stable")
+        at, s = at[order], s[order]
+        each = np.maximum.reduceat(s, np.flatnonzero(np.append(True, ids[at][1:] != ids[at][:-1])))
+    if len(each) > k:
+        at = at[s >= np.partition(each, len(each) - k)[len(each) - k] - CLOSE]
+    return at
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, tables: int = TABLES, probes: int = PROBES, depth: int = DEPTH) -> DataFrame:
+    """(vec_id, rank, neighbour_id, similarity): up to k others among vectors by cosine, rank from 1,
+    for each vec_id of queries (all of vectors if not given).
 
     Equal similarities are ordered by neighbour_id. Left out, as queries and as
     neighbours: null ids, null vectors, vectors with a null, NaN or infinite number, of
-    length 0, or not of the table's most frequent dimension (the larger of equals). Rows of one vec_id aren't each
-    other's neighbours and share one result. A vector may have fewer than k neighbours
-    if its cells hold fewer. Other columns are ignored; an empty table gives an empty result. vec_id must be an
+    length 0, or not of the most frequent dimension of vectors (the larger of equals). Rows of one vec_id aren't each
+    other's neighbours and share one result. A query may have fewer than k neighbours
+    if its cells hold fewer. Other columns are ignored; empty tables give an empty result. vec_id must be an
     integer."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    own = vectors.filter("vec_id IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+
+    ready(vectors.sparkSession)
+
+    def usable(rows):
+        return rows.filter("vec_id IS NOT NULL AND size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+
+    own = usable(vectors)
     sizes = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dimension, count = (sizes[0]["d"], sizes[0]["count"]) if sizes else (1, 0)
+    asked = (own if queries is None else usable(queries)).filter(F.size("embedding") == dimension).distinct()
+    # Of equal vectors the k lowest ids, and one more for a query that is one of them: Spark limits groups before the shuffle.
+    place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    own = own.filter(F.size("embedding") == dimension).distinct().withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n")
     width = 1 << max(0, int(np.ceil(np.log2(dimension))))
-    if depth is None:
-        depth = max(1, min(max(EFFORT), int(np.ceil(np.log(max(count, 1) / CELL) / np.log(2 * width)))))
-    tables, probes = tables or EFFORT[depth][0], probes or EFFORT[depth][1]
     space = (2 * width) ** depth
     probes = min(probes, space)
     shards = max(1, min(space, -(-count // SHARD)))
 
-    def spread(batches):
-        for batch in batches:
-            kept, x = unit(batch.column("embedding"), dimension)
-            if not len(x):
-                continue
-            ids = np.asarray(batch.column("vec_id"))[kept]
-            raw = [row.tobytes() for row in x]
-            for table in range(tables):
-                probed = cells(x, table, depth, probes)
-                shard = probed * shards // space
-                order = np.argsort(shard, axis=1, kind="stable")
-                by = np.take_along_axis(shard, order, axis=1)
-                new = np.ones(by.shape, bool)
-                new[:, 1:] = by[:, 1:] != by[:, :-1]
-                flat = np.take_along_axis(probed, order, axis=1).reshape(-1)
-                starts = np.flatnonzero(new.reshape(-1))
-                row = starts // probed.shape[1]
-                here = by.reshape(-1)[starts]
-                home = np.where(here == shard[row, 0], probed[row, 0], -1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), table), pa.int32()), pa.array(here, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(home, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat, pa.int64())),
-                     pa.array([raw[i] for i in row], pa.binary())],
-                    ["t", "shard", "vec_id", "home", "probed", "v"])
-
-    def look(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, home = np.asarray(group.column("vec_id")), np.asarray(group.column("home"))
-        x = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(len(ids), width)
-        probed = group.column("probed").combine_chunks()
-        cell = np.asarray(probed.flatten())
-        query = np.repeat(np.arange(len(ids)), np.asarray(probed.value_lengths()))
-        order = np.argsort(cell, kind="stable")
-        cell, query = cell[order], query[order]
-        members = np.argsort(home, kind="stable")
-        members = members[home[members] >= 0]
-        qs, ms = [], []
-        for c in np.unique(home[members]):
-            m = members[np.searchsorted(home[members], c):np.searchsorted(home[members], c, side="right")]
-            q = query[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
-            a, b = best_of(x[q], x[m], ids[q], ids[m], k)
-            qs.append(q[a])
-            ms.append(m[b])
-        q, m = np.concatenate(qs or [np.zeros(0, np.int64)]), np.concatenate(ms or [np.zeros(0, np.int64)])
-        s = np.concatenate([np.einsum("ij,ij->i", x[q[i:i + 65536]].astype(np.float64), x[m[i:i + 65536]].astype(np.float64))
+    def members(bare):
+        def run(batches):
+            for batch in batches:
+                kept, x = unit(batch.column("embedding"), dimension)
+                ids, raw = np.asarray(batch.column("vec_id"))[kept], pa.array([row.tobytes() for row in x], pa.binary())
+                for table in range(tables if len(x) else 0):
+                    home = cells(x, table, depth, 1)[:, 0]
+                    key = [pa.array(np.full(len(x), table), pa.int32()), pa.array(home * shards // space, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(key if bare else [*key, pa.array(ids), pa.array(home, pa.int64()), raw],
+                                                     ["t", "shard"] if bare else ["t", "shard", "vec_id", "home", "v"])
+        return own.mapInArrow(run, "t int, shard bigint" + ("" if bare else ", vec_id bigint, home bigint, v binary"))
+
+    def askers(bare):
+        def run(batches):
+            for batch in batches:
+                kept, x = unit(batch.column("embedding"), dimension)
+                ids, raw = np.asarray(batch.column("vec_id"))[kept], [row.tobytes() for row in x]
+                for table in range(tables if len(x) else 0):
+                    probed = np.sort(cells(x, table, depth, probes), axis=1)
+                    shard = probed * shards // space
+                    new = np.ones(shard.shape, bool)
+                    new[:, 1:] = shard[:, 1:] != shard[:, :-1]
+                    flat, starts = probed.reshape(-1), np.flatnonzero(new.reshape(-1))
+                    row = starts // probed.shape[1]
+                    key = [pa.array(np.full(len(row), table), pa.int32()), pa.array(shard.reshape(-1)[starts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(
+                        key if bare else [*key, pa.array(ids[row]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(flat, pa.int64())),
+                                          pa.array([raw[i] for i in row], pa.binary())],
+                        ["t", "shard"] if bare else ["t", "shard", "vec_id", "probed", "v"])
+        return asked.mapInArrow(run, "t int, shard bigint" + ("" if bare else ", vec_id bigint, probed array<bigint>, v binary"))
+
+    # The few shards with more than a task's vectors or queries.
+    load = members(True).groupBy("t", "shard").agg(F.count("*").alias("m")).join(askers(True).groupBy("t", "shard").agg(F.count("*").alias("q")), ["t", "shard"])
+    grid = small(load.filter((F.col("m") > 2 * SHARD) | (F.col("q") > 2 * QUERIES))
+                 .select("t", "shard", F.ceil(F.col("m") / SHARD).cast("int").alias("gm"), F.ceil(F.col("q") / QUERIES).cast("int").alias("gq")).checkpoint())
+
+    def spread(rows, mine, other):
+        part = lambda g, name: F.when(F.col(name).isNull(), F.lit(0)).otherwise(g)
+        at = part(F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int"), mine)
+        return (rows.join(grid, ["t", "shard"], "left").withColumn("_a", at)
+                .withColumn("_b", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("gm", "gq"))
+
+    held = spread(members(False), "gm", "gq").withColumnsRenamed({"_a": "i", "_b": "j"})
+    probing = spread(askers(False), "gq", "gm").withColumnsRenamed({"_a": "j", "_b": "i"})
+
+    def look(probing: pa.Table, held: pa.Table) -> pa.Table:
+        out = pa.schema([("vec_id", pa.int64()), ("neighbour_id", pa.int64()), ("similarity", pa.float64())])
+        if not len(probing) or not len(held):
+            return out.empty_table()
+        order = np.argsort(np.asarray(held.column("home")), kind="stable")
+        home, ids = np.asarray(held.column("home"))[order], np.asarray(held.column("vec_id"))[order]
+        x = np.frombuffer(b"".join(held.column("v").to_pylist()), np.float32).reshape(len(ids), width)[order]
+        asks = np.asarray(probing.column("vec_id"))
+        y = np.frombuffer(b"".join(probing.column("v").to_pylist()), np.float32).reshape(len(asks), width)
+        probed = probing.column("probed").combine_chunks()
+        ends = np.append(0, np.cumsum(np.asarray(probed.value_lengths())))
+        flat, repeated = np.asarray(probed.flatten()), len(np.unique(ids)) < len(ids)
+        found = [nearest(asks[i], flat[ends[i]:ends[i + 1]], y[i], home, x, ids, k, repeated) for i in range(len(asks))]
+        q, m = np.repeat(np.arange(len(asks)), [len(f) for f in found]), np.concatenate(found)
+        s = np.concatenate([np.einsum("ij,ij->i", y[q[i:i + 65536]].astype(np.float64), x[m[i:i + 65536]].astype(np.float64))
                             for i in range(0, len(q), 65536)] or [np.zeros(0)]).round(9)
         # An id's best row with each other id, then its k best here.
-        order = np.lexsort((-s, ids[m], ids[q]))
-        q, m, s = q[order], m[order], s[order]
+        order = np.lexsort((-s, ids[m], asks[q]))
+        q, m, s = asks[q[order]], ids[m[order]], s[order]
         fresh = np.ones(len(q), bool)
-        fresh[1:] = (ids[q[1:]] != ids[q[:-1]]) | (ids[m[1:]] != ids[m[:-1]])
+        fresh[1:] = (q[1:] != q[:-1]) | (m[1:] != m[:-1])
         q, m, s = q[fresh], m[fresh], s[fresh]
-        order = np.lexsort((ids[m], -s, ids[q]))
+        order = np.lexsort((m, -s, q))
         q, m, s = q[order], m[order], s[order]
-        first = np.searchsorted(ids[q], ids[q], side="left")
-        top = np.arange(len(q)) - first < k
-        return pa.table({"vec_id": pa.array(ids[q[top]], pa.int64()), "neighbour_id": pa.array(ids[m[top]], pa.int64()), "similarity": pa.array(s[top])})
+        top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+        return pa.table([pa.array(q[top]), pa.array(m[top]), pa.array(s[top])], schema=out)
 
-    sent = own.mapInArrow(spread, "t int, shard bigint, vec_id bigint, home bigint, probed array<bigint>, v binary")
-    met = sent.groupBy("t", "shard").applyInArrow(look, "vec_id bigint, neighbour_id bigint, similarity double")
+    key = ("t", "shard", "i", "j")
+    met = probing.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(look, "vec_id bigint, neighbour_id bigint, similarity double")
     met = met.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     better = met.groupBy("vec_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour_id").alias("n")))).alias("all"))
     return (better.select("vec_id", F.posexplode(F.slice("all", 1, k)).alias("rank", "b"))
@@ -222,6 +222,8 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int | None = None, probes
 
 
 def query(spark, sf_dir):
+    """The neighbours, among all vectors, of those whose id is divisible by EVERY."""
     from tideline.llm.common import read
 
-    return neighbours(read(spark, sf_dir, "embeddings"))
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.filter(F.col("vec_id") % EVERY == 0))
