@@ -106,17 +106,22 @@ BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot "
     "th thead title tr ul".split())
+#: Elements whose content is no text of the page; an unclosed one of the first kind runs to the end, of the
+#: second to its own next tag, as text may follow. The head may lack its end tag: it holds elements of HEAD alone.
+RAW, APART = "script|style|template", "noscript|svg|textarea|iframe"
+HEAD = frozenset("base basefont bgsound link meta title noscript script style template".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(script|style|noscript|template|svg|head)\b(?:.*?</\1\s*>|.*)"
+    rf"|<({RAW})\b(?:.*?</\1\s*>|.*)"
+    rf"|<({APART})\b(?:.*?</\2\s*>|[^>]*>?)"
     r"|<!\[CDATA\[|<[!?][^>]*>?"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)(?:(?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+>|[^>]*>?)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>?)"
     r"|([^<]+|<)", re.DOTALL | re.IGNORECASE)
 
 
 def blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of each block with a word, in order."""
-    found, inside, words, linked, anchor = [], [], 0, 0, 0
+    found, inside, words, linked, anchor, head, title = [], [], 0, 0, 0, False, False
 
     def close():
         nonlocal inside, words, linked
@@ -126,8 +131,18 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         inside, words, linked = [], 0, 0
 
     for token in TOKEN.finditer(page):
-        tag, text = token.group(3), token.group(4)
-        if text is not None:
+        tag, text = token.group(4), token.group(5)
+        if head and not title and (text is not None and not text.isspace() or tag is not None and tag.lower() not in HEAD and not token.group(3)):
+            head = False  # what can't be in a head ends it
+        if tag is not None and tag.lower() in ("head", "title"):
+            if tag.lower() == "head":
+                head, title = not token.group(3), False
+            else:
+                title = head and not token.group(3)
+            close()
+        elif head:
+            continue
+        elif text is not None:
             text = entities.unescape(text) if "&" in text else text
             inside.append(text)
             n = len(text.split())
@@ -139,10 +154,10 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
                 close()
                 anchor = 0
             elif tag == "a":
-                anchor = 0 if token.group(2) else 1
+                anchor = 0 if token.group(3) else 1
             elif tag == "br":
                 inside.append(" ")
-        elif token.group(1) is not None:
+        elif token.group(1) is not None or token.group(2) is not None:
             close()
     close()
     return found
@@ -165,7 +180,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text, blocks, kept): the content of each page, a line a block.
 
     Null and empty pages have no block and an empty text. Broken markup is read as far as
-    it goes: an open tag or comment runs to the end, a lone ``<`` is text. Pages of any
+    it goes: an open tag or comment runs to the end, a lone ``<`` is text; a head without an end tag
+    ends at the first thing that no head holds. Pages of any
     length are read whole; equal pages give equal texts; null ids and repeated rows are
     kept; other columns are ignored; an empty table gives an empty result."""
     kind = pages.schema["page_id"].dataType.simpleString()
