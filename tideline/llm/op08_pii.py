@@ -1,15 +1,16 @@
 """PII redaction: generated candidates, boosted trees, calibrated thresholds.
 
 High-recall generators propose spans that may overlap: e-mail addresses around every
-``@``; phone, address, card, social security, bank account, date and long-number shapes
-around every run of digits. Gradient-boosted trees score each candidate by its format
+``@``; phone, address, card, social security, date and long-number shapes
+around every run of digits; bank accounts and version 6 addresses in the whole text.
+Names and street addresses have no format to go by and aren't sought. Gradient-boosted trees score each candidate by its format
 and its context (neighbouring characters, telling words before it). Scores are
 calibrated on held-out candidates, and each kind has the threshold that reaches the
 wanted precision there. Of overlapping spans the best score is redacted.
 
 The training table is made here by a seeded generator of labelled examples, so training
 costs the same whatever the corpus and every run learns the same trees. Texts without a
-digit or ``@`` can't have a candidate and never leave the JVM; the rest is one pass.
+digit, ``@`` or ``::`` can't have a candidate and never leave the JVM; the rest is one pass.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ SHAPES = {
 IBANS = (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
          re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"))
 NUMBERS = {kind: k for k, kind in enumerate(KINDS)}
-LOCAL = re.compile(r"[\w.%+'\-]*\Z")
+#: Version 6 addresses, and whatever else is groups of hexadecimal digits between colons.
+COLONS = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:(?=[0-9A-Fa-f:])|::?(?=[0-9A-Fa-f]|:))(?:[0-9A-Fa-f]{1,4}:|:)*[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 DOMAIN = re.compile(r"[\w\-]*(?:\.[\w\-]+)*")
 WORDS = {
     "phone": r"phone|tel\b|call|mobile|fax|cell|contact|sms|whatsapp|telefon|móvil",
@@ -67,9 +69,11 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     found = set()
     at = text.find("@")
     while at >= 0:
-        left = LOCAL.search(text, max(0, at - 80), at)
+        start = at
+        while start and ((c := text[start - 1]).isalnum() or c in "_.%+'-"):
+            start -= 1
         right = DOMAIN.match(text, at + 1)
-        start, stop = left.start() if left else at, right.end() if right else at + 1
+        stop = right.end() if right else at + 1
         if stop - start > 1:
             found.add((start, stop, 0))
         at = text.find("@", at + 1)
@@ -88,6 +92,9 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for pattern in IBANS:
         for hit in pattern.finditer(text):
             found.add((hit.start(), hit.end(), NUMBERS["iban"]))
+    for hit in COLONS.finditer(text):
+        if hit.group().count(":") > 1:
+            found.add((hit.start(), hit.end(), NUMBERS["ip"]))
     return sorted(found)
 
 
@@ -107,7 +114,8 @@ def describe(text: str, start: int, stop: int, kind: int) -> list[float]:
     left = text[max(0, start - CONTEXT):start]
     groups = re.findall(r"\d+", span)
     local, _, domain = span.partition("@")
-    octets = [int(g) for g in groups[:4]] if kind == 2 else []
+    octets = [int(g) for g in groups[:4]] if kind == 2 and ":" not in span else []
+    colons = span.split(":") if kind == 2 and ":" in span else []
     return [
         *[float(kind == k) for k in range(len(KINDS))],
         len(span), len(digits), sum(c.isalpha() for c in span), sum(not c.isalnum() for c in span), len(groups),
@@ -119,6 +127,7 @@ def describe(text: str, start: int, stop: int, kind: int) -> list[float]:
         float(before.isalpha()), float(after.isalpha() or after == "_"), len(local) if kind == 0 else -1, domain.count(".") if kind == 0 else -1,
         float(len(domain.rpartition(".")[2]) > 1 and domain.rpartition(".")[2].isalpha()) if kind == 0 else -1,
         float(domain.rpartition(".")[2].lower() in ("png", "jpg", "gif", "svg", "js", "css", "py", "local")) if kind == 0 else -1,
+        len(colons), float("::" in span), max(map(len, colons), default=0), min(map(len, colons), default=0), sum(c in "abcdefABCDEF" for c in span) if colons else -1,
         float(len(set(digits)) <= 2) if digits else 0.0, float(digits[:1] in ("3", "4", "5", "6")) if digits else 0.0,
         *[float(bool(h.search(left))) for h in HINTS.values()],
     ]
@@ -153,6 +162,13 @@ def _examples(seed: int = SEED, each: int = 60) -> tuple[list[str], list[tuple[i
     def hexed(k: int) -> str:
         return "".join(r.choice("0123456789abcdef") for _ in range(k))
 
+    def six() -> str:
+        groups = [r.choice([n(4), hexed(4), hexed(r.randint(1, 4))]) for _ in range(8)]
+        if r.random() < 0.5:
+            at, gone = r.randint(1, 5), r.randint(1, 4)
+            return ":".join(groups[:at]) + "::" + ":".join(groups[at + gone:])
+        return ":".join(groups)
+
     name = lambda: r.choice(words) + r.choice(["", "."]) + r.choice(words + ["", n(2)])
     host = lambda: r.choice(["mail", "corp", "post", "web", "x"]) + r.choice(["", n(1)]) + "." + r.choice(["example", "firm", "uni"]) + "." + r.choice(["com", "org", "net", "de", "fr", "co.uk"])
     private = [
@@ -161,7 +177,7 @@ def _examples(seed: int = SEED, each: int = 60) -> tuple[list[str], list[tuple[i
         *[("phone", m) for m in (lambda: f"+1 ({n(3)}) {n(3)}-{n(4)}", lambda: f"({n(3)}) {n(3)}-{n(4)}", lambda: f"{n(3)}-{n(3)}-{n(4)}",
                                  lambda: f"{n(3)}.{n(3)}.{n(4)}", lambda: f"+{n(2, '3469')} {n(3)} {n(3)} {n(3)}",
                                  lambda: f"+1 {n(3)} {n(3)} {n(4)}", lambda: f"+{n(2, '3469')}-{n(3)}-{n(3)}-{n(4)}")],
-        *[("ip", m) for m in (octets, octets, dotted, dotted)],
+        *[("ip", m) for m in (octets, octets, dotted, dotted, six, six)], ("ip", lambda: r.choice(["fe80", "2001:db8", "fd00"]) + "::" + hexed(r.randint(1, 4))),
         *[("card", m) for m in (lambda: card(True), lambda: card(False), lambda: card(True), lambda: card(False), lambda: card(True, 15),
                                 lambda: re.sub(r"(....)(?=.)", r"\1 ", card(True)),
                                 lambda: re.sub(r"(....)(?=.)", r"\1-", card(True)))],
@@ -188,7 +204,7 @@ def _examples(seed: int = SEED, each: int = 60) -> tuple[list[str], list[tuple[i
         lambda: f"{n(1)}.{n(12)}", lambda: f"{n(4)} {n(4)}", lambda: f"19{n(2)}-20{n(2)}", lambda: f"{n(6)}", lambda: f"{n(8)}", lambda: f"part {n(3)}-{n(4)}", lambda: f"0.{n(9)}",
         lambda: f"@{r.choice(words)}", lambda: f"{r.choice(words)}@localhost", lambda: f"icon@2x.png", lambda: f"a @ b", lambda: f"x@y", lambda: f"@{r.choice(words)}.wire", lambda: f"user@{r.choice(words)}.local",
         *[lambda: f'"{hexed(40)}"', lambda: f'token = "{hexed(40)}"', lambda: hexed(32), lambda: hexed(64), lambda: hexed(40).upper()] * 3, lambda: f"v{n(1)}.{n(1)}.{n(2)}.{n(1)}",
-        lambda: f"AB{n(8)}X", lambda: f"{n(24)}", lambda: "0000000000000000", lambda: f"1{'0' * 12}", lambda: f"{n(2)}:{n(2)}:{n(2)}", lambda: f"{n(2)}.{n(2)}.{n(4)}", lambda: f"license {n(1)}.{n(1)}", lambda: f"{n(3)} - {n(3)}",
+        lambda: f"AB{n(8)}X", lambda: f"{n(24)}", lambda: "0000000000000000", lambda: f"1{'0' * 12}", lambda: f"{n(2)}:{n(2)}:{n(2)}", lambda: f"at {n(1)}:{n(2)}:{n(2)}", lambda: f"{n(2)}:{n(2)}:{n(2)}:{n(2)}", lambda: f"{r.choice('abcdef')}::{r.choice(words)}", lambda: f"{r.choice('abcdef')}::{r.choice('abcdef')}", lambda: f"ratio {n(1)}:{n(1)}:{n(1)}", lambda: f"{n(2)}.{n(2)}.{n(4)}", lambda: f"license {n(1)}.{n(1)}", lambda: f"{n(3)} - {n(3)}",
     ]
     texts: list[str] = []
     marks: list[tuple[int, int, str]] = []
@@ -376,7 +392,7 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
                          pa.array([[dict(zip(("start", "stop", "kind", "score"), x)) for x in found[i]] for i in rows], pa.list_(span))],
                         ["doc_id", "text", "redactions"])
 
-    some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
+    some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]|::"))
     return some.mapInArrow(run, f"doc_id {kind}, text string, redactions array<struct<start:int,stop:int,kind:string,score:double>>")
 
 
