@@ -10,12 +10,15 @@ whatever the corpus; all combinatorics run on the histogram on the driver:
 * what is left is packed best-fit: the longest piece that still fits comes next.
 
 The result is a list of runs (pattern of lengths, number of sequences). Executors rank
-the pieces of each length (in salted parts, so that no length is one task) and read the
-sequence number off the runs. No text is shuffled.
+the pieces of each length in parts of bounded size (so that no length is one task: long
+texts give mostly pieces of the full length) and read the sequence number off the runs
+that their part meets. No text is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import ready, small
 
-CAPACITY, SALTS = 2048, 64
+CAPACITY = 2048
+#: Pieces of one length that one task ranks, about.
+PART = 1_000_000
 
 
 class Stock:
@@ -110,6 +115,27 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
+def split(by_part: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """[(length, part, first rank, last rank, sequence of the first rank, slot)], ranks from 0 within a
+    part, from the sorted (length, part, pieces)."""
+    histogram: dict[int, int] = {}
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for length, part, n in by_part:
+        before = histogram.get(length, 0)
+        parts.setdefault(length, []).append((part, before, n))
+        histogram[length] = before + n
+    found = []
+    for length, low, high, base, slot in slots(runs(histogram, capacity)):
+        own = parts[length]
+        at = bisect.bisect_right(own, low, key=lambda p: p[1]) - 1
+        while at < len(own) and own[at][1] <= high:
+            part, before, n = own[at]
+            a, b = max(low, before), min(high, before + n - 1)
+            found.append((length, part, a - before, b - before, base + a - low, slot))
+            at += 1
+    return found
+
+
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, start, n_tokens): the pieces of each text, start counted in words."""
     words = F.size(F.filter(F.split("text", r"[ \t\n\r\f]+", -1), lambda x: x != "")).cast("bigint")
@@ -131,24 +157,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     spark = ready(docs.sparkSession)
-    cut = pieces(docs, capacity).withColumn("salt", F.pmod(F.hash("doc_id", "start"), F.lit(SALTS)))
-    cut = cut.checkpoint()  # a few numbers a row: the texts are read once
-    counted = cut.groupBy("n_tokens", "salt").agg(F.count("*").alias("n"))
-    by_part = sorted((r["n_tokens"], r["salt"], r["n"]) for r in counted.collect())  # capacity * SALTS rows at most
-    histogram: dict[int, int] = {}
-    offsets = []
-    for length, salt, n in by_part:
-        offsets.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    offset = spark.createDataFrame(offsets, "n_tokens int, salt int, before bigint")
-    plan = spark.createDataFrame(slots(runs(histogram, capacity)),
-                                 "n_tokens int, lo bigint, hi bigint, base bigint, slot int")
-    order = W.partitionBy("n_tokens", "salt").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start")
-    ranked = (cut.withColumn("local", F.row_number().over(order))
-              .join(F.broadcast(offset), ["n_tokens", "salt"])
-              .withColumn("rank", F.col("before") + F.col("local") - 1))
-    return (ranked.join(small(plan), "n_tokens").filter("rank between lo and hi")
-            .select((F.col("base") + F.col("rank") - F.col("lo")).alias("sequence"), "slot", "doc_id", "start", "n_tokens"))
+    cut = pieces(docs, capacity).checkpoint()  # a few numbers a row: the texts are read once
+    counts = cut.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    often = small(counts.filter(F.col("n") > PART).select("n_tokens", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
+    dealt = cut.join(often, "n_tokens", "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("parts")
+    # A row a part: the pieces over PART and the lengths in all at most.
+    by_part = sorted((r["n_tokens"], r["part"], r["n"]) for r in dealt.groupBy("n_tokens", "part").agg(F.count("*").alias("n")).collect())
+    plan = spark.createDataFrame(split(by_part, capacity), "n_tokens int, part int, lo bigint, hi bigint, base bigint, slot int")
+    plan = plan.groupBy("n_tokens", "part").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "base", "slot"))).alias("to"))
+    order = W.partitionBy("n_tokens", "part").orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start")
+    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(small(plan), ["n_tokens", "part"])
+    # The first run that ends at or after the rank.
+    run = F.element_at(F.filter("to", lambda x: x["hi"] >= F.col("rank")), 1)
+    return (ranked.withColumn("_r", run)
+            .select((F.col("_r.base") + F.col("rank") - F.col("_r.lo")).alias("sequence"), F.col("_r.slot").alias("slot"), "doc_id", "start", "n_tokens"))
 
 
 def query(spark, sf_dir):
