@@ -1,12 +1,13 @@
 """The pipeline's stages, each on all that its predecessor kept, against brute force."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as cp
-from tideline.llm import op07_quality, op10_packing
+from tideline.llm import op07_quality, op09_jaccard, op10_packing
 from tideline.llm.common import read
 
 DIR = "/root/testdata/sf0.001"
@@ -62,7 +63,7 @@ def test_one_of_each_group_stays(steps):
     ids = sorted(sets)
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) - 1e-9:
+            if len(sets[i] & sets[j]) >= op09_jaccard.NEAR * len(sets[i] | sets[j]) - 1e-9:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     assert set(made) == {i for i in docs if root(i) == i} and len(made) < len(docs)
@@ -100,3 +101,53 @@ def test_packing_covers_the_mixture(steps):
 
 def test_run_does_all_stages(spark, steps):
     assert sorted(map(str, cp.run(spark, DIR).collect())) == sorted(map(str, steps[-1][1].collect()))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, replica string, _drop string, _r string, scope string, sequence string, fp string, score string"
+TOKEN = "ghp_" + "aB3" * 12
+GOOD = ["the river rose in the night and the old mill stood empty by morning", "a market opens at dawn when farmers bring their baskets of fruit"]
+
+
+def _folder(spark, tmp_path, rows, labels):
+    spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, *["x"] * 7) for r in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_on_messy_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, repeated ids with unlike texts, clashing columns."""
+    long = " ".join(f"word{i} and{i % 7}" for i in range(30_000))
+    rows = [(1, GOOD[0], "en", "a"), (1, GOOD[0], "en", "a"), (2, GOOD[0] + " again", "en", None), (3, None, None, None), (4, "", "en", "b"), (5, "  \n", "en", "b"),
+            (None, f"one {TOKEN} text of its own here", None, "a"), (None, GOOD[1], "en", "a"), (None, None, None, None), (6, long, "en", "b"),
+            (7, f"two {TOKEN} and more", "en", "a"), (7, "unlike the other text with this number, and clean", "en", "a")]
+    folder = _folder(spark, tmp_path, rows, [(1, 1, 0), (None, 1, None), (2, None, 0)])
+    docs = read(spark, folder, "documents")
+    kept = cp.quality(spark, docs, folder)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if (r["text"] or "").strip())
+    lone = cp.near_duplicates(spark, kept, folder)
+    assert lone.columns == docs.columns and Counter(r["doc_id"] for r in lone.collect()) == {1: 2, None: 2, 6: 1, 7: 2}
+    masked = cp.secrets(spark, lone, folder)
+    want = Counter((r["doc_id"], r["text"].replace(TOKEN, "[SECRET]")) for r in lone.collect())
+    assert masked.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in masked.collect()) == want
+    assert all(r["n_chars"] == len(r["text"]) for r in masked.collect())
+    mixed = cp.mixing(spark, masked, folder)
+    assert mixed.columns == docs.columns and {str(r) for r in mixed.collect()} <= {str(r) for r in masked.collect()}
+    packed = cp.packing(spark, mixed, folder)
+    assert sum(r["n_tokens"] for r in packed.collect()) == sum(len(r["text"].split()) for r in mixed.collect())
+    assert sorted(map(str, cp.run(spark, folder).collect())) == sorted(map(str, packed.collect()))
+
+
+@pytest.mark.parametrize("rows,labels", [([], []), ([], [(1, 1, 0)]), ([(1, GOOD[0], "en", "a"), (2, GOOD[1], "en", "b")], [])])
+def test_empty_tables(spark, tmp_path, rows, labels):
+    folder = _folder(spark, tmp_path, rows, labels)
+    assert {r["doc_id"] for r in cp.run(spark, folder).collect()} <= {r[0] for r in rows}
+    docs = read(spark, folder, "documents")
+    for _, stage in cp.STAGES[:-1]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns and made.count() <= 2 * len(rows)
+
+
+def test_only_the_last_stage_stays_on_disk(spark):
+    made = cp.run(spark, DIR)
+    stage = os.path.dirname(made.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(stage)) == [str(len(cp.STAGES) - 1)] and made.count() > 0
