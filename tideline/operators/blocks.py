@@ -107,48 +107,62 @@ def integer_sizes(rows: DataFrame, by: tuple[str, ...] = ("stream", "block")) ->
     return sized.withColumn("_b", best).select(*by, *choices, F.col("_b.codec").alias("codec"), F.col("_b.bytes").alias("bytes"))
 
 
-HEALTH = "stream string, block bigint, ratio double, route string, reason string, state string, baseline double, deviation double"
+HEALTH = ("stream string, block bigint, ratio double, unique_ratio double, route string, reason string, state string, quarantined boolean, "
+          "baseline double, deviation double, cause string, probe boolean")
+#: Deviations below the baseline that quarantine, and that a probe may be below it; blocks between probes; good probes wanted.
+TRIGGER, RECOVERY, EVERY, PROBES = 3, 10, 4, 3
+
+
+def _cause(ratio: float, u: float, base: float, dev: float, uniq: float) -> str | None:
+    """What is wrong with a block against a baseline: its ratio, or a burst of distinct values."""
+    if ratio < base - TRIGGER * min(dev, 0.9 * base / TRIGGER):
+        return "ratio_drop"
+    return "entropy_burst" if u > 1.5 * uniq and u > 0.5 and ratio < base else None
 
 
 def _health(table: pa.Table) -> pa.Table:
-    """The route of each block by a stream's baseline. CORE blocks whose values repeat enough
-    train the baseline; a ratio three deviations below it, an entropy gate or an entropy burst
-    quarantines; every fourth block probes, and three good probes in a row recover."""
+    """The route of each block by a stream's baseline, which starts at ratio 2, deviation 0.5 and
+    uniqueness 0.5. CORE blocks whose values repeat enough train it (the very first sets it);
+    a ratio drop, an entropy burst or the entropy gate quarantines; then every fourth block is a
+    probe, judged by its ratio alone, and the third good one in a row recovers, unless the gate stops it."""
     table = table.sort_by("block")
-    base = dev = uniq = 0.0
-    trained, bad, good, frozen, out = 0, False, 0, (0.0, 0.0), {n: [] for n in ("route", "reason", "state", "baseline", "deviation")}
-    for block, ratio, u, du in zip(*(table.column(c).to_pylist() for c in ("block", "ratio", "unique_ratio", "unique_delta_ratio"))):
-        reason = "ok"
-        if u > 0.85 and du > 0.85:
-            reason = "entropy_gate"
-        elif trained and ratio < base - 3 * min(max(dev, 0.01), 0.3 * base):
-            reason = "ratio_drop"
-        elif trained and u > 1.5 * uniq and u > 0.5 and ratio < base:
-            reason = "entropy_burst"
-        state, route = "NORMAL", "CORE"
-        if bad:
-            route, state = "QUARANTINE", "ANOMALY_ONGOING"
-            if block % 4 == 0:
-                good = good + 1 if reason == "ok" and ratio >= frozen[0] - 10 * max(frozen[1], 0.1) else 0
-                state = "PROBE"
-                if good >= 3:
-                    bad, good, route, state = False, 0, "CORE", "ANOMALY_END"
-        elif reason != "ok":
-            bad, good, frozen, route, state = True, 0, (base, dev), "QUARANTINE", "ANOMALY_START"
-        if route == "CORE" and state != "ANOMALY_END" and u <= 0.8:
-            if trained:
-                dev = 0.9 * dev + 0.1 * abs(ratio - base)
-                base, uniq = 0.9 * base + 0.1 * ratio, 0.9 * uniq + 0.1 * u
+    base, dev, uniq, frozen, quarantined, good, out = 2.0, 0.5, 0.5, 0.0, False, 0, []
+    rows = zip(*(table.column(c).to_pylist() for c in ("block", "ratio", "unique_ratio", "unique_delta_ratio")))
+    for seen, (block, ratio, u, du) in enumerate(rows):
+        gate, cause, probe = u > 0.85 and du > 0.85, None, None
+        if not quarantined:
+            cause = _cause(ratio, u, base, dev, uniq)
+            reason = "entropy_gate" if gate else cause
+            state = "ANOMALY_START" if reason else "OK"
+            if reason:
+                quarantined, frozen, good, cause = True, base, 0, cause or "unknown"
+        else:
+            state, reason = "ANOMALY_MID", "quarantine_active"
+            if block % EVERY == 0:
+                probe = ratio >= (frozen or base) - RECOVERY * max(dev, 0.1)
+                reason = "recovery_pending" if probe else "recovery_probe_fail"
+                if probe and good + 1 >= PROBES and not gate:
+                    quarantined, frozen, good, state, reason, probe = False, 0.0, 0, "ANOMALY_END", "recovery_match", None
+                else:
+                    good = good + 1 if probe else 0
+            if gate:
+                reason = "entropy_gate"
+        route = "CORE" if state in ("OK", "ANOMALY_END") else "QUARANTINE"
+        if state == "OK" and u <= 0.8:
+            if seen == 0:
+                base, dev, uniq = ratio, 0.1 * ratio, u
             else:
-                base, uniq = ratio, u
-            trained += 1
-        for n, v in zip(out, (route, reason, state, base, dev)):
-            out[n].append(v)
-    return pa.table({"stream": table.column("stream"), "block": table.column("block"), "ratio": table.column("ratio"), **{n: pa.array(v) for n, v in out.items()}})
+                dev = 0.1 * abs(ratio - base) + 0.9 * dev
+                base, uniq = 0.1 * ratio + 0.9 * base, 0.1 * u + 0.9 * uniq
+        out.append((route, reason, state, quarantined, base, dev, cause, probe))
+    made = dict(zip(("route", "reason", "state", "quarantined", "baseline", "deviation", "cause", "probe"), zip(*out))) if out else {}
+    kinds = {"quarantined": pa.bool_(), "probe": pa.bool_(), "baseline": pa.float64(), "deviation": pa.float64()}
+    return pa.table({**{c: table.column(c) for c in ("stream", "block", "ratio", "unique_ratio")}, **{n: pa.array(v, kinds.get(n, pa.string())) for n, v in made.items()}})
 
 
 def health(blocks: DataFrame) -> DataFrame:
-    """blocks: (stream, block, ratio, unique_ratio, unique_delta_ratio) -> the monitor's decisions."""
+    """blocks: (stream, block, ratio, unique_ratio, unique_delta_ratio) -> the monitor's decisions.
+    A stream's blocks are a few rows per thousand values and are folded in order; streams run in parallel."""
     rows = blocks.select(F.col("stream").cast("string").alias("stream"), F.col("block").cast("bigint").alias("block"), "ratio", "unique_ratio", "unique_delta_ratio")
     return rows.groupBy("stream").applyInArrow(_health, HEALTH)
 
@@ -159,11 +173,16 @@ def gates(blocks: DataFrame) -> DataFrame:
 
 
 def anomaly_segments(decided: DataFrame) -> DataFrame:
-    """Intervals of consecutive quarantined blocks per stream."""
-    w = W.partitionBy("stream").orderBy("block")
-    rows = decided.withColumn("island", F.col("block") - F.row_number().over(W.partitionBy("stream", "route").orderBy("block"))).filter("route = 'QUARANTINE'")
-    del w
-    return rows.groupBy("stream", "island").agg(F.min("block").alias("first"), F.max("block").alias("last"), F.count("*").alias("blocks"), F.min("ratio").alias("worst")).drop("island")
+    """A stream's anomalies in order: from the block that began one to the one that recovered (or, of an
+    open one, the last seen), with its cause, its worst ratio and uniqueness, and its probes."""
+    over = W.partitionBy("stream").orderBy("block")
+    rows = (decided.withColumn("segment", F.count_if(F.col("state") == "ANOMALY_START").over(over.rowsBetween(W.unboundedPreceding, 0)))
+            .withColumn("last", F.max("block").over(W.partitionBy("stream"))).filter("state <> 'OK'"))
+    held = F.col("state") != "ANOMALY_END"
+    return rows.groupBy("stream", "segment").agg(
+        F.min("block").alias("first"), F.coalesce(F.max(F.when(~held, F.col("block"))), F.max("last")).alias("last"), F.count_if(held).alias("blocks"),
+        F.max("cause").alias("cause"), F.min(F.when(held, F.col("ratio"))).alias("worst"), F.max(F.when(held, F.col("unique_ratio"))).alias("most_unique"),
+        F.count("probe").alias("probes"), F.count_if("probe").alias("good_probes"))
 
 
 def worst(blocks: DataFrame, most: int = 10) -> DataFrame:

@@ -1,8 +1,8 @@
 """Cross-key structure of sample series (key, ts, seq, signal).
 
-Series are cut to the last ``most`` samples and aligned from the tail by position. The pair
-join is on the reverse rank, so its size is pairs * samples * lags; candidates can be
-narrowed beforehand by ``candidates``.
+Series are cut to the last ``most`` samples and aligned from the tail by position. Pairs are
+found first, by an interval join of last writes (``candidates``); each then has its two
+arrays of samples and all its lags in one row, so no row is a sample of a pair.
 """
 
 from __future__ import annotations
@@ -32,24 +32,52 @@ def tail(series: DataFrame, most: int = MOST) -> DataFrame:
     return ranked.withColumn("n", F.count("*").over(W.partitionBy("key")))
 
 
-def lagged(series: DataFrame, max_lag: int = MAX_LAG, least: int = MIN_SAMPLES) -> DataFrame:
-    """(item_a, item_b, lag, n, r) for item_a < item_b and each lag with enough samples. A
-    positive lag pairs a sample of A with B's sample so many steps before."""
-    t = tail(series).select("key", "r", "signal")
-    a = t.select(F.col("key").alias("item_a"), F.col("r").alias("ra"), F.col("signal").alias("x"))
-    a = a.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("rb", F.col("ra") + F.col("lag"))
-    b = t.select(F.col("key").alias("item_b"), F.col("r").alias("rb"), F.col("signal").alias("y"))
-    x, y, n = F.col("x"), F.col("y"), F.count("*").cast("double")
-    sums = a.join(b, "rb").filter("item_a < item_b").groupBy("item_a", "item_b", "lag").agg(
-        F.count("*").alias("n"), (n * F.sum(x * y) - F.sum(x) * F.sum(y)).alias("top"),
-        F.sqrt(F.greatest(F.lit(0.0), (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y)))).alias("under"))
-    return sums.filter(F.col("n") >= least).select("item_a", "item_b", "lag", "n", F.when(F.col("under") > 0, F.col("top") / F.col("under")).otherwise(0.0).alias("r"))
+def tails(series: DataFrame, most: int = MOST) -> DataFrame:
+    """(key, x): the last samples of each key, newest first."""
+    w = W.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))
+    last = series.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+    return last.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("signal").cast("double").alias("v")))), lambda s: s["v"]).alias("x"))
+
+
+def pearson(x: F.Column, y: F.Column) -> F.Column:
+    """The correlation of two arrays of one length; 0 without spread."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "xy", "xx", "yy")])
+    both = F.zip_with(x, y, lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+
+    def step(a, p):
+        u, v = p["u"], p["v"]
+        return F.struct((a["x"] + u).alias("x"), (a["y"] + v).alias("y"), (a["xy"] + u * v).alias("xy"), (a["xx"] + u * u).alias("xx"), (a["yy"] + v * v).alias("yy"))
+
+    n = F.size(x).cast("double")
+
+    def done(a):
+        under = F.sqrt(F.greatest(F.lit(0.0), (n * a["xx"] - a["x"] * a["x"]) * (n * a["yy"] - a["y"] * a["y"])))
+        return F.when(under > 0, (n * a["xy"] - a["x"] * a["y"]) / under).otherwise(0.0)
+
+    return F.aggregate(both, zero, step, done)
+
 
+def lagged(series: DataFrame, max_lag: int = MAX_LAG, least: int = MIN_SAMPLES, window_ms: int = WINDOW_MS) -> DataFrame:
+    """(item_a, item_b, lag, n, r) for item_a < item_b whose last writes are within the window, and each
+    lag with enough samples. A positive lag pairs a sample of A with B's sample so many steps before."""
+    t = tails(series)
+    pairs = candidates(series.groupBy("key").agg(F.max("ts").alias("ts")), window_ms)
+    both = (pairs.join(t.select(F.col("key").alias("item_a"), F.col("x").alias("a")), "item_a")
+            .join(t.select(F.col("key").alias("item_b"), F.col("x").alias("b")), "item_b"))
 
-def correlations(series: DataFrame, threshold: float = THRESHOLD, cap: int = CAP) -> DataFrame:
+    def at(lag):
+        n = F.least(F.size("a") + F.least(lag, F.lit(0)), F.size("b") - F.greatest(lag, F.lit(0)))
+        x, y = F.slice("a", F.greatest(F.lit(1), 1 - lag), F.greatest(n, F.lit(0))), F.slice("b", F.greatest(F.lit(1), 1 + lag), F.greatest(n, F.lit(0)))
+        return F.struct(lag.alias("lag"), n.cast("bigint").alias("n"), pearson(x, y).alias("r"))
+
+    lags = F.transform(F.sequence(F.lit(-max_lag), F.lit(max_lag)), at)
+    return both.select("item_a", "item_b", F.explode(lags).alias("l")).select("item_a", "item_b", "l.*").filter(F.col("n") >= least)
+
+
+def correlations(series: DataFrame, threshold: float = THRESHOLD, cap: int = CAP, window_ms: int = WINDOW_MS) -> DataFrame:
     """The strongest lag of each pair at the threshold (the first of equals), at most ``cap``
     per item, with confidence sqrt(n) / 10 up to 1."""
-    best = lagged(series).groupBy("item_a", "item_b").agg(
+    best = lagged(series, window_ms=window_ms).groupBy("item_a", "item_b").agg(
         F.max_by(F.struct("lag", "n", "r"), F.struct(F.round(F.abs("r"), 12), -F.col("lag"))).alias("b")).select("item_a", "item_b", "b.*")
     kept = best.filter(F.abs("r") >= threshold).withColumn("confidence", F.least(F.lit(1.0), F.sqrt("n") / 10))
     if cap:
@@ -123,17 +151,27 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.exceptAll(a).withColumn("event", F.lit("formed")).union(a.exceptAll(b).withColumn("event", F.lit("dissolved")))
 
 
+def cluster_of(clustered: DataFrame, key: str) -> DataFrame:
+    """The cluster that has a key among its members."""
+    return clustered.filter(F.array_contains("members", key))
+
+
+def correlation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(item_a, item_b, event): correlations found and lost between two states, and those whose sign turned."""
+    a, b = (x.select("item_a", "item_b", F.col("r").alias(n)) for x, n in ((before, "_old"), (after, "_new")))
+    event = (F.when(F.col("_old").isNull(), "found").when(F.col("_new").isNull(), "lost")
+             .when(F.signum("_old") != F.signum("_new"), "turned"))
+    return a.join(b, ["item_a", "item_b"], "full").select("item_a", "item_b", event.alias("event")).filter("event IS NOT NULL")
+
+
 def similar_keys(keys: DataFrame, of: DataFrame, most: int = 5) -> DataFrame:
     """Keys like those in ``of`` by their segments: 2 for one at the same place, 1 for one
-    elsewhere; the best few. ``of`` should be small: it is broadcast by the cross join's side."""
+    elsewhere; the best few. A join on the segments, so keys without a common one never meet."""
     a = of.select(F.col("key").alias("of"), F.split("key", r"\|").alias("s"))
-    b = keys.select("key", F.split("key", r"\|").alias("t"))
-
-    def points(x, i):
-        return F.when(F.get("s", i) == x, 2).when(F.array_contains("s", x), 1).otherwise(0)
-
-    score = F.aggregate(F.transform("t", points), F.lit(0), lambda u, v: u + v)
-    rows = b.crossJoin(a).filter("key <> of").select("of", "key", score.cast("bigint").alias("score")).filter("score > 0")
+    a = a.select("of", "s", F.explode(F.array_distinct("s")).alias("segment"))
+    b = keys.select("key", F.posexplode(F.split("key", r"\|")).alias("i", "segment"))
+    points = F.when(F.get("s", F.col("i")) == F.col("segment"), 2).otherwise(1)
+    rows = b.join(a, "segment").filter("key <> of").groupBy("of", "key").agg(F.sum(points).cast("bigint").alias("score"))
     rank = F.row_number().over(W.partitionBy("of").orderBy(F.desc("score"), "key"))
     return rows.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= most)
 

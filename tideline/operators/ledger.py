@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,15 +21,32 @@ def entry_text(payload: F.Column) -> F.Column:
     return F.when(F.length(payload) > PAYLOAD_CHARS, F.concat(F.lit("sha256:"), F.sha2(payload, 256))).otherwise(payload)
 
 
+CHAIN = "seq bigint, ts bigint, actor string, action string, target string, payload string, prev_hash string, hash string"
+
+
 def chain(entries: DataFrame, by: str = "log") -> DataFrame:
     """Entries (log, seq, ts, actor, action, target, payload) with the hash of each and of the
-    one before. A chain is serial, so each log is one fold; logs run in parallel."""
-    line = F.concat_ws("|", F.col("seq").cast("string"), F.col("ts").cast("string"), "actor", "action", "target", entry_text(F.col("payload")))
-    items = F.array_sort(F.collect_list(F.struct("seq", "ts", "actor", "action", "target", entry_text(F.col("payload")).alias("payload"), line.alias("line"))))
-    hashes = F.aggregate("items", F.array(F.lit(ZERO_HASH)), lambda a, x: F.array_append(a, F.sha2(F.concat_ws("|", x["line"], F.element_at(a, -1)), 256)))
-    made = entries.groupBy(by).agg(items.alias("items")).select(by, "items", hashes.alias("hashes"))
-    return (made.select(by, "hashes", F.posexplode("items").alias("i", "e"))
-            .select(by, "e.seq", "e.ts", "e.actor", "e.action", "e.target", "e.payload", F.get("hashes", F.col("i")).alias("prev_hash"), F.get("hashes", F.col("i") + 1).alias("hash")))
+    one before. A chain is serial: a log is sorted into one task and hashed as it streams by, a batch in
+    memory at a time; logs run in parallel. Nulls are left out of the hashed line."""
+    rows = entries.select(F.col(by).cast("string").alias("log"), F.col("seq").cast("bigint").alias("seq"), F.col("ts").cast("bigint").alias("ts"), "actor", "action", "target",
+                          entry_text(F.col("payload")).alias("payload"))
+    line = F.concat_ws("|", F.col("seq").cast("string"), F.col("ts").cast("string"), "actor", "action", "target", "payload")
+    rows = rows.withColumn("line", line).repartition("log").sortWithinPartitions("log", "seq")
+
+    def run(batches):
+        log, before = object(), ZERO_HASH
+        for batch in batches:
+            prev, hashes = [], []
+            for own, text in zip(batch.column("log").to_pylist(), batch.column("line").to_pylist()):
+                if own != log:
+                    log, before = own, ZERO_HASH
+                prev.append(before)
+                before = hashlib.sha256(f"{text}|{before}".encode()).hexdigest()
+                hashes.append(before)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(prev, pa.string()), pa.array(hashes, pa.string())],
+                                             [by, *(c.split()[0] for c in CHAIN.split(", "))])
+
+    return rows.mapInArrow(run, f"{by} string, {CHAIN}")
 
 
 def verify(entries: DataFrame, by: str = "log") -> DataFrame:
@@ -79,15 +99,21 @@ def weekly(distilled: DataFrame) -> DataFrame:
 
 def purge(records: DataFrame, now: F.Column, budget: int) -> DataFrame:
     """What an emergency purge drops: raw records over 3 days old, then compressed ones over 15,
-    oldest first within a step, until what is left is below 90 % of the budget."""
+    oldest first within a step, until what is left is below 90 % of the budget. Sums by step and day come
+    first (a row a day); only days are ordered by themselves, and a day's records among each other."""
     size = F.octet_length("content").cast("bigint")
     age = now - F.col("ts")
     rows = records.withColumn("tier", tier(age)).withColumn("bytes", size)
     step = F.when((F.col("tier") == "raw") & (age > 3 * DAY_MS), 1).when((F.col("tier") == "compressed") & (age > 15 * DAY_MS), 2)
-    total = rows.agg(F.sum("bytes").alias("_total"))
-    order = W.orderBy("_step", "ts", "key").rowsBetween(W.unboundedPreceding, -1)
-    picked = rows.withColumn("_step", step).filter("_step IS NOT NULL").crossJoin(F.broadcast(total))
-    freed = F.coalesce(F.sum("bytes").over(order), F.lit(0))
+    rows = rows.withColumn("_step", step).withColumn("_day", F.floor(F.col("ts") / DAY_MS).cast("bigint"))
+    days = rows.groupBy("_step", "_day").agg(F.sum("bytes").alias("b"))
+    total = days.agg(F.sum("b").alias("_total"))
+    earlier = F.coalesce(F.sum("b").over(W.orderBy("_step", "_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.filter("_step IS NOT NULL").withColumn("_earlier", earlier).crossJoin(F.broadcast(total))
+    days = days.filter(F.col("_total") - F.col("_earlier") >= 0.9 * budget).drop("b")  # what days before leave in place
+    order = W.partitionBy("_step", "_day").orderBy("ts", "key").rowsBetween(W.unboundedPreceding, -1)
+    picked = rows.join(days, ["_step", "_day"])
+    freed = F.col("_earlier") + F.coalesce(F.sum("bytes").over(order), F.lit(0))
     return picked.withColumn("_left", F.col("_total") - freed).filter(F.col("_left") >= 0.9 * budget).select("key", "ts", "tier", "bytes", F.col("_step").cast("bigint").alias("step"))
 
 

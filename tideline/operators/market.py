@@ -15,10 +15,10 @@ def snapshot_query(rows: DataFrame, item: int) -> DataFrame:
     return rows.join(rows.filter(F.col("item_id") == item).select("ts").distinct(), "ts", "left_semi")
 
 
-def history(rows: DataFrame, items: list[int], low: int | None = None, high: int | None = None, limit: int = 0) -> DataFrame:
-    """An item's samples in a time range with the change from the one before, newest first if limited."""
+def history(rows: DataFrame, items: list[int] | None = None, low: int | None = None, high: int | None = None, limit: int = 0) -> DataFrame:
+    """Items' samples (all items if none are named) in a time range with the change from the one before; the newest of each if limited."""
     w = W.partitionBy("item_id").orderBy("ts")
-    found = rows.filter(F.col("item_id").isin(items))
+    found = rows if items is None else rows.filter(F.col("item_id").isin(items))
     if low is not None:
         found = found.filter(F.col("ts") >= low)
     if high is not None:

@@ -7,6 +7,7 @@ with partial aggregation gives the state: no window, no sort, one shuffle on key
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,21 +122,53 @@ def rotate(segments: DataFrame, now: int | F.Column, cold_after_ms: int, expire_
     return segments.withColumn("action", action)
 
 
-def flush_points(log: DataFrame, max_bytes: int, max_rows: int, by: str) -> DataFrame:
-    """Where a write buffer is flushed when replayed in log order: after the row with which its
-    bytes exceed max_bytes or its rows reach max_rows. A greedy fold per log (column ``by``)."""
-    size = F.octet_length("key") + F.octet_length(F.to_json("num")) + F.lit(32)
-    items = F.array_sort(F.collect_list(F.struct(F.col("lsn"), size.cast("bigint").alias("bytes"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("rows"), F.expr("CAST(array() AS array<bigint>)").alias("points"))
+MEMTABLE_BYTES, MEMTABLE_DIRTY = 4 << 20, 1000
 
-    def step(a, x):
-        b, n = a["bytes"] + x["bytes"], a["rows"] + 1
-        full = (b > max_bytes) | (n >= max_rows)
-        return F.struct(F.when(full, F.lit(0)).otherwise(b).cast("bigint").alias("bytes"), F.when(full, F.lit(0)).otherwise(n).cast("bigint").alias("rows"),
-                        F.when(full, F.array_append(a["points"], x["lsn"])).otherwise(a["points"]).alias("points"))
 
-    return (log.groupBy(by).agg(items.alias("items")).select(by, F.aggregate("items", zero, step).alias("s"))
-            .select(by, F.col("s.points").alias("flush_lsns"), F.size("s.points").cast("bigint").alias("flushes")))
+def json_number(x: F.Column) -> F.Column:
+    """A double as JSON writes it: whole numbers without a fraction."""
+    return F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
+def record_bytes(key: F.Column, fields: F.Column) -> F.Column:
+    """Size of a record in a write buffer: its key, its fields' JSON (text) and 32 for the rest."""
+    return (F.octet_length(key) + F.octet_length(fields) + F.lit(32)).cast("bigint")
+
+
+def fields_json(num: F.Column, text: F.Column) -> F.Column:
+    """Fields as one flat JSON object: numbers, then strings."""
+    numbers = F.transform(F.map_entries(num), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), json_number(e["value"])))
+    strings = F.transform(F.map_entries(text), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"')))
+    return F.concat(F.lit("{"), F.array_join(F.concat(numbers, strings), ","), F.lit("}"))
+
+
+FLUSH = "log string, flush bigint, lsn bigint, reason string, bytes bigint, records bigint"
+
+
+def flush_points(log: DataFrame, max_bytes: int = MEMTABLE_BYTES, max_dirty: int = MEMTABLE_DIRTY, by: str = "log") -> DataFrame:
+    """Where a write buffer is flushed when replayed in log order, a row a flush. A rewritten key counts
+    once, with its new size; a delete takes its record out. After each put the buffer is flushed if its
+    bytes exceed max_bytes (reason size), else if its records exceed max_dirty (dirty), and is empty then.
+    A fold per log (column ``by``); logs run in parallel."""
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lsn")
+        held, total, out = {}, 0, []
+        for lsn, op, key, size in zip(*(table.column(c).to_pylist() for c in ("lsn", "op", "key", "size"))):
+            total -= held.pop(key, 0)
+            if op != "PUT":
+                continue
+            held[key] = size
+            total += size
+            if total > max_bytes or len(held) > max_dirty:
+                out.append((lsn, "size" if total > max_bytes else "dirty", total, len(held)))
+                held, total = {}, 0
+        columns = list(zip(*out)) or [()] * 4
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.table([table.column("log")[:1].combine_chunks().take(pa.array([0] * len(out), pa.int64())), pa.array(range(1, len(out) + 1), pa.int64()), *map(pa.array, columns, kinds)],
+                        names=["log", "flush", "lsn", "reason", "bytes", "records"])
+
+    rows = log.select(F.col(by).cast("string").alias("log"), "lsn", "op", "key", record_bytes(F.col("key"), fields_json(F.col("num"), F.col("str"))).alias("size"))
+    return rows.groupBy("log").applyInArrow(fold, FLUSH)
 
 
 def resolve_buffer(buffer: DataFrame, log: DataFrame) -> DataFrame:
@@ -146,8 +179,18 @@ def resolve_buffer(buffer: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def remap(state: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Tiers renamed by a small (tier, new_tier) table; others stay."""
-    return state.join(F.broadcast(mapping), "tier", "left").withColumn("tier", F.coalesce("new_tier", "tier")).drop("new_tier")
+    """Tiers renamed by a (tier, new_tier) table; others stay. Broadcast only if Spark finds it small."""
+    return state.join(mapping, "tier", "left").withColumn("tier", F.coalesce("new_tier", "tier")).drop("new_tier")
+
+
+def segment_entries(state: DataFrame, segment: str) -> DataFrame:
+    """The keys whose current row is in a segment (column ``segment``)."""
+    return state.filter(F.col("segment") == segment)
+
+
+def without_segment(state: DataFrame, segment: str) -> DataFrame:
+    """The state less the keys whose current row is in a segment."""
+    return state.filter(F.coalesce(F.col("segment") != segment, F.lit(True)))
 
 
 def infer_schema(state: DataFrame) -> DataFrame:

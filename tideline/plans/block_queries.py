@@ -29,6 +29,14 @@ def _blocks(s, d):
     return bl.metrics(_rows(s, d)).withColumn("ratio", F.round(1 / F.greatest(F.lit(0.01), F.col("unique_ratio")), 9))
 
 
+def _event_blocks(s, d):
+    """Small blocks of each event type with a ratio that swings with the values, so that every state is met."""
+    o = observations(s, d).withColumn("block", F.floor(F.col("seq") / 40).cast("bigint"))
+    return o.groupBy(F.col("event_type").alias("stream"), "block").agg(
+        F.round(F.avg(F.col("value")) / 20, 9).alias("ratio"), (F.count_distinct(F.floor("k")) / F.count("*")).alias("unique_ratio"),
+        (F.count_distinct(F.col("k") % 7) / F.count("*")).alias("unique_delta_ratio"))
+
+
 def _rounded(df, keep):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c in keep or not keep])
 
@@ -58,11 +66,42 @@ QUERIES = {
     "value_rle_runs": lambda s, d: bl.runs(_ints(s, d).withColumn("x", F.col("x") % 2)),
     "integer_codec_sizes": lambda s, d: bl.integer_sizes(_ints(s, d)),
     "health_gates": lambda s, d: bl.gates(_blocks(s, d)).select("stream", "block", "gated"),
-    "health_routes": lambda s, d: bl.health(_blocks(s, d)).select("stream", "block", "route", "reason", "state", F.round("baseline", 6).alias("baseline")),
+    "health_routes": lambda s, d: bl.health(_blocks(s, d)).select("stream", "block", "route", "reason", "state", "quarantined", F.round("baseline", 6).alias("baseline"), F.round("deviation", 6).alias("deviation")),
     "health_segments": lambda s, d: bl.anomaly_segments(bl.health(_blocks(s, d))),
+    "health_routes_by_event": lambda s, d: bl.health(_event_blocks(s, d)).select("stream", "block", "route", "reason", "state"),
+    "health_segments_by_event": lambda s, d: bl.anomaly_segments(bl.health(_event_blocks(s, d))),
 }
 _GATE = f"""{_M}, h AS (SELECT stream, block, round(1 / greatest(0.01, unique_ratio), 9) AS ratio, unique_ratio, unique_delta_ratio FROM m)"""
+_EVENT_GATE = """h AS (SELECT event_type AS stream, seq // 40 AS block, round(avg(value) / 20, 9) AS ratio, count(DISTINCT k) / count(*) AS unique_ratio,
+        count(DISTINCT k % 7) / count(*) AS unique_delta_ratio FROM observations GROUP BY ALL)"""
+#: The monitor, a block of every stream a step.
+_FOLD = """b AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY block) AS i FROM h),
+      f AS (SELECT DISTINCT stream, 0::BIGINT AS i, NULL::BIGINT AS block, NULL::DOUBLE AS ratio, NULL::DOUBLE AS u, 'CORE' AS route, NULL::VARCHAR AS reason, 'OK' AS state, false AS q,
+          2.0::DOUBLE AS base, 0.5::DOUBLE AS dev, 0.5::DOUBLE AS uniq, 0.0::DOUBLE AS frozen, 0::BIGINT AS good, NULL::VARCHAR AS cause, NULL::BOOLEAN AS probe FROM h
+        UNION ALL
+        SELECT stream, i, block, ratio, u, CASE WHEN state IN ('OK', 'ANOMALY_END') THEN 'CORE' ELSE 'QUARANTINE' END, reason, state, state IN ('ANOMALY_START', 'ANOMALY_MID'),
+          CASE WHEN NOT learns THEN base WHEN i = 1 THEN ratio ELSE 0.1::DOUBLE * ratio + 0.9::DOUBLE * base END,
+          CASE WHEN NOT learns THEN dev WHEN i = 1 THEN 0.1::DOUBLE * ratio ELSE 0.1::DOUBLE * abs(ratio - base) + 0.9::DOUBLE * dev END,
+          CASE WHEN NOT learns THEN uniq WHEN i = 1 THEN u ELSE 0.1::DOUBLE * u + 0.9::DOUBLE * uniq END,
+          CASE state WHEN 'ANOMALY_START' THEN base WHEN 'ANOMALY_END' THEN 0 ELSE frozen END,
+          CASE WHEN state IN ('ANOMALY_START', 'ANOMALY_END') THEN 0 WHEN p THEN good + 1 WHEN NOT p THEN 0 ELSE good END,
+          CASE WHEN state = 'ANOMALY_START' THEN coalesce(c, 'unknown') END, CASE WHEN state = 'ANOMALY_MID' THEN p END
+        FROM (SELECT *, state = 'OK' AND u <= 0.8 AS learns FROM (
+          SELECT *, CASE WHEN NOT q THEN CASE WHEN gate THEN 'entropy_gate' ELSE c END WHEN p AND good >= 2 AND NOT gate THEN 'recovery_match' WHEN gate THEN 'entropy_gate'
+              WHEN p THEN 'recovery_pending' WHEN NOT p THEN 'recovery_probe_fail' ELSE 'quarantine_active' END AS reason,
+            CASE WHEN NOT q AND NOT gate AND c IS NULL THEN 'OK' WHEN NOT q THEN 'ANOMALY_START' WHEN p AND good >= 2 AND NOT gate THEN 'ANOMALY_END' ELSE 'ANOMALY_MID' END AS state
+          FROM (SELECT f.stream, b.i, b.block, b.ratio, b.unique_ratio AS u, f.q, f.base, f.dev, f.uniq, f.frozen, f.good, b.unique_ratio > 0.85 AND b.unique_delta_ratio > 0.85 AS gate,
+              CASE WHEN b.ratio < f.base - 3 * least(f.dev, 0.9::DOUBLE * f.base / 3) THEN 'ratio_drop' WHEN b.unique_ratio > 1.5 * f.uniq AND b.unique_ratio > 0.5 AND b.ratio < f.base THEN 'entropy_burst' END AS c,
+              CASE WHEN f.q AND b.block % 4 = 0 THEN b.ratio >= coalesce(nullif(f.frozen, 0), f.base) - 10 * greatest(f.dev, 0.1) END AS p
+            FROM f JOIN b ON f.stream = b.stream AND b.i = f.i + 1)))),
+      y AS (SELECT *, count(*) FILTER (state = 'ANOMALY_START') OVER (PARTITION BY stream ORDER BY block) AS segment, max(block) OVER (PARTITION BY stream) AS final FROM f WHERE i > 0)"""
+_SEGMENTS = """SELECT stream, segment, min(block) AS first, coalesce(max(block) FILTER (state = 'ANOMALY_END'), max(final)) AS last, count(*) FILTER (q) AS blocks, max(cause) AS cause,
+        min(ratio) FILTER (q) AS worst, max(u) FILTER (q) AS most_unique, count(probe) AS probes, count(*) FILTER (probe) AS good_probes FROM y WHERE state <> 'OK' GROUP BY stream, segment"""
 ORACLES = {n: with_views(q) for n, q in {
+    "health_routes": f"WITH RECURSIVE {_GATE}, {_FOLD} SELECT stream, block, route, reason, state, q AS quarantined, round(base, 6) AS baseline, round(dev, 6) AS deviation FROM y",
+    "health_segments": f"WITH RECURSIVE {_GATE}, {_FOLD} {_SEGMENTS}",
+    "health_routes_by_event": f"WITH RECURSIVE {_EVENT_GATE}, {_FOLD} SELECT stream, block, route, reason, state FROM y",
+    "health_segments_by_event": f"WITH RECURSIVE {_EVENT_GATE}, {_FOLD} {_SEGMENTS}",
     "block_metrics": f"WITH {_M} SELECT stream, block, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NAMES) + " FROM m",
     "block_regime": f"WITH {_M} SELECT stream, block, {_REGIME} AS regime FROM m",
     "block_worst10": f"WITH {_GATE} SELECT stream, block, ratio FROM h ORDER BY ratio, stream, block LIMIT 10",

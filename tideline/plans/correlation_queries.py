@@ -20,6 +20,14 @@ def _found(s, d, threshold=LOW):
     return co.correlations(series(s, d), threshold)
 
 
+NEAR_MS = 1_800_000
+
+
+def _users(s, d):
+    """A series of every user: the values of their events."""
+    return observations(s, d).select("key", "ts", "seq", F.col("value").alias("signal"))
+
+
 def _last(s, d):
     return observations(s, d).groupBy("key").agg(F.max("ts").alias("ts"))
 
@@ -43,11 +51,16 @@ QUERIES = {
     "clusters": lambda s, d: co.clusters(_found(s, d, 0.12)).select("cluster_id", F.array_join("members", ",").alias("members"), "edges"),
     "cluster_cohesion": lambda s, d: co.clusters(_found(s, d, 0.12)).select("cluster_id", _r("cohesion").alias("cohesion")),
     "cluster_events": lambda s, d: co.changes(co.clusters(_found(s, d, 0.2)), co.clusters(_found(s, d, 0.12))),
+    "correlation_events": lambda s, d: co.correlation_changes(_found(s, d, 0.2), _found(s, d, 0.12)),
+    "cluster_of_key": lambda s, d: co.cluster_of(co.clusters(_found(s, d, 0.12)), "view").select("cluster_id", "edges"),
+    "corr_users": lambda s, d: co.correlations(_users(s, d), 0.3, 3, NEAR_MS).select("item_a", "item_b", F.col("lag").cast("bigint").alias("lag"), "n", _r("r").alias("r"), _r("confidence").alias("confidence")),
+    "clusters_users": lambda s, d: co.clusters(co.correlations(_users(s, d), 0.3, 0, NEAR_MS)).select("cluster_id", _r("cohesion").alias("cohesion"), "edges"),
+    "seasonal_patterns_users": lambda s, d: co.seasonal(_users(s, d), 0.1).select("key", "lag", _r("strength").alias("strength"), _r("period_hours").alias("period_hours"), "period"),
     "cluster_mean_behavior": lambda s, d: co.mean_behavior(
         co.clusters(co.candidates(_last(s, d), 600_000).withColumn("r", F.lit(1.0))), fo.behavior(observations(s, d))).select(
             "cluster_id", _r("velocity").alias("velocity"), F.round("write_count", 6).alias("write_count")),
     "candidates_within_window": lambda s, d: co.candidates(_last(s, d)),
-    "similar_keys": lambda s, d: co.similar_keys(_keys(s, d), _keys(s, d).filter("key LIKE 'E%' OR key LIKE 'ASIA%'")),
+    "similar_keys": lambda s, d: co.similar_keys(_keys(s, d), _keys(s, d)),
     "seasonal_patterns": lambda s, d: co.seasonal(_daily(s, d), 0.0).select("key", "lag", _r("strength").alias("strength"), _r("period_hours").alias("period_hours"), "period"),
     "phase_means": lambda s, d: co.phases(_daily(s, d), 24).select("key", "phase", _r("mean").alias("mean"), "n"),
     "phase_amplitude": lambda s, d: co.amplitude(co.phases(series(s, d), 24)).select("key", _r("amplitude").alias("amplitude"), "peak"),
@@ -63,6 +76,14 @@ _L = f"""t AS (SELECT key, r, signal FROM (SELECT *, row_number() OVER (PARTITIO
       b AS (SELECT item_a, item_b, unnest(arg_max({{'lag': lag, 'n': n, 'r': r}}, {{'a': round(abs(r), 12), 'b': -lag}})) FROM l GROUP BY item_a, item_b)"""
 
 
+_LU = f"""t AS (SELECT key, r, signal FROM (SELECT key, value AS signal, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) - 1 AS r FROM observations) WHERE r < 128),
+      z AS (SELECT key, max(ts) AS ts FROM observations GROUP BY key), w AS (SELECT a.key AS x, b.key AS y FROM z a JOIN z b ON a.key < b.key AND abs(a.ts - b.ts) <= 1800000),
+      s AS (SELECT a.key AS item_a, b.key AS item_b, lag, {_SUMS}
+        FROM w JOIN t a ON a.key = w.x CROSS JOIN range(-3, 4) g(lag) JOIN t b ON b.key = w.y AND b.r = a.r + lag GROUP BY ALL),
+      l AS (SELECT item_a, item_b, lag, n, coalesce({_P}, 0) AS r FROM s WHERE n >= 6),
+      b AS (SELECT item_a, item_b, unnest(arg_max({{'lag': lag, 'n': n, 'r': r}}, {{'a': round(abs(r), 12), 'b': -lag}})) FROM l GROUP BY item_a, item_b)"""
+
+
 def _clusters(threshold):
     return f"""e AS (SELECT item_a AS x, item_b AS y, r FROM b WHERE abs(r) >= {threshold}), u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
       c(x, y) AS (SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), m AS (SELECT x, min(y) AS root FROM c GROUP BY x),
@@ -83,6 +104,24 @@ ORACLES = {n: with_views(q) for n, q in {
         round(least(1, abs(r) * least(1, sqrt(n) / 10)), 6) AS strength, CASE WHEN lag > 0 THEN item_b ELSE item_a END AS leader_by_alignment FROM b WHERE abs(r) >= {LOW} AND lag <> 0""",
     "clusters": f"WITH RECURSIVE {_L}, {_clusters(0.12)} SELECT 'cluster_' || array_to_string(members, '|') AS cluster_id, array_to_string(members, ',') AS members, edges FROM k JOIN f USING (root)",
     "cluster_cohesion": f"WITH RECURSIVE {_L}, {_clusters(0.12)} SELECT 'cluster_' || array_to_string(members, '|') AS cluster_id, round(cohesion, 6) AS cohesion FROM k JOIN f USING (root)",
+    "correlation_events": f"""WITH {_L} SELECT item_a, item_b, CASE WHEN abs(r) >= 0.12 AND abs(r) < 0.2 THEN 'found' END AS event FROM b WHERE abs(r) >= 0.12 AND abs(r) < 0.2""",
+    "cluster_events": f"""WITH RECURSIVE {_L}, {_clusters(0.12)}, e2 AS (SELECT item_a AS x, item_b AS y FROM b WHERE abs(r) >= 0.2), u2 AS (SELECT x, y FROM e2 UNION SELECT y, x FROM e2),
+        c2(x, y) AS (SELECT x, x FROM u2 UNION SELECT c2.x, u2.y FROM c2 JOIN u2 ON c2.y = u2.x), m2 AS (SELECT x, min(y) AS root FROM c2 GROUP BY x),
+        k2 AS (SELECT root, list_sort(list(x)) AS members FROM m2 GROUP BY root), a AS (SELECT 'cluster_' || array_to_string(members, '|') AS id FROM k2), z AS (SELECT 'cluster_' || array_to_string(members, '|') AS id FROM k)
+        SELECT id AS cluster_id, 'formed' AS event FROM z WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, 'dissolved' FROM a WHERE id NOT IN (SELECT id FROM z)""",
+    "cluster_of_key": f"WITH RECURSIVE {_L}, {_clusters(0.12)} SELECT 'cluster_' || array_to_string(members, '|') AS cluster_id, edges FROM k JOIN f USING (root) WHERE list_contains(members, 'view')",
+    "corr_users": f"""WITH {_LU}, c1 AS (SELECT *, row_number() OVER (PARTITION BY item_a ORDER BY round(abs(r), 12) DESC, item_a, item_b) AS k FROM b WHERE abs(r) >= 0.3),
+        c2 AS (SELECT *, row_number() OVER (PARTITION BY item_b ORDER BY round(abs(r), 12) DESC, item_a, item_b) AS j FROM c1 WHERE k <= 3)
+        SELECT item_a, item_b, lag, n, round(r, 6) AS r, round(least(1, sqrt(n) / 10), 6) AS confidence FROM c2 WHERE j <= 3""",
+    "clusters_users": f"WITH RECURSIVE {_LU}, {_clusters(0.3)} SELECT 'cluster_' || array_to_string(members, '|') AS cluster_id, round(cohesion, 6) AS cohesion, edges FROM k JOIN f USING (root)",
+    "seasonal_patterns_users": f"""WITH t AS (SELECT key, ts, signal, row_number() OVER (PARTITION BY key ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY key) AS c FROM (
+          SELECT key, ts, seq, value AS signal, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS k FROM observations) WHERE k <= 128),
+        g AS (SELECT *, greatest(1, ts - lag(ts) OVER (PARTITION BY key ORDER BY i)) AS gap FROM t WHERE c >= 24), p AS (SELECT key, avg(gap) FILTER (i > 0) / 3600000 AS step, any_value(c) AS c FROM g GROUP BY key),
+        h AS (SELECT DISTINCT key, step, greatest(2, floor(h / greatest(0.1, step) + 0.5))::INT AS lag FROM p, (VALUES (24), (168), (720)) v(h) WHERE greatest(2, floor(h / greatest(0.1, step) + 0.5)) < c // 2),
+        s AS (SELECT h.key, h.lag, h.step, {_SUMS} FROM h JOIN t a ON a.key = h.key JOIN t b ON b.key = h.key AND b.i = a.i + h.lag GROUP BY ALL),
+        q AS (SELECT key, unnest(arg_max({{'lag': lag, 'step': step, 'r': r}}, {{'a': round(abs(r), 12), 'b': -lag}})) FROM (SELECT key, lag, step, coalesce({_P}, 0) AS r FROM s) GROUP BY key)
+        SELECT key, lag::BIGINT AS lag, round(r, 6) AS strength, round(lag * step, 6) AS period_hours, CASE WHEN abs(lag * step - 24) <= 6 THEN 'daily' WHEN abs(lag * step - 168) <= 24 THEN 'weekly'
+          WHEN abs(lag * step - 720) <= 120 THEN 'monthly' ELSE 'custom' END AS period FROM q WHERE abs(r) >= 0.1""",
     "cluster_mean_behavior": f"""WITH RECURSIVE {_LAST}, u AS (SELECT a.key AS x, b.key AS y FROM z a JOIN z b ON a.key <> b.key AND abs(a.ts - b.ts) <= 600000),
         c(x, y) AS (SELECT x, x FROM u UNION SELECT c.x, u.y FROM c JOIN u ON c.y = u.x), m AS (SELECT x, min(y) AS root FROM c GROUP BY x),
         o AS (SELECT key, ts, seq, greatest(1, ts - lag(ts) OVER w)::DOUBLE AS dt, row_number() OVER w AS i FROM observations WINDOW w AS (PARTITION BY key ORDER BY ts, seq)),
@@ -92,7 +131,7 @@ ORACLES = {n: with_views(q) for n, q in {
     "similar_keys": """WITH k AS (SELECT r_name || '|' || substr(n_name, 1, 1) || '|' || n_name AS key FROM nation JOIN region ON n_regionkey = r_regionkey),
         p AS (SELECT a.key AS of, b.key, list_sum([CASE WHEN split_part(a.key, '|', i) = split_part(b.key, '|', i) THEN 2
           WHEN list_contains(string_split(a.key, '|'), split_part(b.key, '|', i)) THEN 1 ELSE 0 END for i in [1, 2, 3]])::BIGINT AS score
-          FROM k a JOIN k b ON a.key <> b.key WHERE a.key LIKE 'E%' OR a.key LIKE 'ASIA%'),
+          FROM k a JOIN k b ON a.key <> b.key),
         r AS (SELECT *, row_number() OVER (PARTITION BY of ORDER BY score DESC, key) AS rank FROM p WHERE score > 0) SELECT of, key, score, rank FROM r WHERE rank <= 5""",
     "seasonal_patterns": f"""WITH {_DAY}, g AS (SELECT *, greatest(1, ts - lag(ts) OVER (ORDER BY i)) AS gap FROM t), p AS (SELECT avg(gap) FILTER (i > 0) / 3600000 AS step, count(*) AS c FROM g),
         h AS (SELECT DISTINCT step, greatest(2, floor(h / greatest(0.1, step) + 0.5))::INT AS lag FROM p, (VALUES (24), (168), (720)) v(h) WHERE greatest(2, floor(h / greatest(0.1, step) + 0.5)) < c // 2),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -21,8 +20,8 @@ def _folder(s, name):
     if base is None:
         if not s.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tideline-")
-    return os.path.join(base.removeprefix("file://").removeprefix("file:"), f"{name}-{uuid.uuid4()}")
+        base = "file://" + tempfile.mkdtemp(prefix="tideline-")
+    return f"{base}/{name}-{uuid.uuid4()}"
 
 
 def _archived(s, d):
@@ -56,8 +55,8 @@ QUERIES = {
     "archive_query_pruned": lambda s, d: archive.query(s, _archived(s, d), 17).select("ts", "item_id", "price", "quantity"),
     "archive_verify": lambda s, d: archive.verify_all(s, _archived(s, d)).agg(F.bool_and("valid").alias("valid")),
     "snapshot_query_item": lambda s, d: market.snapshot_query(snapshots(s, d), 17),
-    "item_history": lambda s, d: market.history(snapshots(s, d), [5, 17, 23], 800_000_000, 1_400_000_000).select("item_id", "ts", "price", _r("change").alias("change")),
-    "item_history_limited": lambda s, d: market.history(snapshots(s, d), [5, 17, 23], limit=3).select("item_id", "ts", "price"),
+    "item_history": lambda s, d: market.history(snapshots(s, d)).select("item_id", "ts", "price", _r("change").alias("change")),
+    "item_history_limited": lambda s, d: market.history(snapshots(s, d), limit=3).select("item_id", "ts", "price"),
     "item_stats": lambda s, d: market.stats(snapshots(s, d)).select("item_id", "n", "low", "high", F.round("mean", 8).alias("mean"), _r("volatility").alias("volatility"), _r("trend").alias("trend")),
     "market_movers": lambda s, d: market.movers(snapshots(s, d)).select("side", "item_id", _r("trend").alias("trend")),
     "market_sentiment": lambda s, d: market.sentiment(snapshots(s, d)),
@@ -80,9 +79,8 @@ ORACLES = {n: with_views(q) for n, q in {
     "archive_query_pruned": "SELECT ts, item_id, price, quantity FROM snapshots WHERE ts IN (SELECT ts FROM snapshots WHERE item_id = 17)",
     "archive_verify": "SELECT true AS valid",
     "snapshot_query_item": "SELECT ts, item_id, price, quantity FROM snapshots WHERE ts IN (SELECT ts FROM snapshots WHERE item_id = 17)",
-    "item_history": """SELECT item_id, ts, price, round(price - lag(price) OVER (PARTITION BY item_id ORDER BY ts), 6) AS change FROM snapshots
-        WHERE item_id IN (5, 17, 23) AND ts BETWEEN 800000000 AND 1400000000""",
-    "item_history_limited": "SELECT item_id, ts, price FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC) AS k FROM snapshots WHERE item_id IN (5, 17, 23)) WHERE k <= 3",
+    "item_history": """SELECT item_id, ts, price, round(price - lag(price) OVER (PARTITION BY item_id ORDER BY ts), 6) AS change FROM snapshots""",
+    "item_history_limited": "SELECT item_id, ts, price FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC) AS k FROM snapshots) WHERE k <= 3",
     "item_stats": f"WITH {_ST} SELECT item_id, n, low, high, round(mean, 8) AS mean, round(volatility, 6) AS volatility, round(trend, 6) AS trend FROM g",
     "market_movers": f"""WITH {_ST}, u AS (SELECT 'gainer' AS side, item_id, trend FROM g WHERE n > 1 ORDER BY round(trend, 9) DESC, item_id LIMIT 10),
         l AS (SELECT 'loser' AS side, item_id, trend FROM g WHERE n > 1 ORDER BY round(trend, 9), item_id LIMIT 10) SELECT side, item_id, round(trend, 6) AS trend FROM (SELECT * FROM u UNION ALL SELECT * FROM l)""",

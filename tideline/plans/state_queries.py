@@ -58,11 +58,22 @@ QUERIES = {
     "wal_replay_from_checkpoint": lambda s, d: _flat(st.replay(mutations(s, d), 2000)),
     "compaction_result": lambda s, d: st.compact(_segments(s, d)).select("key", "ts", "lsn", "op", "versions", "segments"),
     "rotation_plan": _rotation,
-    "flush_points": lambda s, d: st.flush_points(mutations(s, d).withColumn("log", F.substring_index("key", "|", 2)), 2000, 20, "log"),
-    "degraded_buffer_resolution": lambda s, d: st.resolve_buffer(mutations(s, d).filter("lsn % 5 = 0"), mutations(s, d).filter("lsn % 5 = 1")),
-    "degraded_buffer_whole_log": lambda s, d: st.resolve_buffer(mutations(s, d).filter("lsn % 2 = 0"), mutations(s, d).filter("lsn % 2 <> 0")),
+    "flush_points": lambda s, d: st.flush_points(mutations(s, d).withColumn("log", F.substring_index("key", "|", 2)), 400, 3),
+    "degraded_buffer_resolution": lambda s, d: st.resolve_buffer(mutations(s, d).filter("lsn % 2 = 0"), mutations(s, d).filter("lsn % 2 <> 0")),
 }
 _C = f"WITH {_LATEST} "
+#: The buffer as a list of (key, size), a write of every log a step.
+_FLUSH = """j AS (SELECT {log} AS log, lsn, op, key, strlen(key) + 32 + strlen('{{"value":' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END
+          || ',"k":' || k::BIGINT || ',"event_type":"' || event_type || '"}}') AS size FROM mutations),
+      n AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY lsn) AS i FROM j),
+      f AS (SELECT DISTINCT log, 0::BIGINT AS i, NULL::BIGINT AS lsn, 0::BIGINT AS flush, NULL::VARCHAR AS reason, 0::BIGINT AS bytes, 0::BIGINT AS records, []::STRUCT(key VARCHAR, size BIGINT)[] AS held FROM n
+        UNION ALL
+        SELECT log, i, lsn, flush + (reason IS NOT NULL)::INT, reason, bytes, records, CASE WHEN reason IS NULL THEN held ELSE [] END FROM (
+          SELECT *, CASE WHEN op <> 'PUT' THEN NULL WHEN bytes > {bytes} THEN 'size' WHEN records > {dirty} THEN 'dirty' END AS reason FROM (
+            SELECT *, coalesce(list_sum(list_transform(held, lambda x: x.size)), 0)::BIGINT AS bytes, len(held) AS records FROM (
+              SELECT n.log, n.i, n.lsn, n.op, f.flush, list_concat(list_filter(f.held, lambda x: x.key <> n.key), CASE WHEN n.op = 'PUT' THEN [{{'key': n.key, 'size': n.size::BIGINT}}] ELSE [] END) AS held
+              FROM f JOIN n ON f.log = n.log AND n.i = f.i + 1))))
+      SELECT log, flush, lsn, reason, bytes, records FROM f WHERE reason IS NOT NULL"""
 ORACLES = {n: with_views(q) for n, q in {
     "state_scan_summary": _C + """SELECT split_part(key, '|', 1) || '|' || split_part(key, '|', 2) AS prefix, count(*) AS n, min(ts) AS oldest, max(ts) AS newest,
         arg_max(key, {'a': ts, 'b': key COLLATE "en"}) AS latest_key, count(*) FILTER (tier = 'hot') AS hot, count(*) FILTER (tier = 'warm') AS warm,
@@ -89,8 +100,7 @@ ORACLES = {n: with_views(q) for n, q in {
         FROM s GROUP BY key""",
     "rotation_plan": f"""WITH {_SEG}, g AS (SELECT segment, max(ts) AS newest, count(*) AS n FROM s GROUP BY 1), h AS (SELECT *, max(newest) OVER () - newest AS age FROM g)
         SELECT segment, newest, n, CASE WHEN age > {12 * DAY_MS} THEN 'expire' WHEN age > {5 * DAY_MS} THEN 'to_cold' ELSE 'keep' END AS action FROM h""",
+    "flush_points": f"WITH RECURSIVE {_FLUSH.format(log="split_part(key, '|', 1) || '|' || split_part(key, '|', 2)", bytes=400, dirty=3)}",
     "degraded_buffer_resolution": """SELECT b.key, b.lsn, b.ts, CASE WHEN k.key IS NULL THEN 'applied' ELSE 'discarded' END AS outcome
-        FROM mutations b LEFT JOIN (SELECT DISTINCT key FROM mutations WHERE lsn % 5 = 1) k ON b.key = k.key WHERE b.lsn % 5 = 0""",
-    "degraded_buffer_whole_log": """SELECT b.key, b.lsn, b.ts, CASE WHEN k.key IS NULL THEN 'applied' ELSE 'discarded' END AS outcome
         FROM mutations b LEFT JOIN (SELECT DISTINCT key FROM mutations WHERE lsn % 2 <> 0) k ON b.key = k.key WHERE b.lsn % 2 = 0""",
 }.items()}

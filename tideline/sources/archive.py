@@ -1,10 +1,11 @@
 """A compressed, integrity-checked columnar archive of snapshots, as a Spark data source.
 
 ``spark.read.format("snapshot_archive").load(path)`` gives (snapshot_seq, ts, item_id, price,
-quantity); path is a file or a folder of parts with a manifest. Each segment is an input
-partition. An equality filter on item_id is pushed down: a segment whose index (Bloom filter,
-then the sorted ids) lacks the item isn't decoded. ``df.write.format(...)`` writes a part per
-task, and the commit links the parts in a manifest.
+quantity); path is a file or a folder of parts with a manifest, which lists each part's
+segments, so the driver plans from the manifest alone. Segments are read by ranges in tasks. An
+equality filter on item_id is pushed down: a task reads a segment's index (Bloom filter, then
+the sorted ids) and, if it lacks the item, nothing more. ``df.write.format(...)`` writes a part
+per task from Arrow batches, and the commit links the parts in a manifest by a chain of hashes.
 
 File: header (14 bytes), segments, end mark with the chain's hash. Segment: header, one section
 per column (time, snapshot length, item id, price, quantity), index, footer. A section's blocks
@@ -16,23 +17,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 
 from tideline.sources import codecs as co
+from tideline.sources import files
 from tideline.sources.codecs import ArchiveError
 
-MAGIC, SEGMENT_MAGIC, VERSION = bytes((0x47, 0x49, 0x43, 0x53)), bytes((0x53, 0x47)), 3
+MAGIC, SEGMENT_MAGIC, VERSION = b"TIDE", b"sg", 1
 TIME, VALUE, ITEM, QUANTITY, LENGTH = 10, 20, 40, 50, 60
 EOS, FLAG_TIME, ITEM_MAJOR, ABSOLUTE = 0xFF, 1, 1, 32
 HEADER, SEGMENT_HEADER, FOOTER, END = 14, 14, 36, 37
@@ -174,16 +176,17 @@ def encode(rows: pa.Table, preset: str = "balanced", segment_bytes: int = 1 << 2
     starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]])) if len(seq) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(seq)))
     ts, items, prices, quantities = (np.asarray(rows.column(c)) for c in ("ts", "item_id", "price", "quantity"))
-    out, chain, low, size, segments = [MAGIC + bytes([VERSION]) + struct.pack("<IB", FLAG_TIME, 5) + bytes(4)], seed, 0, 0, 0
+    out, chain, low, size, index = [MAGIC + bytes([VERSION]) + struct.pack("<IB", FLAG_TIME, 5) + bytes(4)], seed, 0, 0, []
     for k in range(len(starts)):
         size += 12 + 12 * int(lengths[k])
         if size >= segment_bytes or k == len(starts) - 1:
             a, b = starts[low], starts[k] + lengths[k]
             data, chain = encode_segment(ts[starts[low:k + 1]], lengths[low:k + 1].tolist(), items[a:b], prices[a:b], quantities[a:b], chain, preset)
+            index.append([index[-1][0] + index[-1][1] if index else HEADER, len(data), k + 1 - low])
             out.append(data)
-            low, size, segments = k + 1, 0, segments + 1
+            low, size = k + 1, 0
     out.append(bytes([EOS]) + chain + struct.pack("<I", zlib.crc32(chain)))
-    facts = {"snapshots": len(starts), "items": len(seq), "segments": segments, "first_ts": int(ts.min()) if len(ts) else None,
+    facts = {"snapshots": len(starts), "items": len(seq), "segments": len(index), "index": index, "first_ts": int(ts.min()) if len(ts) else None,
              "last_ts": int(ts.max()) if len(ts) else None, "start_hash": seed.hex(), "end_hash": chain.hex()}
     return b"".join(out), facts
 
@@ -299,20 +302,25 @@ def verify(data: bytes, seed: bytes = bytes(32)) -> bool:
         return False
 
 
+def manifest(path: str) -> list[dict]:
+    return json.loads(files.read(f"{path}/{MANIFEST}"))["parts"]
+
+
 def parts_of(path: str) -> list[dict]:
     """The parts of a folder by its manifest, or the one file."""
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        with open(os.path.join(path, MANIFEST)) as file:
-            parts = json.load(file)["parts"]
-        return [{**p, "path": os.path.join(path, p["name"])} for p in parts]
+    if files.kind(path) == "folder":
+        return [{**p, "path": f"{path}/{p['name']}"} for p in manifest(path)]
     return [{"path": path, "first_seq": 0, "start_hash": bytes(32).hex()}]
 
 
-def _bytes(path: str, start: int = 0, size: int = -1) -> bytes:
-    with open(path, "rb") as file:
-        file.seek(start)
-        return file.read(size)
+def linked(parts: list[dict]) -> bool:
+    """Whether each part of a manifest continues the hash chain of those before it, and their numbers."""
+    before, seq = bytes(32).hex(), 0
+    for p in parts:
+        if p["first_seq"] != seq or p["link"] != hashlib.sha256(bytes.fromhex(before) + bytes.fromhex(p["sha256"])).hexdigest():
+            return False
+        before, seq = p["link"], seq + p["snapshots"]
+    return True
 
 
 class _Part(InputPartition):
@@ -334,21 +342,43 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         found = []
         for part in parts_of(self.path):
-            data, first = _bytes(part["path"]), part["first_seq"]
-            for at, size in offsets(data):
-                own = segment(data, at)
-                count = sum(m[1] for s in own.sections if s.stream == LENGTH for m in s.manifest)
-                if self.item is None or own.may_have(self.item):
-                    found.append(_Part(part["path"], at, size, first, self.item))
+            first = part["first_seq"]
+            for at, size, count in part.get("index", [(0, 0, 0)]):  # a file without a manifest is one task
+                found.append(_Part(part["path"], at, size, first, self.item))
                 first += count
         return found or [_Part("", 0, 0, 0, None)]
 
     def read(self, partition):
         if not partition.path:
             return
-        of, ts, item, price, quantity = segment(_bytes(partition.path, partition.at, partition.size), 0).rows()
-        yield pa.RecordBatch.from_arrays([pa.array(of + partition.first), pa.array(ts), pa.array(item), pa.array(price), pa.array(quantity)],
-                                         [c.split()[0] for c in SCHEMA.split(", ")])
+        if partition.size:
+            found = [segment_of(partition.path, partition.at, partition.size, partition.item)]
+        else:
+            data = files.read(partition.path)
+            found = [segment(data, at) for at, _ in offsets(data)]
+        first = partition.first
+        for own in found:
+            if own is None:
+                continue
+            count = sum(m[1] for s in own.sections if s.stream == LENGTH for m in s.manifest)
+            if partition.item is None or own.may_have(partition.item):
+                of, ts, item, price, quantity = own.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(of + first), pa.array(ts), pa.array(item), pa.array(price), pa.array(quantity)],
+                                                 [c.split()[0] for c in SCHEMA.split(", ")])
+            first += count
+
+
+def segment_of(path: str, at: int, size: int, item: int | None) -> Segment | None:
+    """A segment by ranged reads; none if its index says that it lacks the item."""
+    if item is not None:
+        head = files.read(path, at, SEGMENT_HEADER)
+        if head[:2] != SEGMENT_MAGIC:
+            raise ArchiveError("no segment where one should start")
+        index = struct.unpack("<I", head[2:6])[0]
+        own = Segment(0, 0, 0, 0, [], files.read(path, at + index, size - FOOTER - index), b"")
+        if not own.may_have(item):
+            return None
+    return segment(files.read(path, at, size), 0)
 
 
 @dataclass
@@ -356,49 +386,50 @@ class _Written(WriterCommitMessage):
     part: dict
 
 
-class ArchiveWriter(DataSourceWriter):
-    """A part file per task; the manifest is written to a temporary name and renamed."""
+class ArchiveWriter(DataSourceArrowWriter):
+    """A part file per task; the manifest is written to a hidden name and moved into place."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.preset = options.get("preset", "balanced")
         self.segment_bytes = int(options.get("segment_bytes", 1 << 20))
-        os.makedirs(self.path, exist_ok=True)
+        files.make(self.path)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        rows = sorted((tuple(r) for r in iterator), key=lambda r: (r[0], r[2]))
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        table = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, (pa.int64(),) * 3 + (pa.float64(),) * 2))})
+        kinds = pa.schema(list(zip(names, (pa.int64(),) * 3 + (pa.float64(),) * 2)))
+        batches = [pa.RecordBatch.from_arrays([b.column(n) for n in names], schema=kinds) for b in iterator]
+        table = pa.Table.from_batches(batches, kinds)
+        seq, item = (np.asarray(table.column(c)) for c in ("snapshot_seq", "item_id"))
+        if len(seq) and not ((seq[1:] > seq[:-1]) | ((seq[1:] == seq[:-1]) & (item[1:] >= item[:-1]))).all():
+            table = table.sort_by([("snapshot_seq", "ascending"), ("item_id", "ascending")])
         data, facts = encode(table, self.preset, self.segment_bytes)
         context = TaskContext.get()
         name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.arc"
-        if rows:
-            with open(os.path.join(self.path, name), "wb") as file:
-                file.write(data)
-        return _Written({"name": name, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "min_seq": rows[0][0] if rows else 0, **facts})
+        if len(table):
+            files.write(f"{self.path}/{name}", data)
+        first = pc.min(table.column("snapshot_seq")).as_py() if len(table) else 0
+        return _Written({"name": name, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "min_seq": first, **facts})
 
     def commit(self, messages):
         new = sorted((m.part for m in messages if m is not None and m.part["snapshots"]), key=lambda p: p["min_seq"])
-        old = []
-        if not self.overwrite and os.path.exists(os.path.join(self.path, MANIFEST)):
-            with open(os.path.join(self.path, MANIFEST)) as file:
-                old = json.load(file)["parts"]
+        old = manifest(self.path) if files.kind(f"{self.path}/{MANIFEST}") == "file" else []
         parts, seq = [], 0
-        for p in [*old, *new]:
+        for p in [*([] if self.overwrite else old), *new]:
             before = parts[-1]["link"] if parts else bytes(32).hex()
             parts.append({**p, "first_seq": seq, "link": hashlib.sha256(bytes.fromhex(before) + bytes.fromhex(p["sha256"])).hexdigest()})
             seq += p["snapshots"]
-        temporary = os.path.join(self.path, f".{MANIFEST}")
-        with open(temporary, "w") as file:
-            json.dump({"version": 1, "parts": parts}, file)
-        os.replace(temporary, os.path.join(self.path, MANIFEST))
+        files.replace(f"{self.path}/{MANIFEST}", json.dumps({"version": 1, "parts": parts}).encode())
+        if self.overwrite:  # no manifest names these any longer
+            for p in old:
+                files.remove(f"{self.path}/{p['name']}")
 
     def abort(self, messages):
         for m in messages:
-            if m is not None and os.path.exists(path := os.path.join(self.path, m.part["name"])):
-                os.remove(path)
+            if m is not None:
+                files.remove(f"{self.path}/{m.part['name']}")
 
 
 class SnapshotArchive(DataSource):
@@ -421,11 +452,28 @@ def register(spark) -> None:
     spark.dataSource.register(SnapshotArchive)
 
 
-def write(snapshots: DataFrame, path: str, preset: str = "balanced", mode: str = "overwrite", parts: int = 4, **options) -> None:
-    """snapshots (ts, item_id, price, quantity): numbered by ts, ranged into parts, written."""
+#: Item rows of a part, about.
+PART_ROWS = 2_000_000
+DAY_S = 86_400
+
+
+def numbered(snapshots: DataFrame) -> DataFrame:
+    """(ts, snapshot_seq): the distinct times, numbered in order from 0. Times are counted by day, and only
+    the days are ordered as a whole; a day's times are numbered by themselves."""
+    day = F.floor(F.col("ts") / DAY_S).cast("bigint")
+    times = snapshots.select("ts").distinct().withColumn("_day", day)
+    before = F.coalesce(F.sum("n").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = times.groupBy("_day").agg(F.count("*").alias("n")).select("_day", before.alias("before"))
+    place = F.row_number().over(W.partitionBy("_day").orderBy("ts"))
+    return times.join(days, "_day").select("ts", (F.col("before") + place - 1).cast("bigint").alias("snapshot_seq"))
+
+
+def write(snapshots: DataFrame, path: str, preset: str = "balanced", mode: str = "overwrite", parts: int | None = None, **options) -> None:
+    """snapshots (ts, item_id, price, quantity): numbered by ts, ranged into parts of about PART_ROWS
+    rows (or so many parts), written."""
     register(snapshots.sparkSession)
-    seq = snapshots.select("ts").distinct().select("ts", (F.row_number().over(W.orderBy("ts")) - 1).cast("bigint").alias("snapshot_seq"))
-    rows = snapshots.join(seq, "ts").select("snapshot_seq", "ts", F.col("item_id").cast("bigint").alias("item_id"), F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
+    rows = snapshots.join(numbered(snapshots), "ts").select("snapshot_seq", "ts", F.col("item_id").cast("bigint").alias("item_id"), F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"))
+    parts = parts or -(-snapshots.count() // PART_ROWS) or 1
     rows.repartitionByRange(parts, "snapshot_seq").sortWithinPartitions("snapshot_seq", "item_id").write.format("snapshot_archive").mode(mode).options(preset=preset, **options).save(path)
 
 
@@ -443,13 +491,18 @@ def query(spark, path: str, item: int) -> DataFrame:
 
 
 def verify_all(spark, path: str) -> DataFrame:
-    """(path, valid) of each part, verified in parallel, and whether its hash is the manifest's."""
-    parts = spark.createDataFrame([(p["path"], p.get("sha256", "")) for p in parts_of(path)], "path string, sha256 string")
+    """(path, valid) of each part: verified in parallel, with its hash that of the manifest. A part that
+    isn't there is invalid, and so are all if the manifest's own chain is broken."""
+    found = parts_of(path)
+    chained = "link" not in found[0] or linked(found) if found else True
+    parts = spark.createDataFrame([(p["path"], p.get("sha256", "")) for p in found], "path string, sha256 string")
 
     def check(batches):
         for batch in batches:
-            paths, wants = batch.column("path").to_pylist(), batch.column("sha256").to_pylist()
-            data = [_bytes(p) for p in paths]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([verify(d) and (not w or hashlib.sha256(d).hexdigest() == w) for d, w in zip(data, wants)])], ["path", "valid"])
+            valid = []
+            for p, want in zip(batch.column("path").to_pylist(), batch.column("sha256").to_pylist()):
+                data = files.read(p) if files.kind(p) == "file" else b""
+                valid.append(chained and verify(data) and (not want or hashlib.sha256(data).hexdigest() == want))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(valid, pa.bool_())], ["path", "valid"])
 
-    return parts.mapInArrow(check, "path string, valid boolean")
+    return parts.repartition(max(1, min(len(found), 10_000))).mapInArrow(check, "path string, valid boolean")
