@@ -1,12 +1,16 @@
 """The archive: codecs round trip, files verify, and damage fails closed."""
 
+import json
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tideline.sources import archive, codecs
+from tideline.sources import archive, codecs, records
 from tideline.sources.views import snapshots
 
 INTS = st.lists(st.integers(-(1 << 50), 1 << 50), max_size=60)
@@ -101,6 +105,70 @@ def test_source_and_sink(spark, sf, tmp_path):
         archive.read(spark, path).count()
 
 
+def test_a_part_that_is_cut_out_or_missing_is_noticed(spark, tmp_path):
+    rows = spark.createDataFrame([(t, i, float(t * i), 1.0) for t in range(90) for i in range(5)], "ts long, item_id long, price double, quantity double")
+    path = str(tmp_path / "a")
+    archive.write(rows, path, parts=3)
+    whole = archive.files.read(f"{path}/{archive.MANIFEST}")
+    parts = json.loads(whole)["parts"]
+    archive.files.replace(f"{path}/{archive.MANIFEST}", json.dumps({"version": 1, "parts": [parts[0], parts[2]]}).encode())
+    assert not any(r["valid"] for r in archive.verify_all(spark, path).collect())
+    archive.files.replace(f"{path}/{archive.MANIFEST}", whole)
+    assert all(r["valid"] for r in archive.verify_all(spark, path).collect())
+    archive.files.remove(f"{path}/{parts[1]['name']}")
+    assert [r["valid"] for r in archive.verify_all(spark, path).collect()].count(False) == 1
+    single = archive.read(spark, f"{path}/{parts[0]['name']}")
+    assert single.count() == parts[0]["items"] and single.agg({"snapshot_seq": "max"}).first()[0] == parts[0]["snapshots"] - 1
+
+
+@given(st.lists(st.integers(-400, 400), max_size=900))
+@settings(max_examples=40, deadline=None)
+def test_ring_codec(values):
+    a, b, cut = codecs.Ring(), codecs.Ring(), len(values) // 2
+    for part in (values[:cut], values[cut:]):  # the ring goes on over blocks
+        assert codecs.unring(codecs.ring(np.array(part, np.int64), a), b).tolist() == part
+    assert len(a.held) <= codecs.RING
+
+
+def test_records_of_any_schema(spark, tmp_path):
+    """Composite keys, absent fields, specials, nulls; whole-number keys; an empty table."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(t, k, None if (t + i) % 4 == 0 else float(t * i), [0.1, -0.0, inf, nan, 5e-324, 1e308][(t + i) % 6], None if i == 2 else f"o/{i} |") for t in range(40) for i, k in enumerate(["a|b/c", "ü x", "", "z"])] + [(7, None, 1.0, 2.0, "n")]
+    table = spark.createDataFrame(rows, "ts long, item_key string, x double, y double, kind string")
+    path, fields = str(tmp_path / "r"), {"x": "numeric", "y": "numeric", "kind": "categorical"}
+    for password in (None, "secret"):
+        records.write(table, path, fields, segment_rows=30, parts=2, password=password)
+        assert Counter(map(str, records.read(spark, path, password).collect())) == Counter(str(r) for r in table.collect())
+        assert all(r["valid"] for r in records.verify(spark, path, password).collect())
+        assert records.query(spark, path, "ü x", password).count() == len(rows) and records.query(spark, path, "none", password).count() == 0
+        assert spark.read.parquet(path + "/segments").filter(records.may_have("ü x")).count() > spark.read.parquet(path + "/segments").filter(records.may_have("none")).count()
+    with pytest.raises(codecs.ArchiveError):
+        records.read(spark, path)
+    with pytest.raises(codecs.ArchiveError):
+        records.read(spark, path, "wrong")
+    numbered = table.selectExpr("ts", "length(kind) AS item_id", "x")
+    records.write(numbered, path, {"x": "numeric"}, key="item_id")
+    assert Counter(map(str, records.read(spark, path).collect())) == Counter(str(r) for r in numbered.selectExpr("ts", "CAST(item_id AS bigint) AS item_id", "x").collect())
+    assert records.query(spark, path, 5).count() > 0 and records.schema(path)["keyed"] == "bigint"
+    records.write(table.filter("false"), path, fields)
+    assert records.read(spark, path).count() == 0 and records.verify(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("password", [None, "secret"])
+def test_changed_cut_and_moved_segments_are_noticed(spark, tmp_path, password):
+    table = spark.createDataFrame([(t, f"k{i}", float(t)) for t in range(60) for i in range(3)], "ts long, item_key string, x double")
+    path, other = str(tmp_path / "r"), str(tmp_path / "other")
+    records.write(table, path, {"x": "numeric"}, segment_rows=20, parts=1, password=password)
+    whole = spark.read.schema(records.SEGMENT).parquet(path + "/segments")
+    bent = F.concat(F.expr("substring(payload, 1, 40)"), F.unhex(F.lit("00ff")), F.expr("substring(payload, 43, length(payload))"))
+    swap = F.when(F.col("ordinal") == 1, 2).when(F.col("ordinal") == 2, 1).otherwise(F.col("ordinal")).cast("int")
+    for hurt in (whole.withColumn("payload", F.when(F.col("ordinal") == 2, bent).otherwise(F.col("payload"))), whole.filter("ordinal <> 3"), whole.filter("ordinal <> 0"), whole.filter("ordinal < 5"),
+                 whole.withColumn("ordinal", swap), whole.filter("false")):
+        hurt.write.mode("overwrite").parquet(other + "/segments")
+        archive.files.write(f"{other}/{records.MANIFEST}", archive.files.read(f"{path}/{records.MANIFEST}"))
+        assert not any(r["valid"] for r in records.verify(spark, other, password).collect())
+
+
 def test_command_line(spark, tmp_path, capsys):
     from tideline import cli
 

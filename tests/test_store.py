@@ -20,9 +20,15 @@ def test_store(spark, tmp_path):
     s.delete("b", 12)
     assert s.get("a") == {"x": 1.0, "name": "n"} and s.get("b") is None
     assert [r["key"] for r in s.scan().collect()] == ["a", "c"] and s.latest_by_prefix("").first()["key"] == "c"
-    assert s.compact() == 2 and s.get("a") == {"x": 1.0, "name": "n"} and s.get("b") is None and s.scan_summary().first()["n"] == 2
+    assert s.compact() == 1 and s.get("a") == {"x": 1.0, "name": "n"} and s.get("b") is None and s.scan_summary().first()["n"] == 2
+    assert s.put_many([("b", {"x": 2}), ("c", {"x": 3})], 20, "k") == "deduplicated" and s.get("b") is None
+    with pytest.raises(Conflict):
+        s.put_many([("b", {"x": 9})], 21, "k")
+    assert s.compact() == 0 and s.put_many([("b", {"x": 2}), ("c", {"x": 3})], 22, "k") == "deduplicated" and len(s.parts()) == 1
     assert s.insights("x").count() == 3 and s.anomalies("x").count() == 0
     assert ledger.verify(s.audit()).first()["valid"]
+    s.put("d", {"x": 1}, 30)
+    assert s.log().agg({"lsn": "max"}).first()[0] == 6 and s.get("d") == {"x": 1.0}
 
 
 ENTRIES = [(1, 10, 1, "a", {"x": 1.5, "s": "ü"}), (2, 11, 2, "b", None), (3, 12, 3, "", {"entries": [{"op": 1, "key": "b", "payload": {"x": 2}}, {"op": 2, "key": "a"}]}), (4, 13, 1, "c", {"x": 3})]
@@ -54,3 +60,37 @@ def test_policies(spark):
     got = [(r["state"], r["backoff_ms"]) for r in policy.supervise(health).orderBy("seq").collect()]
     assert got[:6] == [("restarting", 1000), ("restarting", 2000), ("restarting", 4000), ("restarting", 8000), ("restarting", 16000), ("degraded", 0)]
     assert got[9] == ("running", 0) and got[10] == ("restarting", 1000)
+
+
+def test_session_limits_of_segments_and_age(spark):
+    rows = [("s", i, 1, 1, 1.0, 1.0, i * 10) for i in range(12)]
+    flushes = spark.createDataFrame(rows, "log string, seq long, bytes long, snapshots long, latency_us double, ratio double, ts long")
+    assert [(r["seq"], r["reason"]) for r in policy.rotations(flushes, 10**9, 10**9, max_segments=5).orderBy("seq").collect()] == [(4, "segments"), (9, "segments")]
+    assert [(r["seq"], r["reason"]) for r in policy.rotations(flushes, 10**9, 10**9, max_ms=40).orderBy("seq").collect()] == [(4, "duration"), (9, "duration")]
+
+
+def test_backpressure_has_two_marks(spark):
+    begins = [True] * 6 + [False] * 2 + [True] + [False] * 2 + [True]
+    rows = spark.createDataFrame([("s", i, b) for i, b in enumerate(begins)], "log string, seq long, begins boolean")
+    got = [(r["pending"], r["admitted"]) for r in policy.backpressure(rows, 4, 1).orderBy("seq").collect()]
+    assert got == [(1, True), (2, True), (3, True), (4, True), (4, False), (4, False), (3, None), (2, None), (2, False), (1, None), (0, None), (1, True)]
+
+
+def test_flushes_of_a_buffer_one_by_one(spark):
+    """Rewrites count once with their new size, deletes take records out, a flush empties the buffer."""
+    import random
+
+    r, rows, held, want = random.Random(2), [], {}, []
+    for lsn in range(1, 400):
+        key, op, value = f"k{r.randrange(30)}", "DELETE" if r.random() < 0.2 else "PUT", float(r.choice([1, 2.5, 1000, 0.125]))
+        rows.append(("all", lsn, lsn, op, key, {"v": value}, {"s": "ü" * r.randrange(4)}, "hot"))
+        held.pop(key, None)
+        if op == "PUT":
+            text = '{"v":' + (str(int(value)) if value == int(value) else str(value)) + ',"s":"' + rows[-1][6]["s"] + '"}'
+            held[key] = len(key) + len(text.encode()) + 32
+            if sum(held.values()) > 700 or len(held) > 12:
+                want.append((lsn, "size" if sum(held.values()) > 700 else "dirty", sum(held.values()), len(held)))
+                held = {}
+    log = spark.createDataFrame(rows, "log string, lsn long, ts long, op string, key string, num map<string,double>, str map<string,string>, tier string")
+    assert [(x["lsn"], x["reason"], x["bytes"], x["records"]) for x in st.flush_points(log, 700, 12).orderBy("flush").collect()] == want and {w[1] for w in want} == {"size", "dirty"}
+    assert st.flush_points(log.filter("false")).count() == 0

@@ -187,3 +187,13 @@ def anomaly_segments(decided: DataFrame) -> DataFrame:
 
 def worst(blocks: DataFrame, most: int = 10) -> DataFrame:
     return blocks.orderBy("ratio", "stream", "block").limit(most)
+
+
+def telemetry(decided: DataFrame, *by: str) -> DataFrame:
+    """An encoder's roll-up of routed blocks (route, in_bytes, out_bytes): blocks and bytes by route, the
+    ratio of the core's bytes and the share of quarantined blocks."""
+    core, away = F.col("route") == "CORE", F.col("route") != "CORE"
+    sums = {f"{n}_{side}_bytes": F.coalesce(F.sum(F.when(is_, F.col(f"{side}_bytes"))), F.lit(0)) for n, is_ in (("core", core), ("quarantine", away)) for side in ("in", "out")}
+    made = decided.groupBy(*by).agg(F.count("*").alias("blocks"), F.count_if(away).alias("quarantine_blocks"), *[c.alias(n) for n, c in sums.items()])
+    return (made.withColumn("core_ratio", F.when(F.col("core_out_bytes") > 0, F.col("core_in_bytes") / F.col("core_out_bytes")).otherwise(0.0))
+            .withColumn("quarantine_rate", F.when(F.col("blocks") > 0, F.col("quarantine_blocks") / F.col("blocks")).otherwise(0.0)))

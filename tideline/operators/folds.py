@@ -242,3 +242,17 @@ def label_changes(traced: DataFrame) -> DataFrame:
     """Rows at which a key's label changed, with the label before (null at the first write)."""
     before = F.lag("label").over(W.partitionBy("key").orderBy("ts", "seq"))
     return traced.filter("changed").withColumn("label_before", before).select("key", "ts", "seq", "label_before", "label")
+
+
+def chosen(found: DataFrame, type: str | None = None, target: str | None = None) -> DataFrame:
+    """Recommendations of a type and for a key (any, if not given), the surest first."""
+    rows = found if type is None else found.filter(F.col("type") == type)
+    rows = rows if target is None else rows.filter(F.col("key") == target)
+    return rows.orderBy(F.desc("confidence"), "key", "type")
+
+
+def insight_outcomes(insights_: DataFrame, results: DataFrame) -> DataFrame:
+    """Outcomes (insight_id, seq, result) with their insight (insight_id, key, type, confidence); one whose
+    insight isn't known is an error row."""
+    made = results.join(insights_, "insight_id", "left")
+    return made.select("insight_id", "seq", "key", "type", "confidence", "result", F.when(F.col("type").isNull(), "unknown insight").alias("error"))

@@ -21,6 +21,28 @@ def feedback(result: F.Column) -> F.Column:
     return F.when(result.isin(*SUCCESS), 1.0).when(result.isin(*HALF), 0.35).when(result.isin(*FAILURE), 0.0).otherwise(0.1)
 
 
+POLICIES = ("balanced", "read_heavy", "write_heavy")
+
+
+def default_candidates(spark, domains: list[str]) -> DataFrame:
+    """(domain, candidate_id): what a domain ranks if a request names none: presets of compression, policies of storage."""
+    own = {"compression": PRESETS, "storage": POLICIES}
+    return spark.createDataFrame([(d, c) for d in domains for c in own.get(d, ())], "domain string, candidate_id string")
+
+
+def publish(ranked: DataFrame, ts: F.Column | int, first_lsn: int = 0) -> DataFrame:
+    """Ranked candidates as hidden rows of a mutation log: a policy a domain with its best candidate and score,
+    and a decision with the ranking. Equal inputs give equal rows; the log's last writer wins."""
+    ts = F.lit(ts).cast("bigint") if isinstance(ts, int) else ts
+    best = ranked.groupBy("domain").agg(F.min_by(F.struct("candidate_id", "score", "confidence"), "rank").alias("b"), F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))).alias("r"))
+    order = F.array_join(F.transform("r", lambda x: x["candidate_id"]), ",")
+    policy = best.select("domain", F.concat(F.lit("_infer|policy|"), F.col("domain")).alias("key"), F.create_map(F.lit("score"), "b.score", F.lit("confidence"), "b.confidence").alias("num"),
+                         F.create_map(F.lit("recommended_candidate_id"), F.col("b.candidate_id")).alias("str"))
+    decision = best.select("domain", F.concat(F.lit("_infer|decision|"), decision_id(F.col("domain"), order)).alias("key"), F.create_map(F.lit("candidates"), F.size("r").cast("double")).alias("num"),
+                           F.create_map(F.lit("recommended_candidate_id"), F.col("b.candidate_id"), F.lit("ranking"), order).alias("str"))
+    return policy.union(decision).select(F.lit(first_lsn).cast("bigint").alias("lsn"), ts.alias("ts"), F.lit("PUT").alias("op"), "key", "num", "str", F.lit("hot").alias("tier"))
+
+
 def outcome_stats(rows: DataFrame) -> DataFrame:
     """Per (domain, candidate): successes, failures, and averages over all outcomes, an absent
     metric counting in the divisor as it does in a running average that skips it."""

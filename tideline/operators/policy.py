@@ -7,30 +7,35 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROTATION = "log string, seq bigint, reason string"
 BREAKER = "log string, seq bigint, ts bigint, state string, admitted boolean"
 SUPERVISOR = "log string, seq bigint, state string, backoff_ms bigint"
 
 
-def rotations(flushes: DataFrame, max_bytes: int, max_snapshots: int, alpha: float = 0.2, latency_factor: float = 2.0, ratio_drop: float = 0.7, breaches: int = 3, cooldown: int = 5) -> DataFrame:
-    """Where a session of flushes (log, seq, bytes, snapshots, latency_us, ratio) starts a new file: at a
-    hard limit, or after consecutive breaches of the latency or ratio averages, not within a cooldown."""
+def rotations(flushes: DataFrame, max_bytes: int, max_snapshots: int, max_segments: int | None = None, max_ms: int | None = None, alpha: float = 0.2, latency_factor: float = 2.0, ratio_drop: float = 0.7, breaches: int = 3, cooldown: int = 5) -> DataFrame:
+    """Where a session of flushes (log, seq, bytes, snapshots, latency_us, ratio, and ts in ms if max_ms is
+    given) starts a new file: at a hard limit (bytes, snapshots, segments, that is flushes, or age), or after consecutive breaches of the latency or ratio averages, not within a cooldown."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        size = count = run_ = 0
+        size = count = run_ = segments = 0
+        opened = None
+        times = table.column("ts").to_pylist() if max_ms is not None else [0] * len(table)
         since, latency, ratio, best, first, out = cooldown, None, None, 0.0, None, []
-        for log, seq, b, n, l, r in zip(*(table.column(c).to_pylist() for c in ("log", "seq", "bytes", "snapshots", "latency_us", "ratio"))):
-            size, count, since = size + b, count + n, since + 1
+        for at, log, seq, b, n, l, r in zip(times, *(table.column(c).to_pylist() for c in ("log", "seq", "bytes", "snapshots", "latency_us", "ratio"))):
+            size, count, since, segments = size + b, count + n, since + 1, segments + 1
+            opened = at if opened is None else opened
             latency = l if latency is None else alpha * l + (1 - alpha) * latency
             ratio = r if ratio is None else alpha * r + (1 - alpha) * ratio
             first, best = latency if first is None else min(first, latency), max(best, ratio)
             breach = "latency" if latency > latency_factor * first else "ratio" if ratio < ratio_drop * best else None
             run_ = run_ + 1 if breach else 0
-            reason = "bytes" if size >= max_bytes else "snapshots" if count >= max_snapshots else breach if run_ >= breaches and since > cooldown else None
+            reason = "bytes" if size >= max_bytes else "snapshots" if count >= max_snapshots else "segments" if max_segments and segments >= max_segments else "duration" if max_ms is not None and at - opened >= max_ms else breach if run_ >= breaches and since > cooldown else None
             if reason:
                 out.append((log, seq, reason))
-                size = count = run_ = since = 0
+                size = count = run_ = since = segments = 0
+                opened = None
         return pa.table({n.split()[0]: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(zip(ROTATION.split(", "), (pa.string(), pa.int64(), pa.string())))})
 
     return flushes.groupBy("log").applyInArrow(run, ROTATION)
@@ -80,3 +85,37 @@ def supervise(events: DataFrame, restarts: int = 5, window_ms: int = 300_000) ->
         return pa.table({"log": table.column("log"), "seq": table.column("seq"), "state": pa.array(states, pa.string()), "backoff_ms": pa.array(waits, pa.int64())})
 
     return events.groupBy("log").applyInArrow(run, SUPERVISOR)
+
+
+PRESSURE = "log string, seq bigint, pending bigint, admitted boolean, active boolean"
+
+
+def backpressure(ops: DataFrame, high: int = 1000, low: int = 200) -> DataFrame:
+    """Operations (log, seq, begins) as they begin and end: one that begins when ``high`` are pending is refused,
+    and so are all until no more than ``low`` are. The end of a refused one should not be in the input."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        pending, active, out = 0, False, []
+        for begins in table.column("begins").to_pylist():
+            admitted = None
+            if begins:
+                active = active and pending > low
+                active = active or pending >= high
+                admitted = not active
+                pending += admitted
+            else:
+                pending = max(0, pending - 1)
+                active = active and pending > low
+            out.append((pending, admitted, active))
+        pending_, admitted_, active_ = zip(*out) if out else ((), (), ())
+        return pa.table({"log": table.column("log"), "seq": table.column("seq"), "pending": pa.array(pending_, pa.int64()), "admitted": pa.array(admitted_, pa.bool_()), "active": pa.array(active_, pa.bool_())})
+
+    return ops.groupBy("log").applyInArrow(run, PRESSURE)
+
+
+def retries(attempts: DataFrame, most: int = 3, base_ms: int = 100, cap_ms: int = 5000) -> DataFrame:
+    """Attempts (op, attempt from 1, error: null, ``timeout`` or another) with what follows: only a timeout is
+    tried again, at most ``most`` times in all, after base * 2 ** (attempt - 1) ms up to the cap (no jitter)."""
+    again = (F.col("error") == "timeout") & (F.col("attempt") < most)
+    delay = F.least(F.lit(cap_ms), F.lit(base_ms) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("bigint")
+    return attempts.select("*", F.when(F.col("error").isNull(), "done").when(again, "retry").otherwise("failed").alias("next"), F.when(again, delay).otherwise(0).alias("delay_ms"))

@@ -198,3 +198,51 @@ def infer_schema(state: DataFrame) -> DataFrame:
     num = state.select("key", F.explode(F.map_keys("num")).alias("field"), F.lit("numeric").alias("kind"))
     text = state.select("key", F.explode(F.map_keys("str")).alias("field"), F.lit("categorical").alias("kind"))
     return num.union(text).groupBy("field", "kind").agg(F.count("*").alias("keys"))
+
+
+def checkpoint(log: DataFrame) -> DataFrame:
+    """(bucket, keys, max_lsn, hash): a checkpoint's hash of the surviving rows, by the first three digits of
+    their keys' MD5, so that no task holds the state; equal states have equal hashes in every order of writing."""
+    row = F.concat_ws("|", "key", F.col("ts").cast("string"), "op", fields_json(F.col("num"), F.col("str")))
+    rows = latest(log).select(F.substring(F.md5("key"), 1, 3).alias("bucket"), "key", "lsn", row.alias("row"))
+    made = rows.groupBy("bucket").agg(F.count("*").alias("keys"), F.max("lsn").alias("max_lsn"), F.array_sort(F.collect_list(F.struct("key", "row"))).alias("rows"))
+    return made.select("bucket", "keys", "max_lsn", F.sha2(F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), 256).alias("hash"))
+
+
+def checkpoint_due(log: DataFrame, ops: int = 500, every_ms: int = 30_000) -> DataFrame:
+    """(lsn, ts, reason): where a log checkpoints: the first entry after so many others or so long a time
+    since the last checkpoint. A fold in order of lsn; column ``log`` tells logs apart."""
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lsn")
+        count, since, out = 0, None, []
+        for lsn, ts in zip(table.column("lsn").to_pylist(), table.column("ts").to_pylist()):
+            since, count = ts if since is None else since, count + 1
+            if count >= ops or ts - since >= every_ms:
+                out.append((lsn, ts, "ops" if count >= ops else "time"))
+                count, since = 0, ts
+        name = table.column("log")[:1].combine_chunks().take(pa.array([0] * len(out), pa.int64()))
+        return pa.table([name, *map(pa.array, list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.string()))], names=["log", "lsn", "ts", "reason"])
+
+    return log.select(F.col("log").cast("string").alias("log"), "lsn", "ts").groupBy("log").applyInArrow(fold, "log string, lsn bigint, ts bigint, reason string")
+
+
+def flushed(log: DataFrame, flushes: DataFrame) -> DataFrame:
+    """The warm segments that flushes (log, flush, lsn) leave: of each flush its records, split into user and
+    system ones (log, flush, system, key, ts, lsn). A record is the key's last put since the flush before,
+    unless a delete came after it."""
+    bounds = flushes.withColumn("after", F.coalesce(F.lag("lsn").over(W.partitionBy("log").orderBy("flush")), F.lit(-1)))
+    bounds = bounds.groupBy("log").agg(F.array_sort(F.collect_list(F.struct(F.col("lsn").alias("to"), "flush"))).alias("b"))
+    own = F.element_at(F.filter("b", lambda x: x["to"] >= F.col("lsn")), 1)["flush"]
+    rows = log.join(bounds, "log").withColumn("flush", F.when(F.exists("b", lambda x: x["to"] >= F.col("lsn")), own)).filter("flush IS NOT NULL")
+    last = rows.groupBy("log", "flush", "key").agg(F.max_by(F.struct("ts", "lsn", "op"), "lsn").alias("r"))
+    return last.filter("r.op = 'PUT'").select("log", "flush", is_system(F.col("key")).alias("system"), "key", "r.ts", "r.lsn")
+
+
+def service_health(log: DataFrame, checkpoint_lsn: int = 0) -> DataFrame:
+    """One row of what a health check says: live keys by tier, deleted keys, entries, the newest write, and the
+    entries since a checkpoint with their share of all."""
+    rows = latest(log)
+    live = F.col("op") == "PUT"
+    state = rows.agg(F.count_if(live).alias("keys"), *[F.count_if(live & (F.col("tier") == t)).alias(t) for t in TIERS], F.count_if(~live).alias("tombstones"))
+    log_ = log.agg(F.count("*").alias("entries"), F.max("lsn").alias("max_lsn"), F.max("ts").alias("last_write"), F.count_if(F.col("lsn") > checkpoint_lsn).alias("since_checkpoint"))
+    return state.crossJoin(log_).withColumn("status", F.when(F.col("since_checkpoint") > 10_000, "degraded").otherwise("ok"))

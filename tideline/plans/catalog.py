@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tideline.plans import block_queries, correlation_queries, extra_queries, fold_queries, ledger_queries, state_queries
+from tideline.plans import block_queries, correlation_queries, extra_queries, fold_queries, ledger_queries, service_queries, state_queries
 
-MODULES = (state_queries, fold_queries, block_queries, correlation_queries, ledger_queries, extra_queries)
+MODULES = (state_queries, fold_queries, block_queries, correlation_queries, ledger_queries, extra_queries, service_queries)
 
 
 def queries():

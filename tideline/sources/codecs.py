@@ -131,6 +131,54 @@ def unframe(data: bytes, count: int) -> np.ndarray:
     return int(low[0]) + (unbits(data[at + 1:], count, width).astype(np.int64) if width else np.zeros(count, np.int64))
 
 
+#: Values that a ring of recent ones holds.
+RING = 256
+
+
+class Ring:
+    """The last distinct values by first use, the oldest overwritten; shared by the blocks of a segment."""
+
+    def __init__(self):
+        self.held: list[int] = []
+        self.place: dict[int, int] = {}
+        self.next = 0
+
+    def put(self, value: int) -> None:
+        if len(self.held) < RING:
+            self.place[value] = len(self.held)
+            self.held.append(value)
+            return
+        if self.place.get(self.held[self.next]) == self.next:
+            del self.place[self.held[self.next]]
+        self.held[self.next], self.place[value] = value, self.next
+        self.next = (self.next + 1) % RING
+
+
+def ring(v: np.ndarray, known: Ring) -> bytes:
+    """A value in the ring as its place, an odd number; another as twice its zigzag form, and into the ring."""
+    out = []
+    for x, z in zip(np.asarray(v, np.int64).tolist(), zigzag(np.asarray(v, np.int64)).tolist()):
+        if (at := known.place.get(x)) is not None:
+            out.append(2 * at + 1)
+        else:
+            out.append(2 * z)
+            known.put(x)
+    return varint(np.array(out, np.int64))
+
+
+def unring(data: bytes, known: Ring) -> np.ndarray:
+    out = []
+    for r in unvarint(data)[0].tolist():
+        if r & 1:
+            if r >> 1 >= len(known.held):
+                raise ArchiveError("a place outside the ring")
+            out.append(known.held[r >> 1])
+        else:
+            out.append(int(unzigzag(np.array([r >> 1], np.uint64))[0]))
+            known.put(out[-1])
+    return np.array(out, np.int64)
+
+
 def fixed(x: np.ndarray) -> bytes:
     return np.asarray(x, "<f8").tobytes()
 

@@ -1,6 +1,9 @@
 """A key/value store over a folder of mutation parts: the operators behind one object.
 
-Writes append a part; reads are last-writer-wins over the parts. ``compact`` folds them to one.
+Writes append a part, named by the log numbers that it holds, so the next number is known from
+names alone; reads are last-writer-wins over the parts. ``compact`` folds them to one part and keeps
+what a retried batch needs: its idempotency key and hash, as a hidden row. The folder may be on any
+file system that Spark and ``tideline.sources.files`` know.
 For large stores write parts by a stream (``tideline.streaming.live.upkeep``) instead.
 """
 
@@ -8,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,14 @@ from pyspark.sql import functions as F
 
 from tideline.operators import correlate, folds, ledger
 from tideline.operators import state as st
+from tideline.sources import files
 
 LOG = "lsn bigint, ts bigint, op string, key string, num map<string,double>, str map<string,string>, tier string, idempotency_key string, request_hash string"
 
 
+IDEMPOTENCY = "_sys|idempotency|"
+
+
 class Conflict(ValueError):
     """An idempotency key that was used for another request."""
 
@@ -29,16 +35,18 @@ class Store:
         self.spark, self.path = spark, path
         self._empty = spark.createDataFrame([], LOG)
 
+    def parts(self) -> list[str]:
+        return [n for n in files.names(self.path) if n.startswith("part-")]
+
     def log(self) -> DataFrame:
-        found = sorted(os.listdir(self.path)) if os.path.isdir(self.path) else []
-        parts = [os.path.join(self.path, p) for p in found if p.startswith("part-")]
+        parts = [f"{self.path}/{p}" for p in self.parts()]
         return self.spark.read.schema(LOG).parquet(*parts) if parts else self._empty
 
     def _append(self, rows: list[tuple], key: str | None = None, digest: str | None = None) -> None:
-        base = self.log().agg(F.coalesce(F.max("lsn"), F.lit(0)).alias("n")).first()["n"]
+        base = max((int(p.split("-")[2]) for p in self.parts()), default=0)
         made = [(base + i + 1, ts, op, k, {f: float(v) for f, v in fields.items() if not isinstance(v, str)}, {f: v for f, v in fields.items() if isinstance(v, str)}, "hot", key, digest)
                 for i, (ts, op, k, fields) in enumerate(rows)]
-        self.spark.createDataFrame(made, LOG).coalesce(1).write.parquet(os.path.join(self.path, f"part-{base:020d}-{uuid.uuid4()}"))
+        self.spark.createDataFrame(made, LOG).coalesce(1).write.parquet(f"{self.path}/part-{base + 1:020d}-{base + len(made):020d}-{uuid.uuid4()}")
 
     def put(self, key: str, fields: dict, ts: int) -> None:
         self._append([(ts, "PUT", key, fields)])
@@ -78,20 +86,26 @@ class Store:
         return st.scan_summary(self.state().filter(F.col("key").startswith(prefix)))
 
     def compact(self) -> int:
-        """Rewrites the log as one part of the surviving rows, deletes included; how many rows went."""
-        log = self.log()
-        before = log.count()
-        names = [f.split()[0] for f in LOG.split(", ")]
-        kept = st.latest(log).withColumns({"idempotency_key": F.lit(None).cast("string"), "request_hash": F.lit(None).cast("string")}).select(*names)
-        old = [os.path.join(self.path, p) for p in os.listdir(self.path) if p.startswith("part-")]
-        hidden = os.path.join(self.path, f"new-{uuid.uuid4()}")
-        kept.coalesce(1).write.parquet(hidden)
-        after = self.spark.read.parquet(hidden).count()
-        os.rename(hidden, os.path.join(self.path, f"part-{0:020d}-{uuid.uuid4()}"))
-        import shutil
-
+        """Rewrites the log as one part of the surviving rows, deletes included, and a hidden row for each
+        idempotency key; how many rows went. Readers see the old parts or the new one: it is written under
+        a hidden name, moved into place, and then the old parts go (till then both say the same)."""
+        log, names = self.log(), [f.split()[0] for f in LOG.split(", ")]
+        before, old = log.count(), self.parts()
+        if not old:
+            return 0
+        once = (log.filter("idempotency_key IS NOT NULL").groupBy("idempotency_key")
+                .agg(F.min_by("request_hash", "lsn").alias("request_hash"), F.max("lsn").alias("lsn"), F.max("ts").alias("ts"))
+                .select("lsn", "ts", F.lit("PUT").alias("op"), F.concat(F.lit(IDEMPOTENCY), "idempotency_key").alias("key"), F.expr("CAST(map() AS map<string,double>)").alias("num"),
+                        F.create_map(F.lit("request_hash"), F.col("request_hash")).alias("str"), F.lit("hot").alias("tier"), "idempotency_key", "request_hash"))
+        none = F.lit(None).cast("string")
+        kept = st.latest(log.filter(~F.col("key").startswith(IDEMPOTENCY))).withColumns({"idempotency_key": none, "request_hash": none}).select(*names)
+        last = max(int(p.split("-")[2]) for p in old)
+        hidden = f"{self.path}/.new-{uuid.uuid4()}"
+        kept.union(once.select(*names)).write.parquet(hidden)
+        after = self.spark.read.schema(LOG).parquet(hidden).count()
+        files.move(hidden, f"{self.path}/part-{1:020d}-{last:020d}-{uuid.uuid4()}")
         for p in old:
-            shutil.rmtree(p)
+            files.remove(f"{self.path}/{p}")
         return before - after
 
     def observations(self, field: str) -> DataFrame:
