@@ -106,11 +106,20 @@ def test_scan_pages_follow_one_another(spark):
 
 
 def test_health_monitor_quarantines_and_recovers(spark):
-    good, bad = (2.0, 0.5, 0.5), (0.5, 0.9, 0.9)
-    rows = [("s", i, *(bad if i == 2 else good)) for i in range(14)]
-    got = blocks.health(spark.createDataFrame(rows, "stream string, block long, ratio double, unique_ratio double, unique_delta_ratio double")).orderBy("block").collect()
-    assert [r["state"] for r in got[2:5]] == ["ANOMALY_START", "ANOMALY_ONGOING", "PROBE"]
-    assert [r["block"] for r in got if r["state"] == "ANOMALY_END"] == [12] and got[13]["route"] == "CORE"
+    """A burst of distinct values at block 2; probes at 4, 8 and 12; training by what came before alone."""
+    good, bad = (2.0, 0.3, 0.3), (0.5, 0.9, 0.9)
+    rows = [("s", i, *(bad if i == 2 else good)) for i in range(14)] + [("t", 0, 2.0, 0.3, 0.3), ("t", 1, 1.9, 0.3, 0.3), ("t", 2, 1.3, 0.3, 0.3), ("t", 3, 2.0, 0.3, 0.3)]
+    schema = "stream string, block long, ratio double, unique_ratio double, unique_delta_ratio double"
+    made = blocks.health(spark.createDataFrame(rows, schema))
+    got = made.filter("stream = 's'").orderBy("block").collect()
+    assert [r["state"] for r in got[:6]] == ["OK", "OK", "ANOMALY_START", "ANOMALY_MID", "ANOMALY_MID", "ANOMALY_MID"] and [r["reason"] for r in got[2:5]] == ["entropy_gate", "quarantine_active", "recovery_pending"]
+    assert got[2]["cause"] == "ratio_drop" and [r["block"] for r in got if r["state"] == "ANOMALY_END"] == [12] and got[13]["route"] == "CORE"
+    # The first block sets the baseline at 2 and its deviation at 0.2, so 1.9 is well above the threshold of 1.4.
+    other = made.filter("stream = 't'").orderBy("block").collect()
+    assert [r["route"] for r in other] == ["CORE", "CORE", "QUARANTINE", "QUARANTINE"] and (other[0]["baseline"], other[0]["deviation"]) == (2.0, 0.2) and other[2]["reason"] == "ratio_drop"
+    segments = blocks.anomaly_segments(made).orderBy("stream").collect()
+    assert [(r["stream"], r["first"], r["last"], r["blocks"], r["cause"], r["probes"], r["good_probes"]) for r in segments] == [("s", 2, 12, 10, "ratio_drop", 2, 2), ("t", 2, 3, 2, "ratio_drop", 0, 0)]
+    assert blocks.health(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_as_of_takes_the_newest_before(spark):
@@ -123,10 +132,29 @@ def test_upkeep_is_idempotent(spark, tmp_path):
     from tideline.streaming import live
 
     source = str(tmp_path / "in")
-    for n, rows in enumerate([[(1, 1, "PUT", "a"), (2, 2, "PUT", "b")], [(3, 3, "PUT", "a"), (4, 4, "DELETE", "b")]]):
+    for n, rows in enumerate([[(1, 1, "PUT", "a"), (2, 2, "PUT", "b")], [(3, 3, "PUT", "a"), (4, 4, "DELETE", "b")], [(5, 5, "PUT", "c")]]):
         _log(spark, rows).coalesce(1).write.mode("append").parquet(source)
         schema = spark.read.parquet(source).schema
-        q = live.upkeep(spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q = live.upkeep(spark.readStream.schema(schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "ck"), 4).trigger(availableNow=True).start()
         q.awaitTermination()
-        final = spark.read.parquet(str(tmp_path / "out" / str(n)))
-    assert {(r["key"], r["lsn"], r["op"]) for r in final.collect()} == {("a", 3, "PUT"), ("b", 4, "DELETE")}
+    want = {("a", 3, "PUT"), ("b", 4, "DELETE"), ("c", 5, "PUT")}
+    assert {(r["key"], r["lsn"], r["op"]) for r in live.held(spark, str(tmp_path / "out")).collect()} == want
+    # The last batch again, under its number: the same table, and only the touched bucket is written.
+    assert len({v for v in live.versions(str(tmp_path / "out")).values()}) > 1
+
+
+def test_topics_reach_their_subscribers(spark):
+    from tideline.streaming import live
+
+    topics, seen = live.Topics(), []
+    topics.topic("anomaly_detected", lambda batch: batch.filter("x > 5"))
+    topics.topic("cluster_formed", lambda batch: 1 / 0)  # nobody asks for it
+    listener = lambda name, events: seen.append((name, events.count()))
+    topics.subscribe(["anomaly_detected", "lifecycle_change"], listener)
+    topics.publish(spark.range(10).selectExpr("id AS x"), 0)
+    topics.publish(spark.range(3).selectExpr("id AS x"), 1)
+    topics.unsubscribe(listener)
+    topics.publish(spark.range(10).selectExpr("id AS x"), 2)
+    assert seen == [("anomaly_detected", 4)]
+    with pytest.raises(ValueError):
+        topics.subscribe(["unknown"], listener)

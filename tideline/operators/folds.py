@@ -96,7 +96,7 @@ def behavior(obs: DataFrame) -> DataFrame:
     return s.select(
         "key", F.col("s.ts").alias("last_write"), F.col("s.n").alias("write_count"), F.col("s.velocity").alias("velocity"),
         F.when(F.col("s.n") > 2, F.sqrt(F.col("s.dt_m2") / (F.col("s.n") - 2))).otherwise(0.0).alias("volatility"),
-        F.col("s.streak").alias("streak"), F.col("s.record").alias("streak_record"), F.col("s.signs").alias("signs"), entropy.alias("entropy"),
+        F.col("s.dt_mean").alias("interval"), F.col("s.streak").alias("streak"), F.col("s.record").alias("streak_record"), F.col("s.signs").alias("signs"), entropy.alias("entropy"),
         trend("value"), trend("k"))
 
 

@@ -70,8 +70,9 @@ _P = """(n * sxy - sx * sy) / nullif(sqrt(greatest(0, (n * sxx - sx * sx) * (n *
 _SUMS = """count(*) AS n, sum(a.signal * b.signal) AS sxy, sum(a.signal) AS sx, sum(b.signal) AS sy,
         sum(a.signal * a.signal) AS sxx, sum(b.signal * b.signal) AS syy"""
 _L = f"""t AS (SELECT key, r, signal FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) - 1 AS r FROM series) WHERE r < 128),
+      y AS (SELECT key, max(ts) AS ts FROM series GROUP BY key), w AS (SELECT a.key AS x, b.key AS y FROM y a JOIN y b ON a.key < b.key AND abs(a.ts - b.ts) <= 21600000),
       s AS (SELECT a.key AS item_a, b.key AS item_b, lag, {_SUMS}
-        FROM t a CROSS JOIN range(-3, 4) g(lag) JOIN t b ON b.r = a.r + lag AND a.key < b.key GROUP BY ALL),
+        FROM w JOIN t a ON a.key = w.x CROSS JOIN range(-3, 4) g(lag) JOIN t b ON b.key = w.y AND b.r = a.r + lag GROUP BY ALL),
       l AS (SELECT item_a, item_b, lag, n, coalesce({_P}, 0) AS r FROM s WHERE n >= 6),
       b AS (SELECT item_a, item_b, unnest(arg_max({{'lag': lag, 'n': n, 'r': r}}, {{'a': round(abs(r), 12), 'b': -lag}})) FROM l GROUP BY item_a, item_b)"""
 
