@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts of any length are compared whole; an empty table stays empty."""
     ready(spark)
     # The ids to drop are a few bytes each; the texts aren't shuffled unless there are too many.
-    drop = op09_jaccard.dropped(op09_jaccard.similar(docs, threshold=op09_jaccard.NEAR))
+    drop = op09_jaccard.dropped(op09_jaccard.classes(docs, threshold=op09_jaccard.NEAR))
     return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
 
 

@@ -364,6 +364,38 @@ def test_jaccard_join_is_exact(docs, texts, monkeypatch, n, t, rows, hot):
     assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-12 for k in want) and want
 
 
+@pytest.mark.parametrize("n,t,rows,hot", [(2, 0.5, 3_000_000, 20_000), (2, 0.5, 3_000, 3), (2, 0.7, 3_000_000, 20_000), (1, 0.4, 3_000_000, 20_000)])
+def test_classes_are_those_of_all_links(docs, texts, monkeypatch, n, t, rows, hot):
+    monkeypatch.setattr(postings, "HOT", hot)
+    monkeypatch.setattr(postings, "bucket_count", lambda m, each=rows: max(1, -(-m // each)))
+    assert {r["doc_id"]: r["class_id"] for r in op09_jaccard.classes(docs, n, t).collect()} == {k: v[0] for k, v in _similar(texts, n, t).items()}
+
+
+def test_classes_of_chains_and_groups(spark):
+    """Each copy is like its neighbours alone; a group has one centre; some ids have unlike texts."""
+    r = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 + k, " ".join(words[6 * k:6 * k + 30])) for k in range(50)]
+    base = [f"g{i}" for i in range(80)]
+    rows += [(2000 + k, " ".join(w if r.random() > 0.06 else f"x{k}{i}" for i, w in enumerate(base))) for k in range(60)] + [(1001, " ".join(base)), (3000, "apart from all others"), (2001, rows[7][1])]
+    found = {x["doc_id"]: x["class_id"] for x in op09_jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 0.5).collect()}
+    copies = defaultdict(list)
+    for i, s in ((i, frozenset(t.split())) for i, t in rows):
+        copies[s].append(i)
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations([(i, set(t.split())) for i, t in rows], 2):
+        if len(a[1] & b[1]) >= 0.5 * len(a[1] | b[1]):
+            x, y = sorted((root(a[0]), root(b[0])))
+            parent[y] = x
+    assert found == {i: root(i) for i in parent if i != 3000}
+
+
 def test_sets_without_enough_segments_meet_by_single_tokens(docs, texts, monkeypatch):
     """LOAD so low that sets can't fill their units."""
     monkeypatch.setattr(op09_jaccard, "LOAD", 0.3)

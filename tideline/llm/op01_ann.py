@@ -69,7 +69,10 @@ def cells(x: np.ndarray, table: int, depth: int, probes: int, seed: int = SEED)
         axis, at = axes(rotate(x, (seed, table, level)), each)
         found = (found[:, :, None] * width + axis[:, None, :]).reshape(len(x), -1)
         value = (value[:, :, None] + at[:, None, :]).reshape(len(x), -1)
-        best = np.argsort(-value, axis=1, kind="stable")[:, :probes]
+        if probes < value.shape[1]:
+            some = np.argpartition(-value, probes - 1, axis=1)[:, :probes]
+            found, value = np.take_along_axis(found, some, axis=1), np.take_along_axis(value, some, axis=1)
+        best = np.argsort(-value, axis=1, kind="stable")
         found, value = np.take_along_axis(found, best, axis=1), np.take_along_axis(value, best, axis=1)
     return found
 

@@ -246,27 +246,30 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
 
 
 def emit(docs: DataFrame, n: int, threshold: float, rank, buckets: tuple[np.ndarray, np.ndarray], clash: list[int], fine: bool = False) -> DataFrame:
-    """Packed signatures of every text's set; rows of bucket -1 name residual sets."""
+    """Packed signatures of every text's set, with the marks of documents if docs has a column ``mark``; rows of
+    bucket -1 name residual sets."""
+    marked = "mark" in docs.columns
+
     def run(batches):
-        packer, table, (first, parts) = po.Packer(), rank.value, buckets
+        packer, table, (first, parts) = po.Packer(marked=marked), rank.value, buckets
         grids = po.grids(table)
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 tokens, row, rows = token_sets(part.column("text"), n)
                 fp, size, _ = fingerprints(tokens, row, rows, clash)
+                marks = np.asarray(part.column("mark").fill_null(po.NONE)) if marked else None
                 for (keys, at, roles, band, codes), need, left in signatures(tokens, row, size, table, threshold, fine=fine):
                     went, keys = po.dealt(keys, fp[at], grids[codes])
                     at, roles, band = at[went], roles[went], band[went]
                     bucket = first[band] + (tk.mix64(keys) % parts[band].astype(np.uint64)).astype(np.int64)
-                    yield from packer.add(keys, bucket, at, roles, fp, size, need)
+                    yield from packer.add(keys, bucket, at, roles, fp, size, need, marks)
                     if left.any():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([fp[left].tobytes()], pa.binary()),
-                             pa.array([size[left].astype(np.int32).tobytes()], pa.binary()), pa.array([b""], pa.binary())],
-                            ["bucket", "rows", "ids", "sizes", "needs"])
+                        names = [x.split()[0] for x in (po.MARKED if marked else po.PACKED).split(", ")]
+                        blobs = {"ids": fp[left].tobytes(), "sizes": size[left].astype(np.int32).tobytes()}
+                        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([blobs.get(x, b"")], pa.binary()) for x in names[1:]]], names)
         yield from packer.flush()
 
-    return docs.mapInArrow(run, po.PACKED)
+    return docs.mapInArrow(run, po.MARKED if marked else po.PACKED)
 
 
 def _jaccard(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
@@ -326,6 +329,41 @@ def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshol
     return po.gather(placed, sets, lambda x, y: _jaccard(x, y, threshold), po.LINKED)
 
 
+class _Sets:
+    """What a join knows of the texts before it looks for pairs."""
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float):
+        if not 0 < threshold <= 1 or n < 1:
+            raise ValueError("threshold must be within (0, 1] and n at least 1")
+        spark = ready(docs.sparkSession)
+        self.n, self.threshold = n, threshold
+        self.texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+        seen = scan(self.texts, n).checkpoint()
+        self.rank = spark.sparkContext.broadcast(po.ranks(seen.filter("block IS NOT NULL").select("block", "cells")))
+        own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "fp2", "size")
+        self.clash = po.clashes(own)
+        self.own = po.settled(own, self.clash).select("doc_id", "fp", "size")
+        self.known = self.own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count_distinct("doc_id").alias("copies")).checkpoint()
+        self.sizes = {r["size"]: r["count"] for r in self.own.groupBy("size").count().collect()}
+
+    def linked(self, texts: DataFrame, star: bool = False) -> DataFrame:
+        """The tallies of all pairs that reach the threshold (see ``postings.meet`` for which meet)."""
+        threshold = self.threshold
+
+        def met(fine):
+            packed = emit(texts, self.n, self.threshold, self.rank, layout(self.sizes, self.threshold, fine), self.clash, fine)
+            return po.meetings(packed, lambda group: po.meet(group, threshold, star))
+
+        if several(self.threshold):
+            found = met(False).checkpoint()
+            # Sets that couldn't fill their units; practically none. Then all sets meet by single tokens.
+            if not found.filter("b IS NULL").isEmpty():
+                found = met(True)
+        else:
+            found = met(True)
+        return verify(self.texts, self.known, po.enough(found).checkpoint(), self.n, self.threshold, self.clash).checkpoint()
+
+
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, links, jaccard), a row for each document that is similar to another:
     texts are lower-cased and cut at white space.
@@ -337,39 +375,34 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     rows of a doc_id count once; unlike texts of a doc_id are of one class, and their links add up; very
     long texts are read whole; other columns are ignored; an empty table gives an empty result.
     doc_id must be an integer."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("threshold must be within (0, 1] and n at least 1")
-    spark = ready(docs.sparkSession)
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    seen = scan(texts, n).checkpoint()
-    rank = spark.sparkContext.broadcast(po.ranks(seen.filter("block IS NOT NULL").select("block", "cells")))
-    own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "fp2", "size")
-    clash = po.clashes(own)
-    own = po.settled(own, clash)
-    known = own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count_distinct("doc_id").alias("copies")).checkpoint()
-    sizes = {r["size"]: r["count"] for r in own.groupBy("size").count().collect()}
-
-    def met(fine):
-        return po.meetings(emit(texts, n, threshold, rank, layout(sizes, threshold, fine), clash, fine), lambda group: po.meet(group, threshold))
-
-    if several(threshold):
-        found = met(False).checkpoint()
-        # Sets that couldn't fill their units; practically none. Then all sets meet by single tokens.
-        if not found.filter("b IS NULL").isEmpty():
-            found = met(True)
-    else:
-        found = met(True)
-    linked = verify(texts, known, po.enough(found).checkpoint(), n, threshold, clash).checkpoint()
-    return po.classes(own.select("doc_id", "fp"), known, linked, 1.0).withColumnRenamed("best", "jaccard")
+    sets = _Sets(docs, n, threshold)
+    return po.classes(sets.own.select("doc_id", "fp"), sets.known, sets.linked(sets.texts), 1.0).withColumnRenamed("best", "jaccard")
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id): the rows of ``similar`` without their links, for less.
+
+    Who is in a class needs no count of its pairs. First each set meets only the least of those that share
+    a signature with it, which joins nearly every group; then pairs within what is joined are left out, and
+    all others meet. So a group of m copies costs about m pairs, not their square, and still no two
+    similar documents are in unlike classes."""
+    sets = _Sets(docs, n, threshold)
+    first = sets.linked(sets.texts, star=True)
+    joined = po.classes(sets.own.select("doc_id", "fp"), sets.known, first, 1.0)
+    # A mark for each document in a class of several sets; texts are shuffled only if these are many.
+    mark = small(joined.join(first.select(F.col("root").alias("class_id")).distinct().union(first.select("doc_id")).distinct(), "class_id", "left_semi")
+                 .select(F.col("doc_id").alias("_id"), F.col("class_id").alias("mark")).checkpoint())
+    marked = sets.texts.join(mark, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return po.classes(sets.own.select("doc_id", "fp"), sets.known, first.union(sets.linked(marked)), 1.0).select("doc_id", "class_id")
 
 
 #: See ``postings``.
 groups = po.groups
 
 
-def dropped(classes: DataFrame) -> DataFrame:
+def dropped(found: DataFrame) -> DataFrame:
     """(_drop): every document of a class but the least, marked for broadcast if few."""
-    return small(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).checkpoint(), 500_000)
+    return small(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).checkpoint(), 500_000)
 
 
 def query(spark, sf_dir):

@@ -24,6 +24,9 @@ from tideline.llm import textkernel as tk
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
 PACKED = "bucket int, rows binary, ids binary, sizes binary, needs binary"
+MARKED = PACKED + ", marks binary"
+#: The mark of a document without a class.
+NONE = np.iinfo(np.int64).min
 #: Rows of one signature that a cell of the grid for hot ones holds, about.
 HOT = 20_000
 PAIRS = "a bigint, b bigint, w int, need int"
@@ -37,15 +40,15 @@ def bucket_count(rows: int, each: int = 3_000_000) -> int:
 class Packer:
     """Gathers signature rows and gives them out packed by bucket."""
 
-    def __init__(self, rows: int = 500_000):
-        self.limit = rows
+    def __init__(self, rows: int = 500_000, marked: bool = False):
+        self.limit, self.marked = rows, marked
         self._clear()
 
     def _clear(self):
-        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs = [], [], [], [], [], [], []
+        self.keys, self.buckets, self.docs, self.roles, self.ids, self.sizes, self.needs, self.marks = [], [], [], [], [], [], [], []
         self.rows = self.count = 0
 
-    def add(self, keys, buckets, docs, roles, ids, sizes, needs) -> Iterator[pa.RecordBatch]:
+    def add(self, keys, buckets, docs, roles, ids, sizes, needs, marks=None) -> Iterator[pa.RecordBatch]:
         """keys, buckets, docs, roles of rows, docs counting in ids, sizes, needs (needs: matches wanted)."""
         if self.count + len(ids) >= 1 << DOC_BITS or self.rows >= self.limit:
             yield from self.flush()
@@ -58,6 +61,7 @@ class Packer:
         self.ids.append(ids)
         self.sizes.append(sizes)
         self.needs.append(needs)
+        self.marks.append(marks)
         self.rows += len(keys)
         self.count += len(ids)
 
@@ -69,7 +73,8 @@ class Packer:
             short = keys >> np.uint64(64 - KEY_BITS)
             present, starts = np.unique(bucket[order], return_index=True)
             ends = np.append(starts, len(order))
-            out: tuple[list, ...] = ([], [], [], [], [])
+            marks = np.concatenate(self.marks) if self.marked else None
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for n, b in enumerate(present.tolist()):
                 at = order[ends[n]:ends[n + 1]]
                 here = np.zeros(len(ids), bool)
@@ -78,16 +83,20 @@ class Packer:
                 packed = (short[at] << np.uint64(DOC_BITS + ROLE_BITS)) | (local[docs[at]].astype(np.uint64) << np.uint64(ROLE_BITS)) | roles[at].astype(np.uint64)
                 for x, y in zip(out, (b, packed.tobytes(), ids[here].astype(np.int64).tobytes(), sizes[here].astype(np.int32).tobytes(), np.clip(needs[here], 0, 255).astype(np.uint8).tobytes())):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]],
-                                             ["bucket", "rows", "ids", "sizes", "needs"])
+                if marks is not None:
+                    out[5].append(marks[here].astype(np.int64).tobytes())
+            some = 6 if self.marked else 5
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:some]]],
+                                             ["bucket", "rows", "ids", "sizes", "needs", "marks"][:some])
         self._clear()
 
 
-def meet(group: list[pa.RecordBatch], ratio: float, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def meet(group: list[pa.RecordBatch], ratio: float, star: bool = False, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
     ratio times a's size; w the look-ups of a that found b, need what a wants. A quarter
     of the signatures at a time; sums are given out whenever ``most`` have gathered, so a
-    pair may come more than once."""
+    pair may come more than once. With ``star``, only pairs with the least id of a signature; of
+    marked documents only pairs of unlike marks."""
     named = [b.column("ids")[i].as_buffer() for b in group for i in range(b.num_rows) if b.column("bucket")[i].as_py() < 0]
     if named:  # sets that need another way, passed on as (a, null, null, size)
         a = np.concatenate([np.frombuffer(x, np.int64) for x in named])
@@ -95,13 +104,16 @@ def meet(group: list[pa.RecordBatch], ratio: float, at_once: int = 400_000, most
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(size, pa.int32())], ["a", "b", "w", "need"])
         return
     blobs, base, ids, sizes, needs = _unpacked(group)
+    marks = None
+    if "marks" in group[0].schema.names:
+        marks = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for batch in group for x in batch.column("marks")])
     found, waiting, limit = [], 0, 2 * at_once
 
     def settled():
         return [_summed(*(np.concatenate(y) for y in zip(*found)))]
 
     for part in range(4):
-        for x in _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
+        for x in _part(blobs, base, part, ids, sizes, needs, ratio, at_once, star, marks):
             found.append(x)
             waiting += len(x[0])
             if waiting > limit:  # the same pairs meet again and again
@@ -181,7 +193,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
+def _part(blobs, base, part, ids, sizes, needs, ratio, at_once, star, marks):
     """The summed pairs of the signatures whose upper two bits are part, chunk by chunk."""
     mine = [x[x >> np.uint64(62) == part] for x in blobs]
     keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in mine])
@@ -205,7 +217,7 @@ def _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
     met[:-1] |= met[1:]
     keys, docs, roles = keys[met], docs[met], roles[met]
     # Copies (one id) that share a signature count once: the id's first row of a role.
-    again = np.lexsort((roles, ids[docs], keys))
+    again = np.lexsort((roles, ids[docs], keys) if marks is None else (roles, ids[docs], marks[docs], keys))
     keys, docs, roles = keys[again], docs[again], roles[again]
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[docs[1:]] != ids[docs[:-1]]) | (roles[1:] != roles[:-1])
@@ -214,6 +226,13 @@ def _part(blobs, base, part, ids, sizes, needs, ratio, at_once):
     start[1:] = keys[1:] != keys[:-1]
     first = np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
     place = np.arange(len(keys)) - first  # with each row, its pairs with the rows before it
+    if star:
+        place = np.minimum(place, 1)
+    elif marks is not None:  # up to where its mark begins
+        own = marks[docs]
+        turn = start | (own == NONE)
+        turn[1:] |= own[1:] != own[:-1]
+        place = np.maximum.accumulate(np.where(turn, np.arange(len(keys)), 0)) - first
     total, low = np.concatenate([[0], np.cumsum(place)]), 0
     while low < len(keys):
         high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, side="right")) - 1)
