@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: The same for rows of a few numbers, which spare the texts of a corpus a shuffle.
+NARROW_ROWS = 3_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -41,6 +44,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer referenced; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def uniform(*parts: F.Column | str | int) -> F.Column:
     """A number in [0, 1) with 52 bits, by the MD5 of the parts joined by ``:``."""
     text = F.concat_ws(":", *[

@@ -21,7 +21,9 @@ of cost, the smaller needs to be indexed by its cheapest segments alone.
 Passes over the texts: one that counts tokens and gives each set a fingerprint, one that
 emits signatures (packed, see ``postings``), and one over the candidates' texts alone.
 Sets that are equal are one candidate. Links are counted in the tasks that verify them,
-which give out a row a member, so a group's pairs are never rows of a table.
+which give out a row a member. Large groups of near copies (families, found by sketches of the
+first pass) don't meet by signatures: their sets are compared all with all in tasks of
+bounded size, and only their pairs with other sets are searched for.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import postings as po
 from tideline.llm import textkernel as tk
-from tideline.llm.common import ready, small
+from tideline.llm.common import NARROW_ROWS, ready, release, small
 
 N, THRESHOLD, SPARE = 2, 0.7, 2
 #: From here on documents are near copies: on sf0.1 pairs are rarest at 0.55 to 0.6, and below
@@ -224,10 +226,10 @@ def layout(sizes: dict[int, int], threshold: float, fine: bool = False) -> tuple
 
 
 def scan(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: (doc_id, fp, fp2, size) of every text with a token, and (block, cells) of token counts."""
+    """One pass: (doc_id, fp, fp2, size, sketch) of every text with a token, and (block, cells) of token counts."""
     def run(batches):
         counter = po.Counter()
-        names = ["doc_id", "fp", "fp2", "size", "block", "cells"]
+        names = ["doc_id", "fp", "fp2", "size", "sketch", "block", "cells"]
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 tokens, row, rows = token_sets(part.column("text"), n)
@@ -237,12 +239,13 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
                 ids = part.column("doc_id").cast(pa.int64()).filter(pa.array(some))
                 k = len(ids)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fp[some]), pa.array(second[some]), pa.array(size[some], pa.int64()),
+                                                  po.sketches(tokens, row, rows).filter(pa.array(some)),
                                                   pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         block, cells = counter.blocks()
         k = len(block)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(block, pa.int32()), pa.array(cells, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.list_(pa.int64())), pa.array(block, pa.int32()), pa.array(cells, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, size bigint, block int, cells binary")
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, fp2 bigint, size bigint, sketch array<bigint>, block int, cells binary")
 
 
 def emit(docs: DataFrame, n: int, threshold: float, rank, buckets: tuple[np.ndarray, np.ndarray], clash: list[int], fine: bool = False) -> DataFrame:
@@ -310,23 +313,57 @@ def _jaccard(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
 
 def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshold: float, clash: list[int]) -> DataFrame:
     """The tallies of the candidate pairs at the threshold. known: (fp, doc_id, size, copies), a row a set."""
+    placed, label = po.place(found, known, HELD)
+    return po.gather(placed, payload(docs, label.select("fp", "doc_id", "copies"), n, clash), lambda x, y: _jaccard(x, y, threshold), po.LINKED)
+
+
+def payload(docs: DataFrame, wanted: DataFrame, n: int, clash: list[int]) -> DataFrame:
+    """wanted, a row (fp, doc_id, ...) a set, with its tokens; the texts aren't shuffled unless these are too many."""
+    names = wanted.columns
+
     def tokens(batches):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 t, row, rows = token_sets(part.column("text"), n)
                 fp, size, _ = fingerprints(t, row, rows, clash)
                 ends = np.cumsum(size)
-                # A doc_id may have several texts; one of them has the set.
+                # A doc_id may have several texts, or a text twice; one of them has the set.
                 mine = np.flatnonzero(fp == np.asarray(part.column("fp")))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(mine)) for c in ("fp", "doc_id", "copies")),
-                     pa.array([t[ends[i] - size[i]:ends[i]].tobytes() for i in mine], pa.binary())], ["fp", "doc_id", "copies", "tokens"])
-
-    placed, label = po.place(found, known, HELD)
-    wanted = small(label.select(F.col("doc_id").alias("_id"), "fp", "copies"))
-    sets = (docs.join(wanted, F.col("doc_id") == F.col("_id")).select("fp", "doc_id", "copies", "text")
-            .mapInArrow(tokens, "fp bigint, doc_id bigint, copies bigint, tokens binary"))
-    return po.gather(placed, sets, lambda x, y: _jaccard(x, y, threshold), po.LINKED)
+                    [*(part.column(c).take(pa.array(mine)) for c in names),
+                     pa.array([t[ends[i] - size[i]:ends[i]].tobytes() for i in mine], pa.binary())], [*names, "tokens"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    return (docs.join(small(wanted.withColumnRenamed("doc_id", "_id"), NARROW_ROWS), F.col("doc_id") == F.col("_id")).select(*names, "text")
+            .mapInArrow(tokens, kinds + ", tokens binary"))
+
+
+def _matcher(threshold: float):
+    """For ``postings.within``: Jaccard similarities of a row's set with those of a range of rows."""
+    def matcher(table: pa.Table):
+        column = table.column("tokens").combine_chunks()
+        size = np.asarray(pc.binary_length(column)).astype(np.int64) // 8
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in column])
+        token = np.searchsorted(tk.distinct(flat), flat)
+        # What one set alone has is in no other.
+        shared = np.bincount(token)[token] > 1
+        ends = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(size)])]
+        token = token[shared]
+        mark = np.zeros(len(flat), np.int8)
+
+        def match(a: int, low: int, high: int) -> np.ndarray:
+            own = token[ends[a]:ends[a + 1]]
+            mark[own] = 1
+            total = np.cumsum(np.append(np.int8(0), mark[token[ends[low]:ends[high]]]), dtype=np.int32)
+            mark[own] = 0
+            at = ends[low:high + 1] - ends[low]
+            both = total[at[1:]] - total[at[:-1]]
+            value = both / np.maximum(size[a] + size[low:high] - both, 1)
+            return np.where(value >= threshold - 1e-12, value, -1.0)
+
+        return match
+
+    return matcher
 
 
 class _Sets:
@@ -340,19 +377,40 @@ class _Sets:
         self.texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
         seen = scan(self.texts, n).checkpoint()
         self.rank = spark.sparkContext.broadcast(po.ranks(seen.filter("block IS NOT NULL").select("block", "cells")))
-        own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "fp2", "size")
+        own = seen.filter("fp IS NOT NULL").select("doc_id", "fp", "fp2", "size", "sketch")
         self.clash = po.clashes(own)
-        self.own = po.settled(own, self.clash).select("doc_id", "fp", "size")
-        self.known = self.own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count_distinct("doc_id").alias("copies")).checkpoint()
+        self.own = po.settled(own, self.clash).select("doc_id", "fp", "size", "sketch")
+        self.known = self.own.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count_distinct("doc_id").alias("copies"),
+                                                F.first("sketch").alias("sketch")).checkpoint()
         self.sizes = {r["size"]: r["count"] for r in self.own.groupBy("size").count().collect()}
 
-    def linked(self, texts: DataFrame, star: bool = False) -> DataFrame:
-        """The tallies of all pairs that reach the threshold (see ``postings.meet`` for which meet)."""
-        threshold = self.threshold
+    def families(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """(what ``postings.families`` gives, tallies that join each of them); None if there are none."""
+        found = po.stars(self.known)
+        if found.isEmpty():
+            return None, None
+        first = self.verified(found)
+        family = po.families(self.own, self.known, first)
+        return (None, None) if family.isEmpty() else (family, first)
+
+    def verified(self, found: DataFrame) -> DataFrame:
+        return verify(self.texts, self.known, found, self.n, self.threshold, self.clash).checkpoint()
+
+    def within(self, family: DataFrame) -> DataFrame:
+        """The tallies of all pairs of the same family."""
+        sets = payload(self.texts, po.parted(family, HELD).select("fp", "doc_id", "copies", "mark", "g", "p").checkpoint(), self.n, self.clash)
+        return po.within(sets, _matcher(self.threshold)).checkpoint()
+
+    def linked(self, family: DataFrame | None) -> DataFrame:
+        """The tallies of all pairs that reach the threshold, but those within a family."""
+        threshold, texts = self.threshold, self.texts
+        if family is not None:
+            mark = self.own.select("doc_id", "fp").distinct().join(small(family.select("fp", "mark"), NARROW_ROWS), "fp").select(F.col("doc_id").alias("_id"), "mark")
+            texts = texts.join(small(mark.checkpoint(), NARROW_ROWS), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
         def met(fine):
             packed = emit(texts, self.n, self.threshold, self.rank, layout(self.sizes, self.threshold, fine), self.clash, fine)
-            return po.meetings(packed, lambda group: po.meet(group, threshold, star))
+            return po.meetings(packed, lambda group: po.meet(group, threshold))
 
         if several(self.threshold):
             found = met(False).checkpoint()
@@ -361,7 +419,9 @@ class _Sets:
                 found = met(True)
         else:
             found = met(True)
-        return verify(self.texts, self.known, po.enough(found).checkpoint(), self.n, self.threshold, self.clash).checkpoint()
+        found = po.enough(found).checkpoint()
+        release(self.texts.sparkSession)
+        return self.verified(found)
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -376,24 +436,24 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     long texts are read whole; other columns are ignored; an empty table gives an empty result.
     doc_id must be an integer."""
     sets = _Sets(docs, n, threshold)
-    return po.classes(sets.own.select("doc_id", "fp"), sets.known, sets.linked(sets.texts), 1.0).withColumnRenamed("best", "jaccard")
+    family, _ = sets.families()
+    linked = sets.linked(family)
+    if family is not None:
+        linked = linked.union(sets.within(family))
+    return po.classes(sets.own.select("doc_id", "fp"), sets.known, linked, 1.0).withColumnRenamed("best", "jaccard")
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id): the rows of ``similar`` without their links, for less.
 
-    Who is in a class needs no count of its pairs. First each set meets only the least of those that share
-    a signature with it, which joins nearly every group; then pairs within what is joined are left out, and
-    all others meet. So a group of m copies costs about m pairs, not their square, and still no two
-    similar documents are in unlike classes."""
+    Who is in a class needs no count of its pairs, so those within a family, which is joined already,
+    aren't compared; all others are, so that no two similar documents are in unlike classes."""
     sets = _Sets(docs, n, threshold)
-    first = sets.linked(sets.texts, star=True)
-    joined = po.classes(sets.own.select("doc_id", "fp"), sets.known, first, 1.0)
-    # A mark for each document in a class of several sets; texts are shuffled only if these are many.
-    mark = small(joined.join(first.select(F.col("root").alias("class_id")).distinct().union(first.select("doc_id")).distinct(), "class_id", "left_semi")
-                 .select(F.col("doc_id").alias("_id"), F.col("class_id").alias("mark")).checkpoint())
-    marked = sets.texts.join(mark, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    return po.classes(sets.own.select("doc_id", "fp"), sets.known, first.union(sets.linked(marked)), 1.0).select("doc_id", "class_id")
+    family, first = sets.families()
+    linked = sets.linked(family)
+    if family is not None:
+        linked = linked.union(first)
+    return po.classes(sets.own.select("doc_id", "fp"), sets.known, linked, 1.0).select("doc_id", "class_id")
 
 
 #: See ``postings``.
@@ -402,7 +462,7 @@ groups = po.groups
 
 def dropped(found: DataFrame) -> DataFrame:
     """(_drop): every document of a class but the least, marked for broadcast if few."""
-    return small(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).checkpoint(), 500_000)
+    return small(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).checkpoint(), NARROW_ROWS)
 
 
 def query(spark, sf_dir):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import textkernel as tk
+from tideline.llm.common import NARROW_ROWS, small
 
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
@@ -91,12 +92,11 @@ class Packer:
         self._clear()
 
 
-def meet(group: list[pa.RecordBatch], ratio: float, star: bool = False, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def meet(group: list[pa.RecordBatch], ratio: float, at_once: int = 400_000, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
     ratio times a's size; w the look-ups of a that found b, need what a wants. A quarter
     of the signatures at a time; sums are given out whenever ``most`` have gathered, so a
-    pair may come more than once. With ``star``, only pairs with the least id of a signature; of
-    marked documents only pairs of unlike marks."""
+    pair may come more than once. Of marked documents only pairs of unlike marks."""
     named = [b.column("ids")[i].as_buffer() for b in group for i in range(b.num_rows) if b.column("bucket")[i].as_py() < 0]
     if named:  # sets that need another way, passed on as (a, null, null, size)
         a = np.concatenate([np.frombuffer(x, np.int64) for x in named])
@@ -104,16 +104,14 @@ def meet(group: list[pa.RecordBatch], ratio: float, star: bool = False, at_once:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(size, pa.int32())], ["a", "b", "w", "need"])
         return
     blobs, base, ids, sizes, needs = _unpacked(group)
-    marks = None
-    if "marks" in group[0].schema.names:
-        marks = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for batch in group for x in batch.column("marks")])
+    marks = _marks(group)
     found, waiting, limit = [], 0, 2 * at_once
 
     def settled():
         return [_summed(*(np.concatenate(y) for y in zip(*found)))]
 
     for part in range(4):
-        for x in _part(blobs, base, part, ids, sizes, needs, ratio, at_once, star, marks):
+        for x in _part(blobs, base, part, ids, sizes, needs, ratio, at_once, marks):
             found.append(x)
             waiting += len(x[0])
             if waiting > limit:  # the same pairs meet again and again
@@ -140,6 +138,23 @@ def _unpacked(group: list[pa.RecordBatch]):
     return blobs, base, *(np.concatenate(x) for x in (ids, sizes, needs))
 
 
+def _marks(group: list[pa.RecordBatch]) -> np.ndarray | None:
+    if "marks" in group[0].schema.names:
+        return np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for batch in group for x in batch.column("marks")])
+    return None
+
+
+def _before(start: np.ndarray, first: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """With each row, its pairs with the rows of its signature before it; of rows in order of their
+    marks ``own``, with those up to where its mark begins."""
+    here = np.arange(len(start))
+    if own is not None:
+        turn = start | (own == NONE)
+        turn[1:] |= own[1:] != own[:-1]
+        here = np.maximum.accumulate(np.where(turn, here, 0))
+    return here - first
+
+
 def _given(a, b, w, need) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.int32()), pa.array(need, pa.int32())], ["a", "b", "w", "need"])
 
@@ -149,18 +164,19 @@ def meet_first(group: list[pa.RecordBatch], share: float, at_once: int = 1_000_0
     common. Rows are tokens of a set in an order that all sets follow, and a row's role bits hold
     half its place in it. Two sets meet first at their first common token, from where on they can
     have no more in common than either has left; so where that is too little they aren't a pair,
-    or met before. A pair may come more than once."""
+    or met before. A pair may come more than once. Of marked documents only pairs of unlike marks."""
     blobs, base, ids, sizes, _ = _unpacked(group)
+    marks = _marks(group)
     rows = np.concatenate(blobs)
     docs = np.concatenate([((x >> np.uint64(ROLE_BITS)) & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64) + b for x, b in zip(blobs, base)])
     del blobs
     keys, left = rows >> np.uint64(DOC_BITS + ROLE_BITS), sizes[docs] - 2 * (rows & np.uint64((1 << ROLE_BITS) - 1)).astype(np.int64)
-    order = np.argsort(keys)
+    order = np.argsort(keys) if marks is None else np.lexsort((marks[docs], keys))
     keys, docs, left = keys[order], docs[order], left[order]
     start = np.ones(len(keys), bool)
     start[1:] = keys[1:] != keys[:-1]
     first = np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
-    place = np.arange(len(keys)) - first  # with each row, its pairs with the rows before it
+    place = _before(start, first, None if marks is None else marks[docs])
     total, low, found, waiting = np.concatenate([[0], np.cumsum(place)]), 0, [], 0
     while low < len(keys):
         high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, side="right")) - 1)
@@ -193,7 +209,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _part(blobs, base, part, ids, sizes, needs, ratio, at_once, star, marks):
+def _part(blobs, base, part, ids, sizes, needs, ratio, at_once, marks):
     """The summed pairs of the signatures whose upper two bits are part, chunk by chunk."""
     mine = [x[x >> np.uint64(62) == part] for x in blobs]
     keys = np.concatenate([x >> np.uint64(DOC_BITS + ROLE_BITS) for x in mine])
@@ -225,14 +241,7 @@ def _part(blobs, base, part, ids, sizes, needs, ratio, at_once, star, marks):
     start = np.ones(len(keys), bool)
     start[1:] = keys[1:] != keys[:-1]
     first = np.maximum.accumulate(np.where(start, np.arange(len(keys)), 0))
-    place = np.arange(len(keys)) - first  # with each row, its pairs with the rows before it
-    if star:
-        place = np.minimum(place, 1)
-    elif marks is not None:  # up to where its mark begins
-        own = marks[docs]
-        turn = start | (own == NONE)
-        turn[1:] |= own[1:] != own[:-1]
-        place = np.maximum.accumulate(np.where(turn, np.arange(len(keys)), 0)) - first
+    place = _before(start, first, None if marks is None else marks[docs])
     total, low = np.concatenate([[0], np.cumsum(place)]), 0
     while low < len(keys):
         high = max(low + 1, int(np.searchsorted(total, total[low] + at_once, side="right")) - 1)
@@ -324,6 +333,83 @@ def gather(placed: DataFrame, payload: DataFrame, compare, schema: str) -> DataF
     return placed.groupBy("key", "i", "j").cogroup(sent.groupBy("_key", "_i", "_j")).applyInArrow(compare, schema)
 
 
+#: Groups of at least so many alike sets are found by sketches and kept out of the search.
+FAMILY = 64
+#: A sketch has a hash for each band, of the least tokens in its bins.
+BANDS, BINS = 4, 3
+
+
+def sketches(tokens: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
+    """A list of BANDS hashes a row; tokens (48 bits) in order within a row. Two sets have a bin's least
+    token in common as often as they are similar, so nearly all of a group of near copies have some
+    band in common with most of it. 0 stands for a band with an empty bin."""
+    place = ((tokens * np.uint64(BANDS * BINS)) >> np.uint64(48)).astype(np.int64)
+    lead = np.ones(len(row), bool)
+    lead[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+    low = np.zeros((rows, BANDS, BINS), np.uint64)
+    low.reshape(rows, -1)[row[lead], place[lead]] = tokens[lead] + np.uint64(1)
+    made = np.zeros((rows, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BINS):
+            made = tk.mix64(made * np.uint64(3) + low[:, :, k])
+    made[(low == 0).any(axis=2)] = 0
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(made.view(np.int64).reshape(-1)))
+
+
+def stars(known: DataFrame) -> DataFrame:
+    """(a, b): of each hash that at least FAMILY sets' sketches have, the least set with each other.
+    known: (fp, sketch), a row a set."""
+    each = known.select("fp", F.posexplode("sketch").alias("band", "value")).filter("value <> 0")
+    heavy = each.groupBy("band", "value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= FAMILY).drop("n")
+    return each.join(small(heavy.checkpoint()), ["band", "value"]).select("a", F.col("fp").alias("b")).filter("a <> b").distinct().checkpoint()
+
+
+def families(own: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
+    """(fp, doc_id, size, copies, mark): the sets of groups of at least FAMILY that the tallies ``first``
+    join, mark being the least doc_id of the group. A doc_id's several texts are left out."""
+    label = groups(first.filter("doc_id <> root").select(F.col("root").alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct())
+    large = label.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") >= FAMILY).select("least")
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m <> x").select("doc_id")
+    mixed = own.join(several, "doc_id").select("fp").distinct()
+    return (known.join(small(label.join(large, "least").checkpoint(), NARROW_ROWS), "doc_id").join(small(mixed.checkpoint(), NARROW_ROWS), "fp", "left_anti")
+            .select("fp", "doc_id", "size", "copies", F.col("least").alias("mark")).checkpoint())
+
+
+def parted(family: DataFrame, held: int) -> DataFrame:
+    """family with g, the parts that its group is cut into, so that two hold about ``held``, and p, the set's part."""
+    count = family.groupBy("mark").agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
+    return family.join(small(count.checkpoint(), NARROW_ROWS), "mark").withColumn("p", F.pmod(F.hash("fp", F.lit(7)), "g"))
+
+
+def within(payload: DataFrame, matcher) -> DataFrame:
+    """The tallies of all pairs of each group. payload: (fp, doc_id, copies, mark, g, p, ...), a row a set.
+
+    A task has two parts of a group. matcher(rows) gives a function of (a, low, high): the value of row a with each
+    of the rows from low to high, below 0 if they aren't linked."""
+    def compare(table: pa.Table) -> pa.Table:
+        # A text that is there twice has its set twice.
+        _, lead = np.unique(np.asarray(table.column("fp")), return_index=True)
+        table = table.take(pa.array(lead)).sort_by("p").combine_chunks()
+        p, copies, ids = (np.asarray(table.column(c)) for c in ("p", "copies", "doc_id"))
+        n, cut = len(p), int(np.searchsorted(p, p[-1]))
+        match, alone = matcher(table), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        links, best = np.zeros(n, np.int64), np.zeros(n)
+        for a in range(n if alone else cut):
+            low = a + 1 if alone else cut
+            value = match(a, low, n)
+            good = value >= 0
+            links[a] += copies[low:][good].sum()
+            links[low:] += good * copies[a]
+            best[a] = max(best[a], value.max(initial=0))
+            np.maximum(best[low:], value, out=best[low:])
+        some = links > 0
+        return pa.table({"doc_id": pa.array(ids[some], pa.int64()), "root": pa.array(np.asarray(table.column("mark"))[some], pa.int64()),
+                         "links": pa.array(links[some]), "best": pa.array(best[some])})
+
+    cells = payload.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("i", F.least("p", "q")).withColumn("j", F.greatest("p", "q"))
+    return cells.groupBy("mark", "i", "j").applyInArrow(compare, LINKED)
+
+
 CELL_BITS, BLOCK_BITS = 22, 16
 #: Steps of a code to a doubling: of a task's count, and of the sum's.
 FINE, SCALE = 16, 8
