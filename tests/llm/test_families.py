@@ -1,7 +1,9 @@
 """Large groups of near copies: out of the search, compared all with all, none of their links lost."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from tideline.llm import op09_jaccard, postings
@@ -75,3 +77,23 @@ def test_texts_are_not_shuffled_for_a_table_of_ids(spark):
     drop = op09_jaccard.dropped(spark.range(600_000).selectExpr("id + 1 AS doc_id", "0L AS class_id"))
     plan = docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tokens_are_shuffled_once_in_six_bytes(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a b c ', id) AS text").checkpoint()
+    sets = op09_jaccard._Sets(docs, 2, 0.5)
+    found = sets.known.selectExpr("min(fp) AS a", "max(fp) AS b")
+    plan = op09_jaccard.verify(sets.texts, sets.known, found, 2, 0.5, [])._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert above.count("Exchange hashpartitioning") == 2 and "Join" not in above  # those of the pairs and of the tokens
+    wanted = sets.known.select("fp", "doc_id", "copies")
+    assert {len(r["tokens"]) for r in op09_jaccard.payload(sets.texts, wanted, 2, []).collect()} == {18}
+
+
+def test_sketches_join_nearly_all_of_a_group():
+    rng, rows = np.random.default_rng(7), 200
+    base = rng.integers(0, 1 << 48, 400, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(400) < 0.12, rng.integers(0, 1 << 48, 400, dtype=np.uint64), base)) for _ in range(rows)]
+    made = postings.sketches(np.concatenate(sets), np.repeat(np.arange(rows), [len(x) for x in sets]), rows).to_pylist()
+    common = [Counter(x).most_common(1)[0] for x in zip(*made)]
+    assert sum(any(v == c for v, (c, n) in zip(x, common)) for x in made) >= 0.98 * rows

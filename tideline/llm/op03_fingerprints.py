@@ -248,8 +248,8 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
         good = best >= least
         return po.tally(ia[good], ib[good], best[good].astype(float), np.asarray(held.column("doc_id")), np.asarray(held.column("copies")))
 
-    placed, _ = po.place(found, sets.select("fp", (F.size("first") + F.size("second")).alias("size")), HELD)
-    linked = po.gather(placed, sets, compare, po.LINKED).checkpoint()
+    placed, label = po.place(found, sets.select("fp", (F.size("first") + F.size("second")).alias("size")), HELD)
+    linked = po.gather(placed, sets.join(label.select("fp", "cells"), "fp"), compare, po.LINKED).checkpoint()
     made_of = po.classes(made.select("doc_id", "fp"), sets.select("fp", "doc_id", "copies"), linked, 100.0)
     return made_of.select("doc_id", "class_id", "links", F.col("best").cast("int").alias("score"))
 

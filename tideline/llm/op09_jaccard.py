@@ -275,14 +275,25 @@ def emit(docs: DataFrame, n: int, threshold: float, rank, buckets: tuple[np.ndar
     return docs.mapInArrow(run, po.MARKED if marked else po.PACKED)
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Tokens in six bytes each."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(blobs: list) -> np.ndarray:
+    made = np.zeros((sum(len(x) for x in blobs) // 6, 8), np.uint8)
+    made[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    return made.view(np.uint64).reshape(-1)
+
+
 def _jaccard(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
     """The tally of a task's pairs that reach the threshold. The commoner set of a pair is marked
     once and the others are looked up in it, all at once."""
     sets = sets.combine_chunks()
     fp, lead = np.unique(np.asarray(sets.column("fp")), return_index=True)
     column = sets.column("tokens").combine_chunks()
-    size = np.asarray(pc.binary_length(column)).astype(np.int64)[lead] // 8
-    flat = np.concatenate([np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in lead]) if len(lead) else np.zeros(0, np.uint64)
+    size = np.asarray(pc.binary_length(column)).astype(np.int64)[lead] // 6
+    flat = _unpacked([column[int(i)].as_buffer() for i in lead])
     _, token = np.unique(flat, return_inverse=True)
     start = np.cumsum(size) - size
     a, b = (np.searchsorted(fp, np.asarray(pairs.column(c))) for c in "ab")
@@ -314,7 +325,7 @@ def _jaccard(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
 def verify(docs: DataFrame, known: DataFrame, found: DataFrame, n: int, threshold: float, clash: list[int]) -> DataFrame:
     """The tallies of the candidate pairs at the threshold. known: (fp, doc_id, size, copies), a row a set."""
     placed, label = po.place(found, known, HELD)
-    return po.gather(placed, payload(docs, label.select("fp", "doc_id", "copies"), n, clash), lambda x, y: _jaccard(x, y, threshold), po.LINKED)
+    return po.gather(placed, payload(docs, label.select("fp", "doc_id", "copies", "cells"), n, clash), lambda x, y: _jaccard(x, y, threshold), po.LINKED)
 
 
 def payload(docs: DataFrame, wanted: DataFrame, n: int, clash: list[int]) -> DataFrame:
@@ -331,7 +342,7 @@ def payload(docs: DataFrame, wanted: DataFrame, n: int, clash: list[int]) -> Dat
                 mine = np.flatnonzero(fp == np.asarray(part.column("fp")))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(pa.array(mine)) for c in names),
-                     pa.array([t[ends[i] - size[i]:ends[i]].tobytes() for i in mine], pa.binary())], [*names, "tokens"])
+                     pa.array([_packed(t[ends[i] - size[i]:ends[i]]) for i in mine], pa.binary())], [*names, "tokens"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields)
     return (docs.join(small(wanted.withColumnRenamed("doc_id", "_id"), NARROW_ROWS), F.col("doc_id") == F.col("_id")).select(*names, "text")
@@ -342,8 +353,8 @@ def _matcher(threshold: float):
     """For ``postings.within``: Jaccard similarities of a row's set with those of a range of rows."""
     def matcher(table: pa.Table):
         column = table.column("tokens").combine_chunks()
-        size = np.asarray(pc.binary_length(column)).astype(np.int64) // 8
-        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in column])
+        size = np.asarray(pc.binary_length(column)).astype(np.int64) // 6
+        flat = _unpacked([x.as_buffer() for x in column])
         token = np.searchsorted(tk.distinct(flat), flat)
         # What one set alone has is in no other.
         shared = np.bincount(token)[token] > 1

@@ -315,45 +315,50 @@ def place(found: DataFrame, known: DataFrame, held: int) -> tuple[DataFrame, Dat
 
     Pairs are gathered by the least candidate of their sets, so that what a cluster needs
     is sent once; a cluster whose sizes add up to more than ``held`` is cut into a grid of
-    tasks. Returns (a, b, key, i, j), and known for those in a pair with a label."""
+    tasks. Returns (a, b, cell), and known for those in a pair with a label and the cells
+    that need them."""
     both = found.select(F.col("a").alias("fp"), F.col("b").alias("o")).union(found.select("b", "a"))
     label = both.groupBy("fp").agg(F.least(F.col("fp"), F.min("o")).alias("label")).join(known, "fp").checkpoint()
     la, lb = (label.select(F.col("fp").alias(c), F.col("label").alias("l" + c)) for c in "ab")
     keyed = found.join(la, "a").join(lb, "b").select("a", "b", F.least("la", "lb").alias("key"))
     # Most sets of a cluster have its key as their label, so labels tell its size without another pass over pairs.
     grid = label.groupBy(F.col("label").alias("key")).agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
-    cell = lambda c: F.pmod(F.hash(F.col(c), F.lit(7)), F.col("g"))
-    return keyed.join(grid, "key").select("a", "b", "key", cell("a").alias("i"), cell("b").alias("j")).checkpoint(), label
+    part = lambda c: F.pmod(F.hash(F.col(c), F.lit(7)), F.col("g"))
+    # Two cells of one hash are one task, which is as well.
+    cell = F.xxhash64("key", F.least(part("a"), part("b")), F.greatest(part("a"), part("b")))
+    placed = keyed.join(grid, "key").select("a", "b", cell.alias("cell")).checkpoint()
+    needed = placed.select("cell", F.col("a").alias("fp")).union(placed.select("cell", "b"))
+    return placed, label.join(needed.groupBy("fp").agg(F.collect_set("cell").alias("cells")), "fp").checkpoint()
 
 
 def gather(placed: DataFrame, payload: DataFrame, compare, schema: str) -> DataFrame:
-    """compare(pairs, payload rows of their sets) of each task. payload: (fp, ...), a row each."""
-    needed = placed.select("key", "i", "j", F.col("a").alias("fp")).union(placed.select("key", "i", "j", "b")).distinct()
-    sent = needed.select(F.col("key").alias("_key"), F.col("i").alias("_i"), F.col("j").alias("_j"), "fp").join(payload, "fp")
-    return placed.groupBy("key", "i", "j").cogroup(sent.groupBy("_key", "_i", "_j")).applyInArrow(compare, schema)
+    """compare(pairs, payload rows of their sets) of each task. payload: (fp, cells, ...), a row each, shuffled once."""
+    sent = payload.withColumn("_cell", F.explode("cells")).drop("cells")
+    return placed.groupBy("cell").cogroup(sent.groupBy("_cell")).applyInArrow(compare, schema)
 
 
 #: Groups of at least so many alike sets are found by sketches and kept out of the search.
 FAMILY = 64
-#: A sketch has a hash for each band, of the least tokens in its bins.
+#: A sketch has two hashes for each band, of the least and of the greatest tokens in its bins.
 BANDS, BINS = 4, 3
 
 
 def sketches(tokens: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    """A list of BANDS hashes a row; tokens (48 bits) in order within a row. Two sets have a bin's least
-    token in common as often as they are similar, so nearly all of a group of near copies have some
-    band in common with most of it. 0 stands for a band with an empty bin."""
+    """A list of 2 * BANDS hashes a row; tokens (48 bits) in order within a row. Two sets have a bin's least
+    token in common as often as they are similar, and so its greatest, so nearly all of a group of near
+    copies have some band in common with most of it. 0 stands for a band with an empty bin."""
     place = ((tokens * np.uint64(BANDS * BINS)) >> np.uint64(48)).astype(np.int64)
     lead = np.ones(len(row), bool)
     lead[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-    low = np.zeros((rows, BANDS, BINS), np.uint64)
-    low.reshape(rows, -1)[row[lead], place[lead]] = tokens[lead] + np.uint64(1)
-    made = np.zeros((rows, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(BINS):
-            made = tk.mix64(made * np.uint64(3) + low[:, :, k])
-    made[(low == 0).any(axis=2)] = 0
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(made.view(np.int64).reshape(-1)))
+    made = np.zeros((rows, 2, BANDS), np.uint64)
+    for side, at in enumerate((lead, np.roll(lead, -1))):
+        held = np.zeros((rows, BANDS, BINS), np.uint64)
+        held.reshape(rows, -1)[row[at], place[at]] = tokens[at] + np.uint64(1)
+        with np.errstate(over="ignore"):
+            for k in range(BINS):
+                made[:, side] = tk.mix64(made[:, side] * np.uint64(3) + held[:, :, k])
+        made[:, side][(held == 0).any(axis=2)] = 0
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (2 * BANDS)), pa.array(made.view(np.int64).reshape(-1)))
 
 
 def stars(known: DataFrame) -> DataFrame:
