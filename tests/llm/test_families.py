@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tideline.llm import op09_jaccard, postings
+from tideline.llm import op03_fingerprints, op09_jaccard, postings
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +97,30 @@ def test_sketches_join_nearly_all_of_a_group():
     made = postings.sketches(np.concatenate(sets), np.repeat(np.arange(rows), [len(x) for x in sets]), rows).to_pylist()
     common = [Counter(x).most_common(1)[0] for x in zip(*made)]
     assert sum(any(v == c for v, (c, n) in zip(x, common)) for x in made) >= 0.98 * rows
+
+
+def test_fingerprints_of_a_family_stay_out_of_the_search(spark, monkeypatch):
+    rng, texts = random.Random(6), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for size, words in ((50, 80), (30, 230)):
+        base = [word() for _ in range(words)]
+        for _ in range(size):
+            made = list(base)
+            for _ in range(rng.choice([1, 2, 3, 12])):
+                made[rng.randrange(words)] = word()
+            texts.append(" ".join(made + [word() for _ in range(rng.choice([0, 0, 20]))]))
+    rows = [*enumerate(texts), (900, texts[3]), (901, texts[3]), (5, texts[5]), (902, texts[8]), (902, texts[60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").checkpoint()
+    pairs, gather = [], postings.gather
+
+    def counted(placed, *rest):
+        pairs.append(placed.count())
+        return gather(placed, *rest)
+
+    monkeypatch.setattr(postings, "gather", counted)
+    want = sorted(map(tuple, op03_fingerprints.search(docs).collect()))
+    monkeypatch.setattr(postings, "FAMILY", 10)
+    monkeypatch.setattr(op03_fingerprints, "HELD_ALL", 3000)
+    assert sorted(map(tuple, op03_fingerprints.search(docs).collect())) == want and len(want) > 70
+    before, _, after = pairs
+    assert before > 800 and after < before / 2

@@ -12,7 +12,8 @@ other; chunks are compared by 30 bits of hash, so chance matches of letters don'
 Search is exact: a score needs a number of common chunks, so by the prefix principle two
 signatures share one of their rarest chunks, with enough chunks left after it in both;
 rarity comes from counts of all chunks in a table of fixed size, so passages that many
-documents share aren't paired. Candidates meet in packed buckets cut by rows (see
+documents share aren't paired. Large groups of near copies (families, see ``postings``)
+don't meet by chunks: they are compared all with all. Candidates meet in packed buckets cut by rows (see
 ``postings``), one way for every size. Equal fingerprints are one candidate. Links are
 counted in the tasks that compare, which give out a row a member, not a row a pair.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import postings as po
 from tideline.llm import textkernel as tk
-from tideline.llm.common import ready
+from tideline.llm.common import NARROW_ROWS, ready, small
 
 SCORE = 60
 LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
@@ -34,6 +35,8 @@ LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
 FEWEST = 7
 #: Chunks of the fingerprints that one comparing task holds.
 HELD = 1_000_000
+#: The same of a task that compares all with all of a family.
+HELD_ALL = 250_000
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -173,6 +176,69 @@ def _tokens(batch: pa.RecordBatch):
         yield tk.mix64(key | ((k[row] + np.uint64(shift)) << np.uint64(32)) | (again << np.uint64(40))), row, np.bincount(row, minlength=len(n))
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """(fp, doc_id, copies, size, sketch) of sets, size being the chunks and sketch those of both signatures, see ``postings``."""
+    names = ["fp", "doc_id", "copies", "size"]
+
+    def run(batches):
+        low = np.uint64((1 << 48) - 1)
+        for batch in batches:
+            made = []
+            for tokens, row, _ in _tokens(batch):
+                key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16)))
+                made.append(np.asarray(po.sketches(key & low, (key >> np.uint64(48)).astype(np.int64), batch.num_rows).flatten()).reshape(batch.num_rows, -1))
+            both = np.concatenate(made, axis=1)
+            ends = pa.array(np.arange(len(both) + 1, dtype=np.int32) * both.shape[1])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.ListArray.from_arrays(ends, pa.array(both.reshape(-1)))], [*names, "sketch"])
+
+    return (sets.withColumn("size", (F.size("first") + F.size("second")).cast("bigint"))
+            .mapInArrow(run, "fp bigint, doc_id bigint, copies bigint, size bigint, sketch array<bigint>"))
+
+
+def _matcher(least: int):
+    """For ``postings.within``: scores of a row's fingerprint with those of a range of rows. Which places of
+    its signature have a chunk is noted once, by chunk, so that a pair takes a look-up a chunk."""
+    share = part_of_sum(least)
+
+    def matcher(table: pa.Table):
+        k = np.asarray(table.column("k"))
+        codes = {c: _padded(table.column(c), most) for c, most in (("first", LONG), ("second", SHORT))}
+        known = np.unique(np.concatenate([x.reshape(-1) for x, _ in codes.values()]))
+        # Hashes have 30 bits, so the padding, -1, comes first.
+        wide = {c: (np.ascontiguousarray(np.searchsorted(known, x).T), n) for c, (x, n) in codes.items()}
+        places = np.zeros(len(known) + 1, np.uint64)
+        padding = int(known[0]) == -1
+
+        def match(a: int, low: int, high: int) -> np.ndarray:
+            best = np.full(high - low, -1.0)
+            for x, y, gap in (("first", "first", 0), ("second", "second", 0), ("first", "second", 1), ("second", "first", -1)):
+                (own, la), (others, lb) = wide[x], wide[y]
+                n, size = la[a], lb[low:high]
+                shorter = np.minimum(n, size)
+                at = np.flatnonzero((k[a] - k[low:high] == gap) & (shorter >= FEWEST) & (shorter > share * (n + size) - 1e-9))
+                if not len(at):
+                    continue
+                mine = own[:n, a]
+                np.bitwise_or.at(places, mine, np.uint64(1) << np.arange(n, dtype=np.uint64))
+                if padding:
+                    places[0] = 0
+                bits = np.full(len(at), ~np.uint64(0))
+                with np.errstate(over="ignore"):
+                    for step in places[others[:size[at].max(), low:high][:, at]]:
+                        met = bits & step
+                        bits = (bits + met) | (bits - met)
+                places[mine] = 0
+                full = ~np.uint64(0) if n >= 64 else (np.uint64(1) << np.uint64(n)) - np.uint64(1)
+                both = n + size[at]
+                value = 100 - (100 * (both - 2 * np.bitwise_count(~bits & full).astype(np.int64))) // np.maximum(both, 1)
+                best[at] = np.maximum(best[at], value)
+            return np.where(best >= least, best, -1.0)
+
+        return match
+
+    return matcher
+
+
 def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
     """(doc_id, class_id, links, score), a row for each document that is similar to another.
 
@@ -207,10 +273,10 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
     cut = np.uint64(po.bucket_count(int(0.6 * chunks)))
 
     def emit(batches):
-        packer, table = po.Packer(), rank.value
+        packer, table = po.Packer(marked=True), rank.value
         grids = po.grids(table)
         for batch in batches:
-            ids = np.asarray(batch.column("fp"))
+            ids, marks = np.asarray(batch.column("fp")), np.asarray(batch.column("mark").fill_null(po.NONE))
             for tokens, row, size in _tokens(batch):
                 cost = table[(tokens & np.uint64(len(table) - 1)).astype(np.int64)]
                 # The cost must order tokens alike everywhere, so equal costs go by token.
@@ -222,12 +288,9 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
                 went, keys = po.dealt(tokens[kept], ids[at], grids[cost[kept]])
                 at, place = at[went], place[went]
                 bucket = (tk.mix64(keys) % cut).astype(np.int64)
-                yield from packer.add(keys, bucket, at, (place // 2).astype(np.uint8), ids, size, np.zeros(len(ids), np.uint8))
+                yield from packer.add(keys, bucket, at, (place // 2).astype(np.uint8), ids, size, np.zeros(len(ids), np.uint8), marks)
         yield from packer.flush()
 
-    packed = sets.select("fp", "k", "first", "second").mapInArrow(emit, po.PACKED)
-    found = po.meetings(packed, lambda group: po.meet_first(group, share), "a bigint, b bigint").distinct().checkpoint()
-
     def compare(pairs: pa.Table, held: pa.Table) -> pa.Table:
         held = held.combine_chunks()
         ids = np.asarray(held.column("fp"))
@@ -248,9 +311,24 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
         good = best >= least
         return po.tally(ia[good], ib[good], best[good].astype(float), np.asarray(held.column("doc_id")), np.asarray(held.column("copies")))
 
-    placed, label = po.place(found, sets.select("fp", (F.size("first") + F.size("second")).alias("size")), HELD)
-    linked = po.gather(placed, sets.join(label.select("fp", "cells"), "fp"), compare, po.LINKED).checkpoint()
-    made_of = po.classes(made.select("doc_id", "fp"), sets.select("fp", "doc_id", "copies"), linked, 100.0)
+    def compared(found):
+        placed, label = po.place(found, known.select("fp", "size"), HELD)
+        return po.gather(placed, sets.join(small(label.select("fp", "cells"), NARROW_ROWS), "fp"), compare, po.LINKED).checkpoint()
+
+    own = made.select("doc_id", "fp")
+    known = sketched(sets).checkpoint()
+    family, first = None, po.stars(known)
+    if not first.isEmpty():
+        family = po.families(own, known, compared(first))
+    marks = spark.createDataFrame([], "fp bigint, mark bigint") if family is None else family.select("fp", "mark")
+    packed = sets.select("fp", "k", "first", "second").join(small(marks, NARROW_ROWS), "fp", "left").mapInArrow(emit, po.MARKED)
+    found = po.meetings(packed, lambda group: po.meet_first(group, share), "a bigint, b bigint").distinct().checkpoint()
+    linked = compared(found)
+    if family is not None:
+        parts = po.parted(family, HELD_ALL).select("fp", "doc_id", "copies", "mark", "g", "p").checkpoint()
+        whole = sets.select("fp", "k", "first", "second").join(small(parts, NARROW_ROWS), "fp")
+        linked = linked.union(po.within(whole, _matcher(least)).checkpoint())
+    made_of = po.classes(own, sets.select("fp", "doc_id", "copies"), linked, 100.0)
     return made_of.select("doc_id", "class_id", "links", F.col("best").cast("int").alias("score"))
 
 
