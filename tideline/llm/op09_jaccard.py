@@ -38,7 +38,7 @@ from tideline.llm import postings as po
 from tideline.llm import textkernel as tk
 from tideline.llm.common import NARROW_ROWS, ready, release, small
 
-N, THRESHOLD, SPARE = 2, 0.7, 2
+N, THRESHOLD, SPARE = 2, 0.7, po.SPARE
 #: From here on documents are near copies: on sf0.1 pairs are rarest at 0.55 to 0.6, and below
 #: 0.5 most are unrelated. A short text loses much of its similarity with one word.
 NEAR = 0.5
@@ -104,12 +104,7 @@ def differ(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndar
     return np.floor((1 - threshold) / (1 + threshold) * (larger + smaller) + 1e-9).astype(np.int64)
 
 
-def shared(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndarray:
-    """The tokens that two sets of these sizes have in common at least, to be similar."""
-    return np.ceil(threshold / (1 + threshold) * (larger + smaller) - 1e-9).astype(np.int64)
-
-
-def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int = SPARE, fine: bool = False):
+def signatures(tokens, row, size, rank: np.ndarray, threshold: float, fine: bool = False):
     """For the bands that sets belong to, then for those that they look into: (keys, rows,
     roles, bands, counts) of signatures, need per row, and the residual rows, which couldn't
     fill their units and must be compared otherwise (``fine``: a segment a token in every
@@ -127,30 +122,28 @@ def signatures(tokens, row, size, rank: np.ndarray, threshold: float, spare: int
         lone = alone[np.maximum(band, 0)][row[at]]
         for make, mine in ((_fine, at[lone]), (_coarse, at[~lone])):
             if len(mine):
-                yield make(tokens[mine], row[mine], code[mine], size, np.maximum(band, 0), tops, threshold, spare, lower)
+                yield make(tokens[mine], row[mine], code[mine], size, np.maximum(band, 0), tops, threshold, lower)
 
 
-def _fine(t, r, c, size, band, tops, threshold, spare, lower):
-    """A segment a token. t is in order within a row, so that equal costs go by token everywhere."""
+def _fine(t, r, c, size, band, tops, threshold, lower):
+    """A segment a token, with its place. t is in order within a row, so that equal costs go by token everywhere."""
     order = np.argsort((r.astype(np.uint64) << np.uint64(8)) | c.astype(np.uint64), kind="stable")
     r, t, c = r[order], t[order], c[order]
     new = np.ones(len(r), bool)
     new[1:] = r[1:] != r[:-1]
     place = np.arange(len(r)) - np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     bottom = np.concatenate([[0], tops[:-1]])[band] + 1
-    most = size - shared(size, np.maximum(bottom, np.ceil(threshold * size - 1e-9).astype(np.int64)), threshold)
-    units = np.minimum(size, most + 1 + spare)
-    role = np.where(place < units[r], po.PROBE, 0).astype(np.uint8)
-    if not lower:
-        role |= np.where(place < (size - shared(size, size, threshold) + 1 + spare)[r], po.INDEX, 0).astype(np.uint8)
-    some = role > 0
-    r, t = r[some], t[some]
+    most = size - po.shared(size, np.maximum(bottom, np.ceil(threshold * size - 1e-9).astype(np.int64)), threshold)
+    units = np.minimum(size, most + 1 + SPARE)
+    # What the smaller of two sets needs is less.
+    some = place < (units if lower else np.maximum(units, size - po.shared(size, size, threshold) + 1 + SPARE))[r]
+    r, t, place = r[some], t[some], place[some]
     with np.errstate(over="ignore"):
         keys = tk.mix64(t ^ tk.mix64(band[r].astype(np.uint64) + np.uint64(0xA24BAED4963EE407)))
-    return (keys, r, role[some], band[r], c[some]), units - most, np.zeros(len(size), bool)
+    return (keys, r, po.placed(place, size[r], threshold), band[r], c[some]), units - most, np.zeros(len(size), bool)
 
 
-def _coarse(t, r, c, size, band, tops, threshold, spare, lower):
+def _coarse(t, r, c, size, band, tops, threshold, lower):
     """Segments of several tokens, some with a one-deletion neighbourhood."""
     here = np.zeros(len(size), bool)
     here[r] = True
@@ -193,7 +186,7 @@ def _coarse(t, r, c, size, band, tops, threshold, spare, lower):
     lead_unit[1:] = urow[1:] != urow[:-1]
     rank_in = np.arange(len(urow)) - np.maximum.accumulate(np.where(lead_unit, np.arange(len(urow)), 0))
     most = differ(size, np.minimum(size, top), threshold)
-    wanted = most + 1 + spare
+    wanted = most + 1 + SPARE
     taken = order[rank_in < wanted[urow]]
     have = np.bincount(grow[unit_group[taken]], minlength=len(size))
     first_look, second_look = np.zeros(len(lead), bool), np.zeros(len(lead), bool)

@@ -9,7 +9,7 @@ no signature is one task.
 
 Roles of a row (bits): INDEX a signature others may find; INDEX_DEL the same for a part
 less one token; PROBE a look-up worth 1; PROBE2 one worth 2; PROBE_DEL a look-up of a
-part less one token.
+part less one token. A row with FLAG set has a place in place of roles (see ``placed``).
 """
 
 from collections.abc import Iterator
@@ -23,7 +23,11 @@ from tideline.llm import textkernel as tk
 from tideline.llm.common import NARROW_ROWS, small
 
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
-KEY_BITS, DOC_BITS, ROLE_BITS = 42, 17, 5
+KEY_BITS, DOC_BITS, ROLE_BITS = 41, 17, 6
+#: Marks a row that is a single token; steps of its place.
+FLAG, STEPS = 32, 32
+#: Meetings asked for beyond the one that similar sets are sure to have.
+SPARE = 2
 PACKED = "bucket int, rows binary, ids binary, sizes binary, needs binary"
 MARKED = PACKED + ", marks binary"
 #: The mark of a document without a class.
@@ -38,6 +42,22 @@ def bucket_count(rows: int, each: int = 3_000_000) -> int:
     return max(1, -(-rows // each))
 
 
+def shared(larger: np.ndarray, smaller: np.ndarray, threshold: float) -> np.ndarray:
+    """The tokens that two sets of these sizes have in common at least, to be similar."""
+    return np.ceil(threshold / (1 + threshold) * (larger + smaller) - 1e-9).astype(np.int64)
+
+
+def width(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The tokens of sets, in an order that all sets follow, among which are the first 1 + SPARE that they
+    have in common with any similar set that isn't larger."""
+    return np.maximum(1, size - shared(size, np.ceil(threshold * size - 1e-9), threshold) + 1 + SPARE)
+
+
+def placed(place: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """The role of a single token: its place in its set, rounded down to a STEPS-th of the set's width."""
+    return (FLAG | np.minimum(place * STEPS // width(size, threshold), STEPS - 1)).astype(np.uint8)
+
+
 class Packer:
     """Gathers signature rows and gives them out packed by bucket."""
 
@@ -96,7 +116,10 @@ def meet(group: list[pa.RecordBatch], ratio: float, at_once: int = 400_000, most
     """The pairs of a bucket: a the larger by (size, id), b the smaller with at least
     ratio times a's size; w the look-ups of a that found b, need what a wants. A quarter
     of the signatures at a time; sums are given out whenever ``most`` have gathered, so a
-    pair may come more than once. Of marked documents only pairs of unlike marks."""
+    pair may come more than once. Of marked documents only pairs of unlike marks. Single tokens
+    count only where both sets have enough left from there on: of two similar sets' tokens in
+    common, the first 1 + SPARE are no further than so many from the place where what is left
+    is just what the two must share."""
     named = [b.column("ids")[i].as_buffer() for b in group for i in range(b.num_rows) if b.column("bucket")[i].as_py() < 0]
     if named:  # sets that need another way, passed on as (a, null, null, size)
         a = np.concatenate([np.frombuffer(x, np.int64) for x in named])
@@ -255,12 +278,25 @@ def _part(blobs, base, part, ids, sizes, needs, ratio, at_once, marks):
         da, db, ra, rb = docs[big], docs[less], roles[big], roles[less]
         w = np.where(rb & INDEX, (ra & PROBE) // PROBE + (ra & PROBE2) // PROBE2 * 2 + (ra & PROBE_DEL) // PROBE_DEL, 0)
         w = w + np.where((rb & INDEX_DEL) > 0, (ra & PROBE2) // PROBE2, 0)
+        lone = np.flatnonzero(ra & rb & FLAG)
+        if len(lone):
+            w[lone] = _early(ra[lone], rb[lone], sizes[da[lone]], sizes[db[lone]], ratio)
         good = (w > 0) & (ids[da] != ids[db]) & (sizes[db] >= ratio * sizes[da] - 1e-9)
         if good.any():
             da, db = da[good], db[good]
             yield _summed(ids[da], ids[db], w[good].astype(np.int64), needs[da].astype(np.int32))
 
 
+def _early(ra, rb, larger, smaller, threshold) -> np.ndarray:
+    """Whether the places of a token in two sets let it be one of their first 1 + SPARE in common."""
+    least = shared(larger, smaller, threshold)
+    good = np.ones(len(ra), bool)
+    for role, size in ((ra, larger), (rb, smaller)):
+        size = size.astype(np.int64)
+        good &= (role & np.uint8(STEPS - 1)).astype(np.int64) * width(size, threshold) <= STEPS * (size - least + SPARE)
+    return good
+
+
 def _summed(a, b, w, need):
     key = tk.mix64(a.astype(np.uint64)) + b.astype(np.uint64)
     order = np.argsort(key)
