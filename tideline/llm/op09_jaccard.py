@@ -13,10 +13,12 @@ are not looked up, and their long lists are never paired. A few units beyond H +
 (``SPARE``) make the join ask for several meetings. What met often enough is verified on
 the sets themselves.
 
-Where segments of several tokens can't give more than H units (small sets, thresholds below
-about 0.64) the universe is cut to a segment a token. Then only what the larger set has and
+Where segments of several tokens can't give more than H units (small sets, lower
+thresholds) the universe is cut to a segment a token. Then only what the larger set has and
 the smaller lacks can spoil a unit, so fewer are looked up, and as both choose in one order
-of cost, the smaller needs to be indexed by its cheapest segments alone.
+of cost, the smaller needs to be indexed by its cheapest segments alone. With each goes its
+place in that order, so that two sets meet only where both have enough tokens left from there on.
+This is the way at the thresholds in use; segments of several tokens come in from about 0.75.
 
 Passes over the texts: one that counts tokens and gives each set a fingerprint, one that
 emits signatures (packed, see ``postings``), and one over the candidates' texts alone.
