@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import postings as po
 from tideline.llm import textkernel as tk
-from tideline.llm.common import NARROW_ROWS, ready, small
+from tideline.llm.common import ready
 
 SCORE = 60
 LONG, SHORT, ENOUGH, LEAST_K, MOST_K, WINDOW = 64, 32, 32, 2, 30, 7
@@ -313,7 +313,7 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
 
     def compared(found):
         placed, label = po.place(found, known.select("fp", "size"), HELD)
-        return po.gather(placed, sets.join(small(label.select("fp", "cells"), NARROW_ROWS), "fp"), compare, po.LINKED).checkpoint()
+        return po.gather(placed, po.joined(sets, label.select("fp", "cells")), compare, po.LINKED).checkpoint()
 
     own = made.select("doc_id", "fp")
     known = sketched(sets).checkpoint()
@@ -321,12 +321,12 @@ def search(docs: DataFrame, least: int = SCORE) -> DataFrame:
     if not first.isEmpty():
         family = po.families(own, known, compared(first))
     marks = spark.createDataFrame([], "fp bigint, mark bigint") if family is None else family.select("fp", "mark")
-    packed = sets.select("fp", "k", "first", "second").join(small(marks, NARROW_ROWS), "fp", "left").mapInArrow(emit, po.MARKED)
+    packed = po.joined(sets.select("fp", "k", "first", "second"), marks, "left").mapInArrow(emit, po.MARKED)
     found = po.meetings(packed, lambda group: po.meet_first(group, share), "a bigint, b bigint").distinct().checkpoint()
     linked = compared(found)
     if family is not None:
         parts = po.parted(family, HELD_ALL).select("fp", "doc_id", "copies", "mark", "g", "p").checkpoint()
-        whole = sets.select("fp", "k", "first", "second").join(small(parts, NARROW_ROWS), "fp")
+        whole = po.joined(sets.select("fp", "k", "first", "second"), parts)
         linked = linked.union(po.within(whole, _matcher(least)).checkpoint())
     made_of = po.classes(own, sets.select("fp", "doc_id", "copies"), linked, 100.0)
     return made_of.select("doc_id", "class_id", "links", F.col("best").cast("int").alias("score"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import textkernel as tk
-from tideline.llm.common import NARROW_ROWS, small
+from tideline.llm.common import small
 
 INDEX, INDEX_DEL, PROBE, PROBE2, PROBE_DEL = 1, 2, 4, 8, 16
 KEY_BITS, DOC_BITS, ROLE_BITS = 41, 17, 6
@@ -412,14 +412,14 @@ def families(own: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
     large = label.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") >= FAMILY).select("least")
     several = own.groupBy("doc_id").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m <> x").select("doc_id")
     mixed = own.join(several, "doc_id").select("fp").distinct()
-    return (known.join(small(label.join(large, "least").checkpoint(), NARROW_ROWS), "doc_id").join(small(mixed.checkpoint(), NARROW_ROWS), "fp", "left_anti")
+    return (known.join(small(label.join(large, "least").checkpoint()), "doc_id").join(small(mixed.checkpoint()), "fp", "left_anti")
             .select("fp", "doc_id", "size", "copies", F.col("least").alias("mark")).checkpoint())
 
 
 def parted(family: DataFrame, held: int) -> DataFrame:
     """family with g, the parts that its group is cut into, so that two hold about ``held``, and p, the set's part."""
     count = family.groupBy("mark").agg(F.ceil(F.sum("size") / F.lit(held / 2)).cast("int").alias("g"))
-    return family.join(small(count.checkpoint(), NARROW_ROWS), "mark").withColumn("p", F.pmod(F.hash("fp", F.lit(7)), "g"))
+    return family.join(small(count.checkpoint()), "mark").withColumn("p", F.pmod(F.hash("fp", F.lit(7)), "g"))
 
 
 def within(payload: DataFrame, matcher) -> DataFrame:
@@ -497,6 +497,55 @@ def ranks(blocks: DataFrame, bits: int = CELL_BITS) -> np.ndarray:
     return made
 
 
+#: Bits of a place in the table of ``noted``, and of a place in one of its blocks.
+NOTE_BITS, NOTE_BLOCK = 25, 16
+#: Rows that ``joined`` broadcasts.
+FEW = 10_000
+
+
+def _noted_at(ids: np.ndarray) -> np.ndarray:
+    return (tk.mix64(ids.astype(np.uint64)) >> np.uint64(64 - NOTE_BITS)).astype(np.int64)
+
+
+def noted(rows: DataFrame) -> np.ndarray:
+    """A bit for each hash that an fp of rows has: 4 MB whatever the rows."""
+    def places(batches):
+        for batch in batches:
+            at = _noted_at(np.asarray(batch.column("fp")))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> NOTE_BLOCK).astype(np.int32)), pa.array((at & ((1 << NOTE_BLOCK) - 1)).astype(np.int32))], ["block", "place"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << NOTE_BLOCK, bool)
+        bits[np.asarray(table.column("place"))] = True
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    made = np.zeros(1 << (NOTE_BITS - 3), np.uint8)
+    size = 1 << (NOTE_BLOCK - 3)
+    for row in rows.select("fp").mapInArrow(places, "block int, place int").groupBy("block").applyInArrow(pack, "block int, bits binary").collect():
+        made[row["block"] * size:(row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return made
+
+
+def joined(sets: DataFrame, narrow: DataFrame, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """sets joined to narrow, which is cheap to count, by fp. Where narrow has too many rows for a broadcast (the driver
+    makes it) only the sets that it may have are shuffled, by a bit table."""
+    rows = FEW if rows is None else rows
+    if narrow.limit(rows + 1).count() <= rows:
+        return sets.join(F.broadcast(narrow), "fp", how)
+    bits = sets.sparkSession.sparkContext.broadcast(noted(narrow))
+
+    def part(there: bool):
+        def run(batches):
+            table = bits.value
+            for batch in batches:
+                at = _noted_at(np.asarray(batch.column("fp")))
+                yield batch.filter(pa.array(((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool) == there))
+        return sets.mapInArrow(run, sets.schema)
+
+    made = part(True).join(narrow, "fp", how)
+    return made.unionByName(part(False), allowMissingColumns=True) if how == "left" else made
+
+
 def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(doc_id, least): each document of (doc_a, doc_b) edges with the least doc_id that
     edges join it to. Each round takes the least label among neighbours and then that
