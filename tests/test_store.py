@@ -94,3 +94,27 @@ def test_flushes_of_a_buffer_one_by_one(spark):
     log = spark.createDataFrame(rows, "log string, lsn long, ts long, op string, key string, num map<string,double>, str map<string,string>, tier string")
     assert [(x["lsn"], x["reason"], x["bytes"], x["records"]) for x in st.flush_points(log, 700, 12).orderBy("flush").collect()] == want and {w[1] for w in want} == {"size", "dirty"}
     assert st.flush_points(log.filter("false")).count() == 0
+
+
+def test_backpressure_takes_a_log_in_batches(spark):
+    """One log's rows come to Python a batch at a time, several logs apart from one another."""
+    n = 300
+    rows = spark.range(2 * n).selectExpr("IF(id % 2 = 0, 'a', NULL) AS log", "id DIV 2 AS seq", "(id DIV 2) % 3 <> 2 AS begins")
+    plan = policy.backpressure(rows, 20, 5)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    want, pending, active = [], 0, False
+    for i in range(n):
+        admitted = None
+        if i % 3 != 2:
+            active = (active and pending > 5) or pending >= 20
+            admitted = not active
+            pending += admitted
+        else:
+            pending = max(0, pending - 1)
+            active = active and pending > 5
+        want.append((i, pending, admitted, active))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    got = policy.backpressure(rows, 20, 5).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for log in ("a", None):
+        assert sorted((r["seq"], r["pending"], r["admitted"], r["active"]) for r in got if r["log"] == log) == want

@@ -5,6 +5,8 @@ Each is a small state machine over one log in order; logs run in parallel, a gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,24 +95,29 @@ PRESSURE = "log string, seq bigint, pending bigint, admitted boolean, active boo
 def backpressure(ops: DataFrame, high: int = 1000, low: int = 200) -> DataFrame:
     """Operations (log, seq, begins) as they begin and end: one that begins when ``high`` are pending is refused,
     and so are all until no more than ``low`` are. The end of a refused one should not be in the input."""
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        pending, active, out = 0, False, []
-        for begins in table.column("begins").to_pylist():
-            admitted = None
-            if begins:
-                active = active and pending > low
-                active = active or pending >= high
-                admitted = not active
-                pending += admitted
-            else:
-                pending = max(0, pending - 1)
-                active = active and pending > low
-            out.append((pending, admitted, active))
-        pending_, admitted_, active_ = zip(*out) if out else ((), (), ())
-        return pa.table({"log": table.column("log"), "seq": table.column("seq"), "pending": pa.array(pending_, pa.int64()), "admitted": pa.array(admitted_, pa.bool_()), "active": pa.array(active_, pa.bool_())})
-
-    return ops.groupBy("log").applyInArrow(run, PRESSURE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, pending, active, begun = None, 0, False, False
+        for batch in batches:
+            out = []
+            for log, begins in zip(batch.column("log").to_pylist(), batch.column("begins").to_pylist()):
+                if not begun or log != of:
+                    of, pending, active, begun = log, 0, False, True
+                admitted = None
+                if begins:
+                    active = active and pending > low
+                    active = active or pending >= high
+                    admitted = not active
+                    pending += admitted
+                else:
+                    pending = max(0, pending - 1)
+                    active = active and pending > low
+                out.append((pending, admitted, active))
+            pending_, admitted_, active_ = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("log"), batch.column("seq"), pa.array(pending_, pa.int64()), pa.array(admitted_, pa.bool_()), pa.array(active_, pa.bool_())],
+                                             ["log", "seq", "pending", "admitted", "active"])
+
+    # Spark sorts, on disk if it must; a log's rows pass through a task batch by batch.
+    return ops.select("log", F.col("seq").cast("bigint").alias("seq"), "begins").repartition("log").sortWithinPartitions("log", "seq").mapInArrow(run, PRESSURE)
 
 
 def retries(attempts: DataFrame, most: int = 3, base_ms: int = 100, cap_ms: int = 5000) -> DataFrame:
