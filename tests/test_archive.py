@@ -179,3 +179,26 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["query", out, "7"]) == 0
     assert '"price":1.5' in capsys.readouterr().out
+
+
+def test_encoder_holds_a_segment_of_a_sorted_stream():
+    """The same file from batches as from a table, with what waits bounded by a segment, not by the file."""
+    table = _table([1.5 * i for i in range(5000)], items=7)
+    made, most, out = archive.Encoder(segment_bytes=1200), 0, []
+    out.append(made.head())
+    for at in range(0, 5000, 50):
+        out += made.add(table.slice(at, 50))
+        most = max(most, made.rows)
+    rest, facts = made.finish()
+    data, whole = archive.encode(table, segment_bytes=1200)
+    assert b"".join(out + rest) == data and facts == whole and most < 400
+
+
+def test_rows_said_to_be_sorted_are_checked(spark, tmp_path):
+    archive.register(spark)
+    rows = spark.createDataFrame([(s, 10 * s, 1, 1.0, 1.0) for s in (3, 1, 2)], archive.SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="sorted"):
+        rows.write.format("snapshot_archive").mode("append").option("sorted", "true").save(str(tmp_path / "a"))
+    assert not [p for p in (tmp_path / "a").iterdir() if p.name.endswith(".arc")]
+    rows.write.format("snapshot_archive").mode("append").save(str(tmp_path / "b"))
+    assert [r["ts"] for r in archive.read(spark, str(tmp_path / "b")).orderBy("snapshot_seq").collect()] == [10, 20, 30]

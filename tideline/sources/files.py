@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyarrow import fs
 
@@ -26,6 +27,18 @@ def write(uri: str, data: bytes) -> None:
         file.write(data)
 
 
+@contextmanager
+def writing(uri: str):
+    """A function that adds bytes to a new file, which goes again if the block fails."""
+    system, path = place(uri)
+    try:
+        with system.open_output_stream(path) as file:
+            yield file.write
+    except BaseException:
+        remove(uri)
+        raise
+
+
 def replace(uri: str, data: bytes) -> None:
     """Writes under a hidden name beside it and moves that into place."""
     system, path = place(uri)
