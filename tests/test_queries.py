@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from tideline.operators import blocks, folds, market, state
 from tideline.plans import catalog
 from tideline.session import TABLES
+from tideline.sources.views import observations
 
 ORACLES = catalog.oracle_sql()
 QUERIES = catalog.queries()
@@ -158,3 +159,29 @@ def test_topics_reach_their_subscribers(spark):
     assert seen == [("anomaly_detected", 4)]
     with pytest.raises(ValueError):
         topics.subscribe(["unknown"], listener)
+
+
+def test_upkeep_spreads_a_file_before_it_folds(spark, tmp_path):
+    from tideline.streaming import live
+
+    spread, kept = [], type(spark.range(1)).repartition
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.range(1)), "repartition", lambda self, *by: (spread.append(by), kept(self, *by))[1])
+        source = str(tmp_path / "in")
+        _log(spark, [(i, i, "PUT", f"k{i % 7}") for i in range(50)]).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        live.upkeep(stream, str(tmp_path / "out"), str(tmp_path / "ck"), 4).trigger(availableNow=True).start().awaitTermination()
+    assert spread[0] == ("key",) and sorted(r["lsn"] for r in live.held(spark, str(tmp_path / "out")).collect()) == list(range(43, 50))
+
+
+def test_behavior_stream_reads_many_files_as_one_batch(spark, sf):
+    """The folder that the stream reads isn't made by one task, and each key still has one row."""
+    from tideline.plans import extra_queries
+
+    made, folder = [], extra_queries._folder
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(extra_queries, "_folder", lambda s, name: made.append(folder(s, name)) or made[-1])
+        patch.setattr(extra_queries, "observations", lambda s, d: observations(s, d).repartition(3))
+        rows = extra_queries._streamed(spark, sf).groupBy("key").count()
+    assert len([n for n in os.listdir(made[0].removeprefix("file://").removeprefix("file:") + "/in") if n.endswith(".parquet")]) == 3
+    assert rows.filter("count > 1").isEmpty()
