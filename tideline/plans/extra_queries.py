@@ -36,7 +36,7 @@ def _events(s, d):
 
 
 def _streamed(s, d, since=None):
-    """The behaviour fold run as a stream over the observations, written as one file; with ``since``, started from
+    """The behaviour fold run as a stream over the observations, one micro-batch of files; with ``since``, started from
     the batch fold of those before."""
     live.store(s)
     base = _folder(s, "stream")
@@ -45,7 +45,7 @@ def _streamed(s, d, since=None):
     if since is not None:
         initial = live.restorable(folds.behavior(rows.filter(F.col("ts") < since))).checkpoint() if s.sparkContext.getCheckpointDir() else live.restorable(folds.behavior(rows.filter(F.col("ts") < since)))
         rows = rows.filter(F.col("ts") >= since)
-    rows.coalesce(1).write.parquet(base + "/in")
+    rows.write.parquet(base + "/in")
     stream = s.readStream.schema("key string, ts bigint, seq bigint, value double, k double").parquet(base + "/in")
     q = (live.behavior(stream, initial).writeStream.outputMode("update").option("checkpointLocation", base + "/ck").trigger(availableNow=True)
          .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/{n}")).start())
